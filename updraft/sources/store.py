@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ def read_buffer(spark: SparkSession, path: str, box=(-90.0, 90.0, -180.0, 180.0)
     """
     try:
         stored = require_columns(spark.read.parquet(path), SAMPLES.fieldNames(), "buffer")
-    except (SchemaMismatch, Exception):  # noqa: B014 - unreadable in any way means unusable
+    except (SchemaMismatch, AnalysisException):
         return None
     return stored.select(*SAMPLES.fieldNames()).filter(plausible_coordinates(box=box))
 
@@ -62,7 +63,7 @@ def load_model(spark: SparkSession, path: str, features=K.FEATURES) -> StoredMod
     """The stored model, or None when absent or fitted on other features."""
     try:
         row = spark.read.parquet(f"{path}/registry").first()
-    except Exception:
+    except AnalysisException:
         return None
     if row is None or tuple(row["features"]) != tuple(features):
         return None
