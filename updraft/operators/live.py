@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +47,18 @@ def live_state(df: DataFrame, asof, ttl_s: int = K.LIVE_TTL_S, ts: str = "ts",
     return latest_by(df.filter(fresh), ["id"], order, first_seen="first_seen")
 
 
+def live_snapshots(df: DataFrame, every_s: int = K.LIVE_TTL_S, ts: str = "ts",
+                   order: str = "seq") -> DataFrame:
+    """Live tables at the end of every ``every_s`` cycle, in one pass.
+
+    ``cycle`` ends at cycle x every_s; with the default, a cycle's table is what
+    ``live_state`` returns at that instant.
+    """
+    us = F.unix_micros(ts)
+    cycle = F.ceil(us / F.lit(every_s * 1_000_000)).cast("bigint")
+    return latest_by(df.withColumn("cycle", cycle), ["cycle", "id"], order, first_seen="first_seen")
+
+
 def positions_since(df: DataFrame, cursor: int, cap: int = K.BUFFER_CAP,
                     order: str = "seq") -> DataFrame:
     """Positions after a read cursor, newest ``cap`` per aircraft.
@@ -97,11 +111,12 @@ def in_viewport(df: DataFrame, bounds: Bounds | None, lat: str = "lat", lon: str
     if bounds is None:
         return df
     south, north, west, east = bounds
-    # The wrapped copies are tested by moving the box, so the column stays bare
-    # and every comparison can be pushed to the scan.
-    inside = (F.col(lon).between(west, east) | F.col(lon).between(west - 360.0, east - 360.0)
-              | F.col(lon).between(west + 360.0, east + 360.0))
-    return df.filter(F.col(lat).between(south, north) & inside)
+    shown = F.col(lon)
+    turns = (0.0, 360.0, -360.0)
+    exact = reduce(or_, [(shown + F.lit(t)).between(west, east) for t in turns])
+    # The same test on the bare column, a hair wider, is what can reach the scan.
+    bare = reduce(or_, [shown.between(west - t - 1e-6, east - t + 1e-6) for t in turns])
+    return df.filter(F.col(lat).between(south, north) & bare & exact)
 
 
 def visible_positions(positions: DataFrame, visible: DataFrame) -> DataFrame:
@@ -188,13 +203,6 @@ def prefer_streamed(streamed: DataFrame, polled: DataFrame) -> DataFrame:
         "id", F.coalesce("__s", "__p").alias("__r")).select("id", "__r.*")
 
 
-def climbing_rows(df: DataFrame, min_vario: float, evidence: Column) -> DataFrame:
-    """Rows that show lift at a given climb threshold."""
-    from updraft.functions.rules import is_climbing
-
-    return df.filter(evidence & is_climbing(min_vario))
-
-
 def current_segment(df: DataFrame, asof, gap_s: int = K.TRACK_GAP_S,
                     lookback_s: int = K.TRACK_LOOKBACK_S, ts: str = "ts", order: str = "seq",
                     block_s: int = 3600) -> DataFrame:

@@ -107,8 +107,8 @@ def lattice_windows(centres: DataFrame, lattice: DataFrame, half: int = HALF_WIN
         "c_i", "c_j").agg(F.collect_list(F.struct(
             position.alias("k"), *[F.col(v).cast("double").alias(v) for v in values])).alias("__w"))
     ordered = F.array_sort("__w")
-    return found.filter(F.size("__w") == side * side).select(
-        "c_i", "c_j", *[F.transform(ordered, lambda e, v=v: e[v]).alias(f"{v}_window") for v in values])
+    return found.filter(F.size("__w") == side * side).withColumn("__w", ordered).select(
+        "c_i", "c_j", *[F.col(f"__w.{v}").alias(f"{v}_window") for v in values])
 
 
 def with_windows(df: DataFrame, lattice: DataFrame, half: int = HALF_WINDOW,
@@ -247,7 +247,8 @@ def grid_cells(rows: DataFrame, values: tuple[str, ...] = ("elevation",)) -> Dat
 
 def upsample(requests: DataFrame, lattice: DataFrame, missing: str = "drop") -> DataFrame:
     """Fine grids (elevation, slope, aspect) around each request's snapped centre."""
-    return grid_cells(grid_rows(with_windows(with_centre(requests), lattice, missing=missing)))
+    centred = with_centre(requests).drop("lat", "lon")
+    return grid_cells(grid_rows(with_windows(centred, lattice, missing=missing)))
 
 
 def cell_terrain(window: Column, half: int, row: Column, col: Column,

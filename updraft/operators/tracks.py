@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from updraft import constants as K
 from updraft.operators.blocks import time_block, with_running, with_shifted
+from updraft.session import durable
 
 
 def _bearing(lat: Column, lon: Column, from_lat: Column, from_lon: Column) -> Column:
@@ -48,15 +49,6 @@ def with_kinematics(fixes: DataFrame, keys: Sequence[str], order: Sequence[str],
     return rows.withColumn("circling", F.abs("turn_rate") > K.CIRCLING_DEG_S)
 
 
-def _chain_ends(times: np.ndarray, step: int) -> np.ndarray:
-    """Last row kept when a chain starts at each row of an increasing series."""
-    following = np.searchsorted(times, times + step, side="left")
-    ends = np.empty(len(times), dtype=np.int64)
-    for i in range(len(times) - 1, -1, -1):
-        ends[i] = times[i] if following[i] == len(times) else ends[following[i]]
-    return ends
-
-
 def thin(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], order_block: Column,
          seconds: int = 30, block_s: int = 600) -> DataFrame:
     """At most one row per ``seconds`` since the last kept row, in feed order.
@@ -67,74 +59,56 @@ def thin(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], orde
     1. only rows that move time forward can ever be kept, so others go first;
     2. each (key, time block) reports, for every way a chain may enter it, where
        that chain leaves it: few rows, as entries lie within ``seconds``;
-    3. those reports are followed block by block per key (one short row set per
+    3. those reports are followed block by block per key (a short row set per
        block), which gives each block the last row kept before it;
     4. each block then keeps its own rows independently.
+
+    Steps 2 and 4 fold over a block's times inside the JVM; only step 3, on the
+    reports, is a grouped pandas function.
     """
     step = seconds * 1_000_000
-    columns = df.columns
     front = with_running(df, keys, order, order_block, {"__front": ("max", F.unix_micros(ts))},
                          inclusive=False)
     forward = front.withColumn("__us", F.unix_micros(ts)).filter(
         F.col("__front").isNull() | (F.col("__us") > F.col("__front"))).drop("__front")
-    forward = forward.withColumn("__tb", time_block(ts, block_s))
-    key_fields = [df.schema[k] for k in keys]
-
-    def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["__us"].to_numpy())
-        ends = _chain_ends(times, step)
-        entry = np.flatnonzero(np.concatenate(([True], times[:-1] < times[0] + step)))
-        exits = ends[entry]
-        last_of_run = np.concatenate((exits[1:] != exits[:-1], [True]))
-        out = pd.DataFrame({"__upto": times[entry][last_of_run], "__exit": exits[last_of_run]})
-        out["__tb"] = pdf["__tb"].iloc[0]
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out
-
-    report_schema = T.StructType([*key_fields, T.StructField("__tb", T.LongType()),
-                                  T.StructField("__upto", T.LongType()),
-                                  T.StructField("__exit", T.LongType())])
-    reports = forward.select(*keys, "__tb", "__us").groupBy(*keys, "__tb").applyInPandas(
-        lambda pdf: report(pdf)[[f.name for f in report_schema]], report_schema)
-
+    # Read three times below, so it is materialised once.
+    forward = durable(forward.withColumn("__tb", time_block(ts, block_s)))
+    blocks = forward.groupBy(*keys, "__tb").agg(F.array_sort(F.collect_list("__us")).alias("__t"))
+
+    times = F.col("__t")
+    entries = F.filter(times, lambda t, i: (i == 0) | (F.get(times, i - 1) < F.get(times, F.lit(0)) + step))
+    exits = F.transform(entries, lambda e: F.struct(e.alias("upto"), F.aggregate(
+        times, e, lambda last, t: F.when(t >= last + step, t).otherwise(last)).alias("leave")))
+    reports = blocks.select(*keys, "__tb", F.inline(exits))
+
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("__tb", T.LongType()),
+                           T.StructField("__enter", T.LongType())])
+    entered = reports.groupBy(*keys).applyInPandas(_follower(list(keys), step), schema)
+
+    start = F.struct(F.coalesce("__enter", F.lit(-(1 << 62))).alias("last"),
+                     F.array().cast("array<bigint>").alias("kept"))
+    folded = F.aggregate(times, start, lambda acc, t: F.when(
+        t >= acc["last"] + step,
+        F.struct(t.alias("last"), F.array_append(acc["kept"], t).alias("kept"))).otherwise(acc))
+    kept = blocks.join(entered, [*keys, "__tb"]).select(*keys, F.explode(folded["kept"]).alias("__us"))
+    return forward.join(kept, [*keys, "__us"], "left_semi").select(*df.columns)
+
+
+def _follower(keys: list[str], step: int):
+    """Grouped function: last row kept before each block of one key, from block reports."""
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__tb", "__upto"])
-        blocks, enter, last = [], [], None
-        for tb, part in pdf.groupby("__tb", sort=True):
-            blocks.append(tb)
+        pdf = pdf.sort_values(["__tb", "upto"])
+        upto, leave = pdf["upto"].to_numpy(), pdf["leave"].to_numpy()
+        blocks, starts = np.unique(pdf["__tb"].to_numpy(), return_index=True)
+        ends = np.append(starts[1:], len(pdf))
+        enter, last = [], None
+        for lo, hi in zip(starts, ends):
             enter.append(last)
-            due = np.iinfo(np.int64).min if last is None else last + step
-            at = int(np.searchsorted(part["__upto"].to_numpy(), due, side="left"))
-            if at < len(part):
-                last = int(part["__exit"].iloc[at])
-        out = pd.DataFrame({"__tb": blocks, "__enter": pd.array(enter, dtype="Int64")})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out
-
-    follow_schema = T.StructType([*key_fields, T.StructField("__tb", T.LongType()),
-                                  T.StructField("__enter", T.LongType())])
-    entries = reports.groupBy(*keys).applyInPandas(
-        lambda pdf: follow(pdf)[[f.name for f in follow_schema]], follow_schema)
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf[pdf["__us"].notna()].sort_values("__us")
-        times = row["__us"].to_numpy(dtype=np.int64)
-        carried = pdf.loc[pdf["__us"].isna(), "__enter"].dropna()
-        due = int(carried.iloc[0]) + step if len(carried) else np.iinfo(np.int64).min
-        kept = []
-        at = int(np.searchsorted(times, due, side="left"))
-        while at < len(times):
-            kept.append(times[at])
-            at = int(np.searchsorted(times, times[at] + step, side="left"))
-        out = pd.DataFrame({"__us": np.array(kept, dtype=np.int64)})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
+            at = lo if last is None else lo + int(np.searchsorted(upto[lo:hi], last + step))
+            if at < hi:
+                last = int(leave[at])
+        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(blocks) for k in keys})
+        out["__tb"], out["__enter"] = blocks, pd.array(enter, dtype="Int64")
         return out
 
-    keep_schema = T.StructType([*key_fields, T.StructField("__us", T.LongType())])
-    both = forward.select(*keys, "__tb", "__us").unionByName(entries, allowMissingColumns=True)
-    kept = both.groupBy(*keys, "__tb").applyInPandas(
-        lambda pdf: keep(pdf)[[f.name for f in keep_schema]], keep_schema)
-    return forward.join(kept, [*keys, "__us"], "left_semi").select(*columns)
+    return follow
