@@ -414,10 +414,13 @@ def _(read):
 @query("fuse_climbs", ["prediction_requests", "beacons"], f"""WITH {REQ}, {LIVE}
 SELECT request_id, r AS row, round(sum(least(1, 0.2e0 + boost)), 5) AS heat, count(*) AS touched FROM bo GROUP BY request_id, r""")
 def _(read):
-    placed = fusion.climb_placements(TR.with_centre(read("prediction_requests")), latest(read), is_evidence(False))
-    boosts = fusion.row_boosts(placed).select("request_id", "row", F.explode("boost").alias("col", "boost"))
+    asked = TR.with_centre(read("prediction_requests"))
+    heat = asked.select("request_id", F.explode(F.sequence(F.lit(0), F.lit(200))).alias("row")).withColumn(
+        "col", F.explode(F.sequence(F.lit(0), F.lit(200)))).withColumn("p_mean", F.lit(0.2))
+    cells = fusion.fuse_climbs(heat, asked, latest(read), is_evidence(False))
+    boosts = cells.filter("p_mean > 0.2")
     return boosts.groupBy("request_id", "row").agg(
-        F.round(F.sum(fusion.fused(F.lit(0.2), F.col("boost"))), 5).alias("heat"), F.count("*").alias("touched"))
+        F.round(F.sum("p_mean"), 5).alias("heat"), F.count("*").alias("touched"))
 
 
 @query("monte_carlo", ["prediction_requests", "weather_hours"], f"""WITH {REQ}, {RW}, {RUNS},

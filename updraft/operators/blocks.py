@@ -18,6 +18,19 @@ from pyspark.sql import functions as F
 BLOCK = "__block"
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that later filters read instead of recomputing.
+
+    A filter on a projected column is pushed below the projection with the whole
+    expression copied into it, once per use. Producing the columns with a
+    one-element generator keeps costly ones (pattern matches) at one evaluation
+    per row. It is the outer form because the plain one gains a "not empty"
+    filter that is pushed down with a copy of the whole array.
+    """
+    row = F.struct(*[e.alias(n) for n, e in columns.items()])
+    return df.select("*", F.inline_outer(F.array(row)))
+
+
 def time_block(ts, seconds: int) -> Column:
     """Block number of a timestamp."""
     ts = F.col(ts) if isinstance(ts, str) else ts

@@ -13,27 +13,30 @@ BIN = 0.1
 SIDE = grid_side()
 
 
-def climb_placements(requests: DataFrame, live: DataFrame, evidence: Column) -> DataFrame:
-    """Climbing aircraft inside each request's grid, in grid coordinates.
+def climb_placements(centres: DataFrame, live: DataFrame, evidence: Column) -> DataFrame:
+    """Climbing aircraft inside each grid, in grid coordinates.
 
-    A grid is about 0.1 degree wide, so requests are repeated into the 0.1-degree
-    bins their grid touches and aircraft look up their own bin.
+    Grids are told apart by their centre (c_i, c_j): requests that snap to one
+    centre share one grid and its climbs. A grid is about 0.1 degree wide, so it
+    is repeated into the 0.1-degree bins it touches and aircraft look up their
+    own bin.
     """
-    centre_lat, centre_lon = F.col("c_i") * K.TERRAIN_RES, F.col("c_j") * K.TERRAIN_RES
+    south = F.col("c_i") * K.TERRAIN_RES - K.GRID_RADIUS
+    west = F.col("c_j") * K.TERRAIN_RES - K.GRID_RADIUS
     span = (SIDE - 0.5) * K.GRID_RES
 
     def bins(first: Column) -> Column:
         return F.sequence(F.floor(first / BIN), F.floor((first + span) / BIN))
 
-    grids = (requests.select("request_id", (centre_lat - K.GRID_RADIUS).alias("__s"),
-                             (centre_lon - K.GRID_RADIUS).alias("__w"))
-             .withColumn("__by", F.explode(bins(F.col("__s"))))
+    grids = (centres.select("c_i", "c_j").distinct()
+             .select("c_i", "c_j", south.alias("__s"), west.alias("__w"),
+                     F.explode(bins(south)).alias("__by"))
              .withColumn("__bx", F.explode(bins(F.col("__w")))))
     climbing = live.filter(evidence & is_climbing(K.FUSION_VARIO)).select(
         "lat", "lon", "vario", F.floor(F.col("lat") / BIN).alias("__by"),
         F.floor(F.col("lon") / BIN).alias("__bx"))
     placed = climbing.join(grids, ["__by", "__bx"]).select(
-        "request_id", ((F.col("lat") - F.col("__s")) / K.GRID_RES).alias("ri"),
+        "c_i", "c_j", ((F.col("lat") - F.col("__s")) / K.GRID_RES).alias("ri"),
         ((F.col("lon") - F.col("__w")) / K.GRID_RES).alias("ci"),
         (F.least(F.col("vario") / 5.0, F.lit(1.0)) * 0.5).alias("strength"))
     return placed.filter((F.col("ri") >= 0) & (F.col("ri") < SIDE)
@@ -41,10 +44,10 @@ def climb_placements(requests: DataFrame, live: DataFrame, evidence: Column) ->
 
 
 def row_boosts(placements: DataFrame) -> DataFrame:
-    """What the climbs add to each grid row: (request_id, row, boost map col -> value).
+    """What the climbs add to each grid row: (c_i, c_j, row, boost), one value per column.
 
     Each aircraft reaches 37 x 37 cells. Contributions are summed per cell with
-    map-side combine; a row's map then has at most 201 entries.
+    map-side combine; a row's array has 201 entries, NULL where nothing reaches.
     """
     def reach(at: str) -> Column:
         centre = F.floor(at).cast("int")
@@ -55,9 +58,18 @@ def row_boosts(placements: DataFrame) -> DataFrame:
         "col", F.explode(reach("ci")))
     dy, dx = F.col("row") - F.col("ri"), F.col("col") - F.col("ci")
     bump = F.exp(-(dy * dy + dx * dx) / F.lit(2 * K.FUSION_SIGMA ** 2)) * F.col("strength")
-    per_cell = spread.groupBy("request_id", "row", "col").agg(F.sum(bump).alias("boost"))
-    return per_cell.groupBy("request_id", "row").agg(
-        F.map_from_entries(F.collect_list(F.struct("col", "boost"))).alias("boost"))
+    per_cell = spread.groupBy("c_i", "c_j", "row", "col").agg(F.sum(bump).alias("boost"))
+    by_col = per_cell.groupBy("c_i", "c_j", "row").agg(
+        F.map_from_entries(F.collect_list(F.struct("col", "boost"))).alias("__b"))
+    columns = F.sequence(F.lit(0), F.lit(SIDE - 1))
+    return by_col.select("c_i", "c_j", "row", F.transform(
+        columns, lambda c: F.try_element_at(F.col("__b"), c)).alias("boost"))
+
+
+def grid_boosts(placements: DataFrame) -> DataFrame:
+    """``row_boosts`` gathered per grid: (c_i, c_j, boosts row -> values)."""
+    return row_boosts(placements).groupBy("c_i", "c_j").agg(
+        F.map_from_entries(F.collect_list(F.struct("row", "boost"))).alias("boosts"))
 
 
 def fused(p_mean: Column, boost: Column) -> Column:
@@ -66,8 +78,12 @@ def fused(p_mean: Column, boost: Column) -> Column:
 
 
 def fuse_climbs(heat: DataFrame, requests: DataFrame, live: DataFrame, evidence: Column) -> DataFrame:
-    """Stored heat cells (request_id, row, col, p_mean) with observed climbs blended in."""
-    boosts = row_boosts(climb_placements(requests, live, evidence))
+    """Stored heat cells (request_id, row, col, p_mean) with observed climbs blended in.
+
+    ``requests`` gives each request's centre (request_id, c_i, c_j).
+    """
+    boosts = requests.select("request_id", "c_i", "c_j").join(
+        row_boosts(climb_placements(requests, live, evidence)), ["c_i", "c_j"]).drop("c_i", "c_j")
     joined = heat.join(boosts, ["request_id", "row"], "left")
     return joined.withColumn("p_mean", fused(
-        F.col("p_mean"), F.try_element_at("boost", F.col("col")))).drop("boost")
+        F.col("p_mean"), F.get(F.col("boost"), F.col("col")))).drop("boost")

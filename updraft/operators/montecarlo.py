@@ -70,38 +70,56 @@ def monte_carlo(df: DataFrame, score: Callable[[dict[str, Column]], Column],
 
 def physics_draws(requests: DataFrame, key: str = "request_id", draws: int = K.MONTE_CARLO_DRAWS,
                   seed: int = 0) -> DataFrame:
-    """Per-request weather scores under noise: ``base_runs`` and its moments.
+    """Per-request weather scores under noise, in the form cells look them up.
 
     Only weather is noisy and weather is constant over a grid, so the noisy half
-    of the physics score is computed per request, not per cell.
+    of the physics score is computed per request, not per cell: the runs in
+    increasing order, their running sums and running sums of squares, and their
+    mean and deviation.
     """
     noise = noise_draws(F.col(key), draws, seed, ("cape", "cin", "solar_ghi"))
-    runs = requests.withColumn("base_runs", F.transform(noise, lambda d: weather_score(
+    runs = requests.withColumn("__runs", F.array_sort(F.transform(noise, lambda d: weather_score(
         perturbed("cape", F.col("cape"), d), perturbed("cin", F.col("cin"), d),
-        perturbed("solar_ghi", F.col("solar_ghi"), d))))
-    mean, std = mean_and_std(F.col("base_runs"))
-    return runs.select("*", F.array_max("base_runs").alias("base_max"),
-                       mean.alias("base_mean"), std.alias("base_std"))
+        perturbed("solar_ghi", F.col("solar_ghi"), d)))))
+    mean, std = mean_and_std(F.col("__runs"))
+
+    def running(values: Column) -> Column:
+        return F.aggregate(values, F.array(F.lit(0.0)),
+                           lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
+
+    return runs.select(
+        *requests.columns, F.col("__runs").alias("base_runs"),
+        running(F.col("__runs")).alias("base_sums"),
+        running(F.transform("__runs", lambda v: v * v)).alias("base_squares"),
+        F.array_max("__runs").alias("base_top"), mean.alias("base_mean"), std.alias("base_std"))
+
+
+BASE = ("base_runs", "base_sums", "base_squares", "base_top", "base_mean", "base_std")
 
 
-def physics_monte_carlo(cells: DataFrame) -> DataFrame:
+def physics_monte_carlo(cells: DataFrame, draws: int = K.MONTE_CARLO_DRAWS) -> DataFrame:
     """p_mean and p_std of physics scores on cells carrying ``physics_draws``.
 
     A cell's runs are its terrain factor times the request's runs, clipped at 1.
-    Where no run reaches 1 the mean and deviation scale directly; the others
-    evaluate their runs.
+    How many stay below 1 is a binary search in the ordered runs; the moments
+    then follow from the running sums. Everything is generated code, with no
+    loop over the runs.
     """
-    factor = terrain_multiplier()
-    rows = cells.withColumn("__m", factor)
-    scaled = F.transform("base_runs", lambda b: F.least(b * F.col("__m"), F.lit(1.0)))
-    n = F.size("base_runs").cast("double")
-    clipped = F.col("base_max") * F.col("__m") > 1.0
-    mean = F.when(clipped, F.aggregate(scaled, F.lit(0.0), lambda s, v: s + v) / n).otherwise(
-        F.col("base_mean") * F.col("__m"))
-    rows = rows.withColumn("p_mean", mean)
-    square = F.aggregate(scaled, F.lit(0.0), lambda s, v: s + (v - F.col("p_mean")) * (v - F.col("p_mean")))
-    std = F.when(clipped, F.sqrt(square / n)).otherwise(F.col("base_std") * F.col("__m"))
-    return rows.withColumn("p_std", std).drop("__m", "base_runs", "base_max", "base_mean", "base_std")
+    rows = cells.withColumn("__m", terrain_multiplier()).withColumn("__k", F.lit(0))
+    step = 1 << (draws.bit_length() - 1)
+    while step:
+        probe = F.get(F.col("base_runs"), F.col("__k") + (step - 1))
+        rows = rows.withColumn("__k", F.when(
+            probe * F.col("__m") <= 1.0, F.col("__k") + step).otherwise(F.col("__k")))
+        step //= 2
+    m, k, n = F.col("__m"), F.col("__k"), F.lit(float(draws))
+    whole = F.col("base_top") * m <= 1.0
+    mean = (m * F.get(F.col("base_sums"), k) + (n - k)) / n
+    rows = rows.withColumn("p_mean", F.when(whole, F.col("base_mean") * m).otherwise(mean))
+    square = (m * m * F.get(F.col("base_squares"), k) + (n - k)) / n
+    deviation = F.sqrt(F.greatest(square - F.col("p_mean") * F.col("p_mean"), F.lit(0.0)))
+    return rows.withColumn("p_std", F.when(whole, F.col("base_std") * m).otherwise(deviation)).drop(
+        "__m", "__k", *BASE)
 
 
 def model_monte_carlo(cells: DataFrame, score_rows: Callable[[DataFrame], DataFrame],

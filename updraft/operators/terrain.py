@@ -130,13 +130,6 @@ def with_windows(df: DataFrame, lattice: DataFrame, half: int = HALF_WINDOW,
     return joined
 
 
-def _lerp(vector: Column, position: Column, side: int) -> Column:
-    """Linear interpolation in an array at a fractional index."""
-    low = F.least(F.floor(position), F.lit(side - 2)).cast("int")
-    share = position - low
-    return F.get(vector, low) * (F.lit(1.0) - share) + F.get(vector, low + 1) * share
-
-
 def bilinear(window: Column, side: int, y: Column, x: Column) -> Column:
     """Value of a row-major lattice window at fractional indices (y, x)."""
     y0 = F.least(F.floor(y), F.lit(side - 2)).cast("int")
@@ -161,18 +154,22 @@ def window_mean(window: Column, side: int = SIDE, fine: int = FINE) -> Column:
     return F.aggregate(F.zip_with(window, weights, lambda e, w: e * w), F.lit(0.0), lambda s, v: s + v)
 
 
-def slope_aspect(north: Column, south: Column, east: Column, west: Column,
-                 ns_span: Column, ew_span: Column) -> tuple[Column, Column]:
-    """(slope, aspect) in degrees from neighbouring elevations and their spans.
+def tilt(gx: Column, gy: Column) -> tuple[Column, Column]:
+    """(slope, aspect) in degrees from the eastward and northward gradients.
 
     Aspect is the compass bearing the slope faces (downhill).
     """
-    dy, dx = (north - south) / ns_span, (east - west) / ew_span
-    slope = F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))
-    bearing = F.degrees(F.atan2(-dx, -dy))
+    slope = F.degrees(F.atan(F.sqrt(gx * gx + gy * gy)))
+    bearing = F.degrees(F.atan2(-gx, -gy))
     return slope, F.when(bearing < 0, bearing + F.lit(360.0)).otherwise(bearing)
 
 
+def slope_aspect(north: Column, south: Column, east: Column, west: Column,
+                 ns_span: Column, ew_span: Column) -> tuple[Column, Column]:
+    """(slope, aspect) from neighbouring elevations and the distances they span."""
+    return tilt((east - west) / ew_span, (north - south) / ns_span)
+
+
 def east_west_cell_m(lat: Column, cell_m: float = CELL_M) -> Column:
     """East-west size of a cell at a latitude."""
     return F.greatest(F.lit(cell_m) * F.cos(F.radians(lat)), F.lit(1e-6))
@@ -194,14 +191,35 @@ def explode_grid(requests: DataFrame, radius: float = K.GRID_RADIUS,
             .withColumn("lon", F.col("c_j") * K.TERRAIN_RES - radius + F.col("col") * step))
 
 
-def grid_rows(requests: DataFrame, values: tuple[str, ...] = ("elevation",)) -> DataFrame:
-    """One row per grid row, each lattice window reduced to that row's vectors.
+def spread(rows: DataFrame) -> DataFrame:
+    """Grid rows over all tasks.
+
+    A few requests are a few hundred kilobytes, which adaptive execution would
+    fold into one task; the cells they turn into are not. The explicit count
+    keeps the rows apart.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["request_id", "row"] if "request_id" in rows.columns else ["c_i", "c_j", "row"]
+    return rows.repartition(tasks, *keys)
+
+
+def grid_rows(requests: DataFrame, values: tuple[str, ...] = ("elevation",),
+              carried: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """One row per grid row, each lattice window reduced to that row's ten squares.
+
+    Along a grid row a value is linear between lattice columns, so a square is
+    described by its two end values; for ``elevation`` also by the north-south
+    gradient at both ends and the end value before it. A cell then needs
+    neither an array nor a neighbour.
 
-    For ``elevation`` the vectors of the rows above and below come along, so a
-    cell can take its gradient without a neighbour lookup.
+    ``carried`` maps a new column to (map column, key column): each grid row
+    takes its own entry along instead of the whole map.
     """
     last = (SIDE - 1) * FINE
     rows = requests.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    for name, (source, key) in (carried or {}).items():
+        rows = rows.withColumn(name, F.try_element_at(source, F.col(key))).drop(source)
+    rows = spread(rows)
 
     def vector(window: str, row: Column) -> Column:
         y = row / F.lit(float(FINE))
@@ -211,37 +229,54 @@ def grid_rows(requests: DataFrame, values: tuple[str, ...] = ("elevation",)) ->
             F.get(F.col(window), low * SIDE + b) * (F.lit(1.0) - share)
             + F.get(F.col(window), (low + 1) * SIDE + b) * share))
 
-    up, down = F.least(F.col("row") + 1, F.lit(last)), F.greatest(F.col("row") - 1, F.lit(0))
-    added = [vector(f"{v}_window", F.col("row")).alias(f"__{v}") for v in values]
+    row = F.col("row")
+    up, down = F.least(row + 1, F.lit(last)), F.greatest(row - 1, F.lit(0))
+    span = (up - down) * F.lit(CELL_M)
+    vectors = {f"__{v}": vector(f"{v}_window", row) for v in values}
     if "elevation" in values:
-        added += [vector("elevation_window", up).alias("__up"),
-                  vector("elevation_window", down).alias("__down"),
-                  ((up - down) * F.lit(CELL_M)).alias("__ns")]
-    dropped = [f"{v}_window" for v in values]
-    return rows.select(*[c for c in rows.columns if c not in dropped], *added)
+        vectors["__gy"] = F.zip_with(vector("elevation_window", up), vector("elevation_window", down),
+                                     lambda n, s: (n - s) / span)
+    kept = [c for c in rows.columns if c not in [f"{v}_window" for v in values]]
+    shaped = rows.select(*kept, *[e.alias(n) for n, e in vectors.items()])
 
+    def square(b: Column) -> Column:
+        ends = [F.get(F.col(n), b + i).alias(f"{n}{i}") for n in vectors for i in (0, 1)]
+        before = [F.get(F.col("__elevation"), b - 1).alias("__before")] if "elevation" in values else []
+        return F.struct(b.alias("__b"), *ends, *before)
 
-def grid_cells(rows: DataFrame, values: tuple[str, ...] = ("elevation",)) -> DataFrame:
-    """Cells of prepared grid rows: values, and slope and aspect for elevation."""
-    last = (SIDE - 1) * FINE
-    cells = rows.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(last))))
-    col = F.col("col")
-    right, left = F.least(col + 1, F.lit(last)), F.greatest(col - 1, F.lit(0))
+    squares = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 2)), square)
+    return shaped.select(*kept, squares.alias("__squares"))
 
-    def at(vector: str, position: Column) -> Column:
-        return _lerp(F.col(vector), position / F.lit(float(FINE)), SIDE)
 
-    step = 2 * K.GRID_RADIUS / last
-    internal = [f"__{v}" for v in values] + ["__up", "__down", "__ns"]
-    kept = [c for c in cells.columns if c not in internal]
-    added = [at(f"__{v}", col).alias(v) for v in values]
+def grid_cells(rows: DataFrame, values: tuple[str, ...] = ("elevation",)) -> DataFrame:
+    """Cells of prepared grid rows: values, and slope and aspect for elevation."""
+    kept = [c for c in rows.columns if c != "__squares"]
+    # Outer: a plain generator would get a "not empty" filter with a copy of the
+    # whole array expression pushed below the shuffle.
+    squares = rows.select(*kept, F.inline_outer("__squares"))
+    inside, closing = (F.sequence(F.lit(0), F.lit(n)) for n in (FINE - 1, FINE))
+    cells = squares.withColumn("__d", F.explode(
+        F.when(F.col("__b") == SIDE - 2, closing).otherwise(inside)))
+    share = F.col("__d") / F.lit(float(FINE))
+
+    def between(name: str) -> Column:
+        return F.col(f"__{name}0") + (F.col(f"__{name}1") - F.col(f"__{name}0")) * share
+
+    step = 2 * K.GRID_RADIUS / ((SIDE - 1) * FINE)
+    col = F.col("__b") * FINE + F.col("__d")
+    added = [between(v).alias(v) for v in values]
     if "elevation" in values:
-        slope, aspect = slope_aspect(
-            at("__up", col), at("__down", col), at("__elevation", right), at("__elevation", left),
-            F.col("__ns"), (right - left) * east_west_cell_m(F.col("c_i") * K.TERRAIN_RES))
+        # Inside a square the east-west gradient is constant; on an inner lattice
+        # column it is the mean of the squares on either side.
+        square_m = F.lit(float(FINE)) * east_west_cell_m(F.col("c_i") * K.TERRAIN_RES)
+        seam = (F.col("__d") == 0) & F.col("__before").isNotNull()
+        gx = F.when(seam, (F.col("__elevation1") - F.col("__before")) / (2.0 * square_m)).otherwise(
+            (F.col("__elevation1") - F.col("__elevation0")) / square_m)
+        slope, aspect = tilt(gx, between("gy"))
         added += [slope.alias("slope"), aspect.alias("aspect")]
     return cells.select(
-        *kept, (F.col("c_i") * K.TERRAIN_RES - K.GRID_RADIUS + F.col("row") * step).alias("lat"),
+        *kept, col.alias("col"),
+        (F.col("c_i") * K.TERRAIN_RES - K.GRID_RADIUS + F.col("row") * step).alias("lat"),
         (F.col("c_j") * K.TERRAIN_RES - K.GRID_RADIUS + col * step).alias("lon"), *added)
 
 

@@ -47,9 +47,10 @@ def _attach(df: DataFrame, weather: DataFrame, on: list[str], strict: bool) -> D
                          "inner" if strict else "left")
     if strict:
         return joined.drop("__found")
-    for name, default in _fallback_columns().items():
-        joined = joined.withColumn(name, F.when(F.col("__found"), F.col(name)).otherwise(default))
-    return joined.drop("__found")
+    defaults = _fallback_columns()
+    return joined.select(*[
+        F.when(F.col("__found"), F.col(c)).otherwise(defaults[c]).alias(c) if c in defaults else F.col(c)
+        for c in joined.columns if c != "__found"])
 
 
 def with_weather(df: DataFrame, weather: DataFrame, strict: bool = False) -> DataFrame:

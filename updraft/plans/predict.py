@@ -39,22 +39,21 @@ def predict_grids(requests: DataFrame, lattice: DataFrame, live: DataFrame | Non
                   draws: int = K.MONTE_CARLO_DRAWS, seed: int = 0, rounded: bool = True) -> DataFrame:
     """Heat cells (request_id, row, col, lat, lon, p_mean, p_std) without a trained model.
 
-    Noise runs once per request. Observed climbs join at grid-row level; from
-    there on a cell is arithmetic on its row, so the 40,401 cells of a request
-    never move between tasks.
+    Noise runs and observed climbs join once per request. One shuffle spreads the
+    201 rows of each grid; from there on a cell is arithmetic on its row, so the
+    40,401 cells of a request never move between tasks.
     """
     ready = montecarlo.physics_draws(prepared_requests(requests, lattice, missing=missing), draws=draws,
                                      seed=seed)
-    slim = ready.select("request_id", "c_i", "c_j", "elevation_window", "base_runs", "base_max",
-                        "base_mean", "base_std")
-    rows = TR.grid_rows(slim)
+    slim = ready.select("request_id", "c_i", "c_j", "elevation_window", *montecarlo.BASE)
     if live is not None:
-        boosts = fusion.row_boosts(fusion.climb_placements(ready, live, evidence))
-        rows = rows.join(boosts, ["request_id", "row"], "left")
-    cells = montecarlo.physics_monte_carlo(TR.grid_cells(rows))
+        placed = fusion.climb_placements(TR.with_centre(requests), live, evidence)
+        slim = slim.join(fusion.grid_boosts(placed), ["c_i", "c_j"], "left")
+    rows = TR.grid_rows(slim, carried={"boost": ("boosts", "row")} if live is not None else {})
+    cells = montecarlo.physics_monte_carlo(TR.grid_cells(rows), draws)
     heat = F.col("p_mean")
     if live is not None:
-        heat = fusion.fused(heat, F.try_element_at("boost", F.col("col")))
+        heat = fusion.fused(heat, F.get(F.col("boost"), F.col("col")))
     clipped = F.least(F.greatest(heat, F.lit(0.0)), F.lit(1.0))
     std = F.col("p_std")
     if rounded:

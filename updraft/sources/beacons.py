@@ -11,6 +11,7 @@ from updraft import constants as K
 from updraft.functions import atmosphere as A
 from updraft.functions.geo import in_box
 from updraft.functions.rules import is_admitted, type_name
+from updraft.operators.blocks import computed_once
 from updraft.schema import require_columns
 
 WORLD = (-90.0, 90.0, -180.0, 180.0)
@@ -40,48 +41,46 @@ def parse_beacons(lines: DataFrame, value: str = "value", box=WORLD) -> DataFram
     """
     text = F.col(value)
     kept = [c for c in lines.columns if c != value]
-    report = (
+
+    def number(pattern: str, kind: str) -> Column:
+        return F.regexp_extract("__p", pattern, 1).try_cast(kind)
+
+    payload = (
         lines.filter(
             (F.length(text) > 0) & ~text.startswith("#")
             & text.contains(">") & text.contains(":"))
         .select(*kept, F.trim(F.substring_index(text, ">", 1)).alias("id"),
                 F.expr(f"substring(`{value}`, instr(`{value}`, ':') + 1)").alias("__p"))
-        .filter(F.substring("__p", 1, 1).isin("/", "@"))
-        .select(*kept, "id", "__p",
-                F.replace(F.regexp_extract("__p", POSITION, 0), F.lit("\\"), F.lit("/")).alias("__pos"),
-                F.regexp_extract("__p", TYPE_BYTE, 1).alias("__type"))
-        .filter((F.col("__pos") != "") & (F.col("__type") != ""))
-        .withColumn("ac_type", F.shiftright(F.conv("__type", 16, 10).cast("int"), 2)
-                    .bitwiseAND(F.lit(15)))
-        .filter(is_admitted("ac_type"))
-    )
-    lat_token = F.substring_index("__pos", "/", 1)
-    lon_token = F.substring_index("__pos", "/", -1)
+        .filter(F.substring("__p", 1, 1).isin("/", "@")))
+    # Type first: most lines that are dropped are dropped here, before the
+    # other patterns run.
+    typed = computed_once(payload, ac_type=F.shiftright(F.conv(
+        F.nullif(F.regexp_extract("__p", TYPE_BYTE, 1), F.lit("")), 16, 10).cast("int"), 2)
+        .bitwiseAND(F.lit(15))).filter(is_admitted("ac_type"))
+    tokens = computed_once(
+        typed,
+        __pos=F.replace(F.regexp_extract("__p", POSITION, 0), F.lit("\\"), F.lit("/")),
+        __feet=number(ALTITUDE, "bigint"), __fpm=number(CLIMB, "bigint"), __rot=number(TURN, "double"),
+        __cs=F.regexp_extract("__p", COURSE_SPEED, 1),
+    ).filter(F.col("__pos") != "")
 
     def coordinate(token: Column, degrees: int, negative: str) -> Column:
         minutes = token.substr(F.lit(degrees + 1), F.length(token) - F.lit(degrees + 1))
         return A.degrees_minutes(
             F.left(token, F.lit(degrees)), minutes, F.right(token, F.lit(1)), negative)
 
-    def number(pattern: str, kind: str) -> Column:
-        return F.nullif(F.regexp_extract("__p", pattern, 1), F.lit("")).try_cast(kind)
-
-    fields = report.select(
-        *kept, "id", "ac_type",
-        coordinate(lat_token, 2, "S").alias("lat"),
-        coordinate(lon_token, 3, "W").alias("lon"),
-        F.coalesce(A.feet_to_metres(number(ALTITUDE, "bigint")), F.lit(0)).alias("alt"),
-        F.coalesce(A.fpm_to_mps(number(CLIMB, "bigint")), F.lit(0.0)).alias("vario"),
-        F.coalesce(A.rot_to_deg_s(number(TURN, "double")), F.lit(0.0)).alias("__turn"),
-        F.regexp_extract("__p", COURSE_SPEED, 1).alias("__cs"),
-    ).filter(in_box("lat", "lon", box))
+    located = computed_once(
+        tokens, lat=coordinate(F.substring_index("__pos", "/", 1), 2, "S"),
+        lon=coordinate(F.substring_index("__pos", "/", -1), 3, "W")).filter(in_box("lat", "lon", box))
     course = F.left(F.col("__cs"), F.lit(3)).try_cast("int")
     knots = F.right(F.col("__cs"), F.lit(3)).try_cast("int")
-    return fields.select(
-        *kept, "id", "lat", "lon", "alt", "vario",
+    return located.select(
+        *kept, "id", "lat", "lon",
+        F.coalesce(A.feet_to_metres("__feet"), F.lit(0)).alias("alt"),
+        F.coalesce(A.fpm_to_mps("__fpm"), F.lit(0.0)).alias("vario"),
         F.when(course > 0, course).alias("heading"),
         F.coalesce(A.knots_to_kmh(knots), F.lit(0)).alias("speed_kmh"),
-        (F.abs("__turn") > K.CIRCLING_DEG_S).alias("circling"),
+        (F.abs(F.coalesce(A.rot_to_deg_s("__rot"), F.lit(0.0))) > K.CIRCLING_DEG_S).alias("circling"),
         "ac_type", type_name("ac_type").alias("ac_type_name"),
         (F.col("ac_type") == K.TOW_TYPE).alias("is_tow"),
         F.lit(False).alias("under_tow"),
