@@ -170,7 +170,7 @@ def _(read):
 # --- Terrain -----------------------------------------------------------------
 
 SLOPE = """degrees(atan(sqrt(pow({dx}, 2) + pow({dy}, 2)))) AS slope,
-  CASE WHEN degrees(atan2(-{dx}, -{dy})) < 0 THEN degrees(atan2(-{dx}, -{dy})) + 360 ELSE degrees(atan2(-{dx}, -{dy})) END AS aspect"""
+  CASE WHEN pow({dx}, 2) + pow({dy}, 2) < 1e-18 THEN 180 WHEN degrees(atan2(-{dx}, -{dy})) < 0 THEN degrees(atan2(-{dx}, -{dy})) + 360 ELSE degrees(atan2(-{dx}, -{dy})) END AS aspect"""
 GRID = f"""{REQ},
 good AS (SELECT c_i, c_j FROM (SELECT DISTINCT c_i, c_j FROM rq) c JOIN elevation_points e ON e.lat_i BETWEEN c_i - 5 AND c_i + 5 AND e.lon_j BETWEEN c_j - 5 AND c_j + 5
   GROUP BY c_i, c_j HAVING count(*) = 121),

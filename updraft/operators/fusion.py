@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from updraft import constants as K
 from updraft.functions.geo import grid_side
 from updraft.functions.rules import is_climbing
+from updraft.operators.blocks import computed_once
 
 BIN = 0.1
 SIDE = grid_side()
@@ -59,8 +60,10 @@ def row_boosts(placements: DataFrame) -> DataFrame:
     dy, dx = F.col("row") - F.col("ri"), F.col("col") - F.col("ci")
     bump = F.exp(-(dy * dy + dx * dx) / F.lit(2 * K.FUSION_SIGMA ** 2)) * F.col("strength")
     per_cell = spread.groupBy("c_i", "c_j", "row", "col").agg(F.sum(bump).alias("boost"))
-    by_col = per_cell.groupBy("c_i", "c_j", "row").agg(
-        F.map_from_entries(F.collect_list(F.struct("col", "boost"))).alias("__b"))
+    entries = per_cell.groupBy("c_i", "c_j", "row").agg(
+        F.collect_list(F.struct("col", "boost")).alias("__e"))
+    # Computed once: inside the lambda below, the map would be rebuilt per column.
+    by_col = computed_once(entries, __b=F.map_from_entries("__e"))
     columns = F.sequence(F.lit(0), F.lit(SIDE - 1))
     return by_col.select("c_i", "c_j", "row", F.transform(
         columns, lambda c: F.try_element_at(F.col("__b"), c)).alias("boost"))

@@ -46,11 +46,17 @@ def perturbed(name: str, value: Column, draw: Column) -> Column:
 
 
 def mean_and_std(values: Column) -> tuple[Column, Column]:
-    """(mean clipped to [0, 1], population standard deviation) of an array."""
-    n = F.size(values).cast("double")
-    mean = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / n
-    square = F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
-    return F.least(F.greatest(mean, F.lit(0.0)), F.lit(1.0)), F.sqrt(square / n)
+    """(mean clipped to [0, 1], population standard deviation) of an array.
+
+    Sums are taken around the first element, which keeps the deviation exact
+    without folding the mean into a second pass.
+    """
+    n, pivot = F.size(values).cast("double"), F.get(values, F.lit(0))
+    first = F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - pivot)) / n
+    second = F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - pivot) * (v - pivot)) / n
+    mean = pivot + first
+    return (F.least(F.greatest(mean, F.lit(0.0)), F.lit(1.0)),
+            F.sqrt(F.greatest(second - first * first, F.lit(0.0))))
 
 
 def monte_carlo(df: DataFrame, score: Callable[[dict[str, Column]], Column],

@@ -19,6 +19,7 @@ FINE = round(K.TERRAIN_RES / K.GRID_RES)
 HALF_WINDOW = round(K.GRID_RADIUS / K.TERRAIN_RES)
 SIDE = 2 * HALF_WINDOW + 1
 CELL_M = K.GRID_RES * K.METRES_PER_DEGREE
+LEVEL = 1e-9
 
 
 # --- Point lookups -----------------------------------------------------------
@@ -157,11 +158,15 @@ def window_mean(window: Column, side: int = SIDE, fine: int = FINE) -> Column:
 def tilt(gx: Column, gy: Column) -> tuple[Column, Column]:
     """(slope, aspect) in degrees from the eastward and northward gradients.
 
-    Aspect is the compass bearing the slope faces (downhill).
+    Aspect is the compass bearing the slope faces (downhill). Level ground reads
+    180, which is what signed zeros give; Spark's atan2 drops the sign of zero.
+    Gradients under a nanometre per metre are rounding noise and count as level.
     """
-    slope = F.degrees(F.atan(F.sqrt(gx * gx + gy * gy)))
+    steep = gx * gx + gy * gy
+    slope = F.degrees(F.atan(F.sqrt(steep)))
     bearing = F.degrees(F.atan2(-gx, -gy))
-    return slope, F.when(bearing < 0, bearing + F.lit(360.0)).otherwise(bearing)
+    return slope, (F.when(steep < LEVEL * LEVEL, F.lit(180.0))
+                   .when(bearing < 0, bearing + F.lit(360.0)).otherwise(bearing))
 
 
 def slope_aspect(north: Column, south: Column, east: Column, west: Column,
