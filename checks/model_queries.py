@@ -19,7 +19,7 @@ from updraft.operators import live as L
 from updraft.operators import terrain as TR
 from updraft.operators import weather as W
 from updraft.operators.occupants import first_candidates, grid_occupants
-from updraft.plans import evaluation, features, predict, samples, training
+from updraft.plans import evaluation, predict, samples, training
 
 # --- Geometry ----------------------------------------------------------------
 
@@ -663,13 +663,3 @@ def _(read):
     layers = evaluation.Layers(index=index_of(read), landcover=cover_areas(read))
     report, _delta = evaluation.compare(buffer(read), ("base", "solar"), layers, mode="holdout", config=QUICK)
     return report
-
-
-@query("model_prediction", ["beacons"])
-def _(read):
-    model = training.fit(buffer(read), config=training.FitConfig(rounds=5))
-    cells = features.build_features(
-        TR.grid_cells(TR.grid_rows(predict.prepared_requests(
-            requests_with_weather(read), read("elevation_points")).drop("lat", "lon"))), predict.CELL_KEYS)
-    heat = predict.predict_grids_with_model(cells, lambda rows: training.served(rows, model), draws=5)
-    return predict.grid_summary(heat)

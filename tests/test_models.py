@@ -211,3 +211,14 @@ def test_noise_is_seeded_and_normal(spark):
     draws = spark.range(200).select(F.explode(montecarlo.noise_draws(F.col("id"), 20)).alias("d"))
     stats = draws.agg(F.avg("d.cape"), F.stddev("d.cape")).first()
     assert stats[0] == pytest.approx(0, abs=0.02) and stats[1] == pytest.approx(0.15, abs=0.01)
+
+
+def test_model_monte_carlo(spark):
+    rows = buffer_rows(spark, groups=20).cache()
+    model = training.fit(rows, config=training.FitConfig(rounds=2, depth=2))
+    cells = rows.limit(50).withColumn("request_id", F.lit(1)).withColumnRenamed("seq", "cell")
+    heat = montecarlo.model_monte_carlo(cells, lambda r: training.served(r, model), ["request_id", "cell"], draws=4)
+    got = heat.collect()
+    assert len(got) == 50 and all(0 <= r["p_mean"] <= 1 and r["p_std"] >= 0 for r in got)
+    # This model ranks by slope, which noise does not touch.
+    assert max(r["p_std"] for r in got) < 0.2

@@ -69,7 +69,8 @@ def test_live_table(spark, tmp_path):
 
 def test_hourly_index(spark, tmp_path):
     rows = columns(spark).withColumn("ts", F.timestamp_seconds(F.lit(1718956800) + F.col("seq") * 60))
-    end = rows.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(1718956800 + 10 ** 6))).withColumn("seq", F.lit(999).cast("bigint"))
+    end = rows.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(1718956800 + 10 ** 6))).withColumns(
+        {"seq": F.lit(999).cast("bigint"), "ac_type": F.lit(1), "under_tow": F.lit(False)})
     stream = source(spark, tmp_path, rows.unionByName(end))
     out = str(tmp_path / "out")
     run(S.hourly_climb_index(stream).writeStream.format("parquet").option("path", out)

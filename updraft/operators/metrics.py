@@ -89,8 +89,9 @@ def _weighted(groups: DataFrame, gid: str, draws: int, seed: int, columns: list[
     return weighted.groupBy("draw").agg(*[F.sum(F.col(c) * F.col("__w")).alias(c) for c in columns])
 
 
-def _draw_sums(groups: DataFrame, gid: str, draws: int, seed: int, columns: list[str],
-               method: str) -> DataFrame:
+def draw_sums(groups: DataFrame, gid: str, draws: int, seed: int, columns: list[str],
+              method: str = "auto") -> DataFrame:
+    """Sums of per-group columns under each bootstrap draw of whole groups."""
     count = groups.count() if method in ("auto", "index") else None
     if method == "index" or (method == "auto" and count <= MAX_INDEXED_GROUPS):
         if count > MAX_INDEXED_GROUPS:
@@ -115,7 +116,7 @@ def bootstrap_ci(pairs: DataFrame, draws: int = K.REPORT_DRAWS, alpha: float = 0
     few enough to broadcast (their number is counted first), Poisson weights
     beyond that; draws depend only on hashes, so a rerun gives the same interval.
     """
-    sums = _draw_sums(pairs, gid, draws, seed, ["concordant", "pairs"], method)
+    sums = draw_sums(pairs, gid, draws, seed, ["concordant", "pairs"], method)
     values = sums.select((F.col("concordant") / F.col("pairs")).alias("value"))
     point = grouped_auc(pairs).select(F.col("micro").alias("point"), "groups")
     return _one_row(point, _interval(values, alpha)).select("point", "lo", "hi", "groups")
@@ -131,7 +132,7 @@ def paired_delta_ci(pairs_a: DataFrame, pairs_b: DataFrame, draws: int = K.REPOR
     """
     both = paired(pairs_a, pairs_b, gid)
     columns = ["ca", "ta", "cb", "tb"]
-    sums = _draw_sums(both.dropna(), gid, draws, seed, columns, method)
+    sums = draw_sums(both.dropna(), gid, draws, seed, columns, method)
     values = sums.select((F.col("cb") / F.col("tb") - F.col("ca") / F.col("ta")).alias("value"))
     nan = F.lit(float("nan"))
     matched = (F.count(F.lit(1)) > 0) & (F.count_if(F.col("ta").isNull() | F.col("tb").isNull()) == 0)

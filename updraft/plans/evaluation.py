@@ -14,10 +14,11 @@ from updraft.functions.atmosphere import decode_timestamp
 from updraft.functions.rules import physics_probability, terrain_multiplier
 from updraft.functions.solar import solar_feature
 from updraft.operators.landcover import with_landcover_at_point
-from updraft.operators.metrics import bootstrap_ci, group_pairs, grouped_auc, paired_delta_ci
+from updraft.operators.metrics import draw_sums, group_pairs, paired_delta_ci
 from updraft.operators.prior import index_statistics, with_prior
 from updraft.operators.splits import on_side, with_fold, with_group, with_split
 from updraft.plans.training import FitConfig, fit, raw_score
+from updraft.session import durable
 
 
 @dataclass(frozen=True)
@@ -95,14 +96,34 @@ def held_out(samples: DataFrame, variant: Variant, layers: Layers = Layers(),
     return raw_score(split.filter("split = 'benchmark'"), model)
 
 
-def ranker_report(name: str, rows: DataFrame, score: str, draws: int = K.REPORT_DRAWS) -> DataFrame:
-    """One ranker's pooled and mean score with its interval."""
-    pairs = group_pairs(rows, score)
-    one = F.lit(1)
-    auc = grouped_auc(pairs).withColumn("__one", one)
-    ci = bootstrap_ci(pairs, draws).select("lo", "hi").withColumn("__one", one)
-    return auc.join(ci, "__one").select(
-        F.lit(name).alias("ranker"), "micro", "macro", "lo", "hi", "groups", "pairs")
+def rankers_report(rankers: Sequence[tuple[str, DataFrame, str]],
+                   draws: int = K.REPORT_DRAWS) -> DataFrame:
+    """Pooled and mean score with its interval, one row per (name, rows, score column).
+
+    All rankers are counted in one pass, and their intervals come from one set
+    of resampled groups.
+    """
+    shift = 1 << 44
+    long = reduce(DataFrame.unionByName, [
+        rows.select("label", (F.col("gid") + F.lit(i * shift)).alias("gid"), F.col(score).alias("s"))
+        for i, (_, rows, score) in enumerate(rankers)])
+    which = F.floor(F.col("gid") / F.lit(shift)).cast("int")
+    pairs = durable(group_pairs(long, "s").withColumn("r", which))
+    count = range(len(rankers))
+    wide = pairs.groupBy(F.pmod("gid", F.lit(shift)).alias("gid")).agg(*[
+        F.max(F.when(F.col("r") == i, F.col(c))).alias(f"{c}{i}") for i in count for c in ("concordant", "pairs")])
+    sums = draw_sums(wide, "gid", draws, 0, [f"{c}{i}" for i in count for c in ("concordant", "pairs")])
+    bounds = F.array(F.lit(0.025), F.lit(0.975))
+    intervals = sums.agg(*[
+        F.percentile(F.col(f"concordant{i}") / F.col(f"pairs{i}"), bounds).alias(f"b{i}") for i in count])
+    rows = intervals.select(F.inline(F.array(*[F.struct(
+        F.lit(i).alias("r"), F.lit(name).alias("ranker"), F.get(F.col(f"b{i}"), F.lit(0)).alias("lo"),
+        F.get(F.col(f"b{i}"), F.lit(1)).alias("hi")) for i, (name, _, _) in enumerate(rankers)])))
+    scores = pairs.groupBy("r").agg(
+        (F.sum("concordant") / F.sum("pairs")).alias("micro"),
+        F.avg(F.col("concordant") / F.col("pairs")).alias("macro"),
+        F.count(F.lit(1)).alias("groups"), F.sum("pairs").alias("pairs"))
+    return rows.join(scores, "r").select("ranker", "micro", "macro", "lo", "hi", "groups", "pairs")
 
 
 def baseline_scores(rows: DataFrame) -> DataFrame:
@@ -130,15 +151,14 @@ def compare(samples: DataFrame, variants: Sequence[str] = ("base", "solar"),
         variant = VARIANTS[name]
         rows = (out_of_fold(samples, variant, layers, k, config=config) if mode == "cv"
                 else held_out(samples, variant, layers, config))
-        scored[name] = rows.withColumn("served", F.col("score") * terrain_multiplier())
+        # Each ranker below reads the scores several times; the models run once.
+        scored[name] = durable(rows.withColumn("served", F.col("score") * terrain_multiplier()))
     reference = baseline_scores(scored[variants[0]])
-    reports = [ranker_report(n, reference, n, draws)
-               for n in ("constant", "terrain", "physics", "incidence")]
+    rankers = [(n, reference, n) for n in ("constant", "terrain", "physics", "incidence")]
     for name, rows in scored.items():
-        reports.append(ranker_report(f"{name} (raw)", rows, "score", draws))
-        reports.append(ranker_report(f"{name} (served)", rows, "served", draws))
+        rankers += [(f"{name} (raw)", rows, "score"), (f"{name} (served)", rows, "served")]
     delta = None
     if len(variants) == 2:
         a, b = (group_pairs(scored[v], "served") for v in variants)
         delta = paired_delta_ci(a, b, draws)
-    return reduce(DataFrame.unionByName, reports), delta
+    return rankers_report(rankers, draws), delta
