@@ -537,15 +537,18 @@ def _(read):
         F.count("*").alias("n"), F.min("seq").alias("oldest"))
 
 
-def own_cell_sql(src: str) -> str:
-    """Terrain of each row's own cell: ``src`` has seq, lat, lon, c_i, c_j."""
-    return f"""fc AS (SELECT *, CAST(round_even((lat - (c_i * 0.01e0 - 0.05e0)) / 0.1e0 * 200, 0) AS BIGINT) AS r,
+def own_cell_sql(src: str, half: int = 1) -> str:
+    """Terrain of each row's own cell: ``src`` has lat, lon, c_i, c_j; 0 without a whole window."""
+    return f"""whole AS (SELECT c_i, c_j, true AS known FROM (SELECT DISTINCT c_i, c_j FROM {src}) k JOIN elevation_points e
+  ON e.lat_i BETWEEN c_i - {half} AND c_i + {half} AND e.lon_j BETWEEN c_j - {half} AND c_j + {half} GROUP BY c_i, c_j HAVING count(*) = {(2 * half + 1) ** 2}),
+fc AS (SELECT *, CAST(round_even((lat - (c_i * 0.01e0 - 0.05e0)) / 0.1e0 * 200, 0) AS BIGINT) AS r,
   CAST(round_even((lon - (c_j * 0.01e0 - 0.05e0)) / 0.1e0 * 200, 0) AS BIGINT) AS c FROM {src}),
 fq AS (SELECT DISTINCT c_i, c_j, r, c FROM fc),
 nb AS (SELECT *, y // 20 AS li, x // 20 AS lj, y % 20 / 20e0 AS wy, x % 20 / 20e0 AS wx FROM (
   SELECT *, c_i * 20 - 100 + least(200, greatest(0, r + a)) AS y, c_j * 20 - 100 + least(200, greatest(0, c + b)) AS x
   FROM fq, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(a, b))),
-ne AS (SELECT nb.*, (coalesce(e00.elevation, 0) * (1 - wx) + coalesce(e01.elevation, 0) * wx) * (1 - wy) + (coalesce(e10.elevation, 0) * (1 - wx) + coalesce(e11.elevation, 0) * wx) * wy AS e FROM nb
+ne AS (SELECT nb.*, CASE WHEN known THEN (coalesce(e00.elevation, 0) * (1 - wx) + coalesce(e01.elevation, 0) * wx) * (1 - wy) + (coalesce(e10.elevation, 0) * (1 - wx) + coalesce(e11.elevation, 0) * wx) * wy ELSE 0 END AS e
+  FROM nb LEFT JOIN whole USING (c_i, c_j)
   LEFT JOIN elevation_points e00 ON e00.lat_i = li AND e00.lon_j = lj LEFT JOIN elevation_points e01 ON e01.lat_i = li AND e01.lon_j = lj + 1
   LEFT JOIN elevation_points e10 ON e10.lat_i = li + 1 AND e10.lon_j = lj LEFT JOIN elevation_points e11 ON e11.lat_i = li + 1 AND e11.lon_j = lj + 1),
 te AS (SELECT c_i, c_j, r, c, max(e) FILTER (a = 0 AND b = 0) AS elevation,
@@ -615,7 +618,7 @@ def _(read):
 @query("live_samples", ["beacons", "weather_hours", "elevation_points"], f"""WITH RECURSIVE {CYC},
 pt AS (SELECT o.*, round_even(o.g.la / 0.01e0, 0)::BIGINT AS c_i, round_even(o.g.lo / 0.01e0, 0)::BIGINT AS c_j, k.lat AS k_lat, k.lon AS k_lon
   FROM occ o JOIN cd k ON k.cycle = o.cycle AND k.id = o.g.id WHERE o.g IS NOT NULL),
-{own_cell_sql('pt')},
+{own_cell_sql('pt', 5)},
 j AS (SELECT td.*, coalesce(wx.cape, 600) AS cape, coalesce(wx.thermal_base, 1200) AS base FROM td LEFT JOIN wx
   ON wx.lat_b = round_even(k_lat * 2, 0) / 2 AND wx.lon_b = round_even(k_lon * 2, 0) / 2 AND wx.hour_no = td.hour_no)
 SELECT cycle, id, g.id AS g_id, CAST(circling AND vario > 1.5 AS INT) AS label, CASE WHEN base > 0 AND alt - elevation > base + 300 THEN 'above_base' ELSE 'added' END AS reason,
