@@ -377,9 +377,9 @@ heat AS (SELECT request_id, r, c, list_avg(list_transform(w, lambda x: least(1,
   FROM (SELECT request_id, r, c, w, {MULT} AS m FROM rw JOIN grid USING (c_i, c_j) JOIN runs USING (request_id))),
 fused AS (SELECT request_id, r, c, least(1, greatest(0, p + coalesce(boost, 0))) AS p, sd FROM heat LEFT JOIN bo USING (request_id, r, c))
 SELECT request_id, round(max(p), 5) AS heat_max, round(avg(p), 5) AS heat_mean, round(avg(sd), 5) AS std_mean, count(*) AS cells FROM fused GROUP BY request_id""")
-def predict_grid(read):
+def predict_grid(read, missing="drop"):
     heat = predict.predict_grids(requests_with_weather(read), read("elevation_points"), latest(read),
-                                 is_evidence(False), rounded=False)
+                                 is_evidence(False), missing=missing, rounded=False)
     out = predict.grid_summary(heat)
     return out.select("request_id", "cells", *[F.round(c, 5).alias(c) for c in ("heat_max", "heat_mean", "std_mean")])
 
