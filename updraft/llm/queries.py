@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from updraft.llm.pieces import op6_pieces
+from updraft.llm.rules import OP8_SQL, op8_host_rules
 
 QUERIES = {
     "op6_pieces": op6_pieces,
+    "op8_host_rules": op8_host_rules,
+}
+ORACLES = {
+    "op8_host_rules": OP8_SQL,
 }
-ORACLES: dict[str, str] = {}
