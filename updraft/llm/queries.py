@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from updraft.llm.pieces import op6_pieces
 from updraft.llm.rules import OP8_SQL, op8_host_rules
+from updraft.llm.secrets import op7_secret_ledger
 
 QUERIES = {
     "op6_pieces": op6_pieces,
+    "op7_secret_ledger": op7_secret_ledger,
     "op8_host_rules": op8_host_rules,
 }
 ORACLES = {
