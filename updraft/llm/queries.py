@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from updraft.llm.near import op5_lsh_forest
 from updraft.llm.pieces import op6_pieces
 from updraft.llm.rules import OP8_SQL, op8_host_rules
 from updraft.llm.secrets import op7_secret_ledger
 
 QUERIES = {
+    "op5_lsh_forest": op5_lsh_forest,
     "op6_pieces": op6_pieces,
     "op7_secret_ledger": op7_secret_ledger,
     "op8_host_rules": op8_host_rules,
