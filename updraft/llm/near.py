@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from updraft.llm import shingles
@@ -56,17 +56,18 @@ BROADCAST_IDS = 300_000
 _ORDERS = np.stack([np.random.default_rng(1000 + t).permutation(shingles.HASHES)[:LEVELS] for t in range(TREES)])
 
 
-def _shingled_row(doc_id, text: bytes) -> tuple:
+def _shingled_row(doc_id, key, text: bytes) -> tuple:
     s = shingles.shingle_set(text)
     if not len(s):
-        return doc_id, 0, None, None
-    return doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), shingles.signature(s).tobytes()
+        return doc_id, key, 0, None, None
+    return doc_id, key, len(s), xxhash.xxh3_128_digest(s.tobytes()), shingles.signature(s).tobytes()
 
 
-def shingled(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set, null if empty) and signature of every row."""
-    return batch_rows(docs.select("doc_id", whole_text().alias("text")), _shingled_row,
-                      "doc_id long, n_shingles long, node binary, signature binary")
+def shingled(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """doc_id, key, n_shingles, node (digest of the set, null if empty) and signature of every row."""
+    key = F.lit(0) if key is None else key
+    return batch_rows(docs.select("doc_id", key.cast("long").alias("key"), whole_text().alias("text")), _shingled_row,
+                      "doc_id long, key long, n_shingles long, node binary, signature binary")
 
 
 def _columns(batch: pa.RecordBatch, name: str, width: int, kind) -> np.ndarray:
@@ -257,9 +258,12 @@ def near_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return first.unionByName(written(confirmed(rest, sets), "links"))
 
 
-def classify(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node, component_id and kept of every row of ``docs``."""
-    rows = written(shingled(docs), "shingled")
+def classify(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """doc_id, key, n_shingles, class (a node of the component), component_id and kept of every row.
+
+    ``key`` is a number that goes along, to tell rows of one doc_id apart.
+    """
+    rows = written(shingled(docs, key), "shingled")
     roots = components(near_links(docs, rows))
     # Only nodes with links or several rows have a component other than their row's id.
     counted = rows.where("node is not null").groupBy("node").agg(
@@ -267,14 +271,15 @@ def classify(docs: DataFrame) -> DataFrame:
     placed = counted.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
     linked = placed.where("root is not null")
     lows = linked.groupBy("class").agg(F.min("low").alias("component_id"))
-    labels = linked.join(lows, "class").select("node", "component_id").unionByName(
-        placed.where("root is null and n > 1").select("node", F.col("low").alias("component_id")))
+    labels = linked.join(lows, "class").select("node", "class", "component_id").unionByName(
+        placed.where("root is null and n > 1").select("node", "class", F.col("low").alias("component_id")))
     labels = labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(
         "placed", F.lit(True))
     salted = rows.drop("signature").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     out = salted.join(labels, ["node", "salt"], "left")
     component = F.when(F.col("placed"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", "node", component.alias("component_id")).withColumn(
+    return out.select("doc_id", "key", "n_shingles", F.coalesce("class", "node").alias("class"),
+                      component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

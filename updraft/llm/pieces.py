@@ -18,6 +18,7 @@ import hashlib
 import re
 
 import ahocorasick
+import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,8 +178,11 @@ def _digest_row(doc_id, text: bytes, path: str) -> tuple:
 
 def _id_row(doc_id, text: bytes, path: str) -> tuple:
     m = model(path)
-    ids = m.encode(text.decode("utf-8", "replace"))
-    return doc_id, ids, m.decode(ids)
+    found = list(map(m.chunks.__getitem__, m.split(text.decode("utf-8", "replace"))))
+    decimal = b"".join([f[0] for f in found]) + str(m.end_id).encode()
+    decoded = b"".join([f[1] for f in found])
+    ids = np.array(decimal.split(), np.int32)
+    return doc_id, ids, decoded[decoded[:1] == b" ":].decode("utf-8", "replace")
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:

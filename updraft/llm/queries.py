@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from updraft.llm.mixing import op9_raking
 from updraft.llm.near import op5_lsh_forest
 from updraft.llm.pieces import op6_pieces
 from updraft.llm.rules import OP8_SQL, op8_host_rules
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_pieces": op6_pieces,
     "op7_secret_ledger": op7_secret_ledger,
     "op8_host_rules": op8_host_rules,
+    "op9_raking": op9_raking,
 }
 ORACLES = {
     "op8_host_rules": OP8_SQL,

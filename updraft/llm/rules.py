@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from updraft.llm.common import batch_rows, read, whole_text, written
@@ -34,7 +34,7 @@ HOST_LIMIT = 0.75
 RULES = ("short", "repeats", "symbols", "dup_lines", "word_length")
 MIN_PRIOR, MAX_PRIOR = 2.0, 10_000.0
 SALTS = 32
-SIGNALS = ("doc_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+SIGNALS = ("doc_id long, key long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
            "n_repeat_words long, n_lines long")
 
 
@@ -55,17 +55,19 @@ def repeat_words(words: list, window: int = WINDOW) -> int:
     return covered
 
 
-def _signal_row(doc_id, source, text: bytes) -> tuple:
+def _signal_row(doc_id, key, source, text: bytes) -> tuple:
     words = text.split()     # ASCII white space, as bytes
     joined = b"".join(words)
     lines = [line for line in text.split(b"\n") if not line.isspace() and line]
-    return (doc_id, source, len(words), len(joined.decode("utf-8", "replace")), sum(map(text.count, SYMBOLS)),
+    return (doc_id, key, source, len(words), len(joined.decode("utf-8", "replace")), sum(map(text.count, SYMBOLS)),
             len(lines) - len(set(lines)), repeat_words(words), len(lines))
 
 
-def signals(docs: DataFrame) -> DataFrame:
-    """The counts of every document that the rules read."""
-    return batch_rows(docs.select("doc_id", "source", whole_text().alias("text")), _signal_row, SIGNALS)
+def signals(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """The counts of every document that the rules read; ``key`` goes along to tell rows of one doc_id apart."""
+    key = F.lit(0) if key is None else key
+    return batch_rows(docs.select("doc_id", key.cast("long").alias("key"), "source", whole_text().alias("text")),
+                      _signal_row, SIGNALS)
 
 
 def with_rules(counted: DataFrame) -> DataFrame:
@@ -118,13 +120,13 @@ def host_verdicts(hosts: DataFrame, priors: dict[str, tuple[float, float]], limi
     return hosts.withColumn("host_failed", F.greatest(*[f"{r}_rate" for r in RULES]) > limit)
 
 
-def judge_documents(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+def judge_documents(docs: DataFrame, limit: float = HOST_LIMIT, key: Column | None = None) -> DataFrame:
     """Signals, rule results, ``host_failed`` and ``kept`` of every document.
 
     The signals are stored once, since the host table and the result read them.
     A hot host is spread over ``SALTS`` join keys; the host table is copied that often.
     """
-    judged = with_rules(written(signals(docs), "signals"))
+    judged = with_rules(written(signals(docs, key), "signals"))
     hosts = host_failures(judged)
     failing = host_verdicts(hosts, beta_priors(hosts), limit).where("host_failed").select(
         "source", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "host_failed")

@@ -116,17 +116,21 @@ def scan_history(history: DataFrame, ledger: DataFrame | None = None, findings:
     return blobs, ledger.unionByName(done), findings.unionByName(found)
 
 
-def by_path(blobs: DataFrame, findings: DataFrame, rules=RULES) -> DataFrame:
-    """Every path and version with the spans of its blob under the current rule versions.
-
-    A blob with very many copies is spread over ``SALTS`` join keys.
-    """
+def spans_by_blob(findings: DataFrame, rules=RULES) -> DataFrame:
+    """blob and its spans in order, under the current rule versions."""
     now = F.lit(False)
     for r in rules:
         now = now | ((F.col("kind") == r.kind) & (F.col("rule_version") == r.version))
     span = F.struct("start", "kind_order", "end", "kind")
-    spans = findings.where(now).groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    copies = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return findings.where(now).groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+
+
+def by_path(blobs: DataFrame, findings: DataFrame, rules=RULES) -> DataFrame:
+    """Every path and version with the spans of its blob.
+
+    A blob with very many copies is spread over ``SALTS`` join keys.
+    """
+    copies = spans_by_blob(findings, rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = blobs.withColumn("salt", F.pmod(F.xxhash64("path", "version"), F.lit(SALTS)).cast("int"))
     return salted.join(copies, ["blob", "salt"], "left").drop("salt")
 
