@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from updraft.llm.chat import op10_prefix_rendering
 from updraft.llm.mixing import op9_raking
 from updraft.llm.near import op5_lsh_forest
 from updraft.llm.pieces import op6_pieces
@@ -14,6 +15,7 @@ QUERIES = {
     "op7_secret_ledger": op7_secret_ledger,
     "op8_host_rules": op8_host_rules,
     "op9_raking": op9_raking,
+    "op10_prefix_rendering": op10_prefix_rendering,
 }
 ORACLES = {
     "op8_host_rules": OP8_SQL,
