@@ -6,10 +6,12 @@ from updraft.llm.chat import op10_prefix_rendering
 from updraft.llm.mixing import op9_raking
 from updraft.llm.near import op5_lsh_forest
 from updraft.llm.pieces import op6_pieces
+from updraft.llm.records import op3_records
 from updraft.llm.rules import OP8_SQL, op8_host_rules
 from updraft.llm.secrets import op7_secret_ledger
 
 QUERIES = {
+    "op3_records": op3_records,
     "op5_lsh_forest": op5_lsh_forest,
     "op6_pieces": op6_pieces,
     "op7_secret_ledger": op7_secret_ledger,
