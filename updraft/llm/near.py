@@ -4,12 +4,12 @@ Each distinct set has a min-hash signature. A tree of the forest is one order of
 the signature's values: the sets sorted by these values, where neighbours share
 the longest prefixes. Sets sharing fewer than ``DEPTH`` values with every other
 set in all trees have no near copy and leave early. The rest are sorted by every
-tree; each meets its ``REACH`` nearest on either side among those that share the
-first ``DEPTH`` values. In a sparse region that reaches everything at that depth,
-in a dense one the neighbours share ever longer prefixes: the depth follows the
-region. Candidates are confirmed on full sets in two steps, so that a large group
-of near copies is joined by few links first and only pairs across what is still
-apart are confirmed then.
+tree, and neighbours that share the first ``DEPTH`` values at least are confirmed
+on their full sets; a large group of near copies is joined by such few links. Then
+they are sorted by other trees, and each meets its ``REACH`` nearest on either side
+that share ``DEPTH`` values and are in another component still. In a sparse region
+that reaches everything at that depth, in a dense one the neighbours share ever
+longer prefixes: the depth follows the region.
 
 * Copies are one node (the digest of their set); links and components are of nodes.
 * Null or wordless texts have the empty set, are linked with nothing and kept.
@@ -21,7 +21,7 @@ apart are confirmed then.
 
 A true link is missed only if the two sets share no ``DEPTH`` values in any tree
 (at the threshold less than 1 in 400,000) or, in a region with more than
-``2 * REACH`` sets, if neither the pair nor a chain through others is adjacent in
+``2 * REACH`` sets, if neither the pair nor a chain through others is in reach in
 any tree. README gives measured figures.
 """
 
@@ -42,9 +42,10 @@ from updraft.llm.components import components
 THRESHOLD = 75      # per cent of the union
 DEPTH = 3
 SCREEN_TREES = 24   # orders in which sets without partners are screened out
-TREES = 32
+FIRST_TREES = 32    # orders whose neighbours are confirmed first
+OTHER_TREES = 64    # further orders, for pairs across components
 LEVELS = 12         # values of a signature order that sort a tree
-REACH = 16
+REACH = 8
 SKETCH = 128        # one byte of each signature value goes along to estimate likeness
 #: Estimated likeness below which a candidate is not confirmed: 4.4 standard errors under the threshold.
 ESTIMATE = 0.58
@@ -53,7 +54,7 @@ SALTS = 16
 #: Ids up to this many (about 20 MB) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 300_000
 
-_ORDERS = np.stack([np.random.default_rng(1000 + t).permutation(shingles.HASHES)[:LEVELS] for t in range(TREES)])
+_ORDERS = np.stack([np.random.default_rng(1000 + t).permutation(shingles.HASHES)[:LEVELS] for t in range(FIRST_TREES + OTHER_TREES)])
 
 
 def _shingled_row(doc_id, key, text: bytes) -> tuple:
@@ -141,12 +142,16 @@ def active_nodes(nodes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(partners, "node binary").distinct()
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs a < b of nodes that are neighbours in a tree, with estimated likeness and whether adjacent."""
+def candidates(nodes: DataFrame, trees: range, reach: int) -> DataFrame:
+    """Pairs a < b of nodes of different components that are within ``reach`` in one of the trees.
+
+    ``nodes`` has node, root, n_shingles and signature. Pairs that the whole
+    signatures estimate below ``ESTIMATE`` are left out. Pairs cut by the border of
+    two tasks are found in other trees, where the borders fall elsewhere.
+    """
     spark = nodes.sparkSession
     small_batches(spark)
-    keyed_ddl = "key binary, node binary, n_shingles long, sketch binary"
-    pair_ddl = "a binary, b binary, estimate float, adjacent boolean"
+    keyed_ddl, pair_ddl = "key binary, node binary, root binary, n_shingles long, sketch binary", "a binary, b binary"
     keyed_schema, pair_schema = arrow_schema(spark, keyed_ddl), arrow_schema(spark, pair_ddl)
     prefix = 1 + 2 * DEPTH
 
@@ -156,11 +161,11 @@ def candidates(nodes: DataFrame) -> DataFrame:
                 continue
             sig = _columns(batch, "signature", shingles.HASHES, np.uint16)
             sketch = _rows_as_bytes(sig[:, :SKETCH].astype(np.uint8))
-            ids, sizes = batch.column(0).to_pylist(), batch.column(1)
-            for t in range(TREES):
+            ids, roots, sizes = (batch.column(i) for i in range(3))
+            for t in trees:
                 mark = bytes([t])
                 values = _rows_as_bytes(sig[:, _ORDERS[t]].astype(">u2"))
-                yield _emit(keyed_schema, [[mark + v for v in values], ids, sizes, sketch])
+                yield _emit(keyed_schema, [[mark + v for v in values], ids, roots, sizes, sketch])
 
     def pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -168,33 +173,31 @@ def candidates(nodes: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             now = (_columns(batch, "key", 1 + 2 * LEVELS, np.uint8), _columns(batch, "node", 16, np.uint8),
-                   batch.column(2).to_numpy(), _columns(batch, "sketch", SKETCH, np.uint8))
+                   _columns(batch, "root", 16, np.uint8), batch.column(3).to_numpy(),
+                   _columns(batch, "sketch", SKETCH, np.uint8))
             old = 0
             if held is not None:
-                old = len(held[2])
+                old = len(held[3])
                 now = tuple(np.concatenate(x) for x in zip(held, now))
-            key, node, size, sketch = now
-            for shift in range(1, REACH + 1):
+            key, node, root, size, sketch = now
+            for shift in range(1, reach + 1):
                 right = np.arange(max(old, shift), len(size))
                 left = right - shift
-                ok = (key[left, :prefix] == key[right, :prefix]).all(axis=1)
-                left, right = left[ok], right[ok]
                 small, large = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
-                ok = 100 * small >= THRESHOLD * large
+                ok = (key[left, :prefix] == key[right, :prefix]).all(axis=1) & (100 * small >= THRESHOLD * large)
+                left, right = left[ok], right[ok]
+                ok = (root[left] != root[right]).any(axis=1)
+                left, right = left[ok], right[ok]
+                ok = (sketch[left] == sketch[right]).mean(axis=1) >= ESTIMATE
                 left, right = left[ok], right[ok]
-                estimate = (sketch[left] == sketch[right]).mean(axis=1, dtype=np.float32)
-                ok = estimate >= ESTIMATE
-                left, right, estimate = left[ok], right[ok], estimate[ok]
                 if len(left):
                     one, two = _rows_as_bytes(node[left]), _rows_as_bytes(node[right])
-                    yield _emit(pair_schema, [list(map(min, one, two)), list(map(max, one, two)), estimate,
-                                              np.full(len(left), shift == 1)])
-            held = tuple(x[-REACH:] for x in now)
+                    yield _emit(pair_schema, [list(map(min, one, two)), list(map(max, one, two))])
+            held = tuple(x[-reach:] for x in now)
 
-    keyed = nodes.select("node", "n_shingles", "signature").mapInArrow(keys, keyed_ddl)
+    keyed = nodes.select("node", "root", "n_shingles", "signature").mapInArrow(keys, keyed_ddl)
     ordered = keyed.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    return ordered.mapInArrow(pairs, pair_ddl).groupBy("a", "b").agg(
-        F.max("estimate").alias("estimate"), F.max("adjacent").alias("adjacent"))
+    return ordered.mapInArrow(pairs, pair_ddl).distinct()
 
 
 def _set_row(node: bytes, text: bytes) -> tuple:
@@ -235,27 +238,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         "linked").select("a", "b")
 
 
-def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose nodes are not in one component yet."""
-    a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-    b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").where(
-        "coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-
-
 def near_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b) of nodes whose components are those of all similar sets."""
     nodes = rows.where("node is not null").groupBy("node").agg(
         F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r")).select("node", "r.*")
     nodes = written(nodes, "nodes")
-    active = written(active_nodes(nodes), "active")
-    pairs = written(candidates(nodes.join(active, "node", "left_semi")), "candidates")
-    in_pairs = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    holders = written(nodes.select("node", "doc_id").join(in_pairs, "node", "left_semi"), "holders")
-    sets = written(node_sets(docs, holders), "sets")
-    first = written(confirmed(pairs.where("adjacent"), sets), "links")
-    rest = across(pairs.where("not adjacent"), components(first))
-    return first.unionByName(written(confirmed(rest, sets), "links"))
+    active = written(nodes.join(active_nodes(nodes), "node", "left_semi"), "active")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "candidates")
+        in_pairs = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        holders = written(active.select("node", "doc_id").join(in_pairs, "node", "left_semi"), "holders")
+        return written(confirmed(pairs, written(node_sets(docs, holders), "sets")), "links")
+
+    first = confirm(candidates(active.withColumn("root", F.col("node")), range(FIRST_TREES), 1))
+    rooted = active.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return first.unionByName(confirm(candidates(rooted, range(FIRST_TREES, FIRST_TREES + OTHER_TREES), REACH)))
 
 
 def classify(docs: DataFrame, key: Column | None = None) -> DataFrame:
