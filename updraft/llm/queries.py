@@ -9,8 +9,10 @@ from updraft.llm.pieces import op6_pieces
 from updraft.llm.records import op3_records
 from updraft.llm.rules import OP8_SQL, op8_host_rules
 from updraft.llm.secrets import op7_secret_ledger
+from updraft.llm.toxicity import op1_noisy_or
 
 QUERIES = {
+    "op1_noisy_or": op1_noisy_or,
     "op3_records": op3_records,
     "op5_lsh_forest": op5_lsh_forest,
     "op6_pieces": op6_pieces,
