@@ -5,6 +5,7 @@ from __future__ import annotations
 from updraft.llm.chat import op10_prefix_rendering
 from updraft.llm.mixing import op9_raking
 from updraft.llm.near import op5_lsh_forest
+from updraft.llm.phrases import op2_phrases
 from updraft.llm.pieces import op6_pieces
 from updraft.llm.records import op3_records
 from updraft.llm.rules import OP8_SQL, op8_host_rules
@@ -13,6 +14,7 @@ from updraft.llm.toxicity import op1_noisy_or
 
 QUERIES = {
     "op1_noisy_or": op1_noisy_or,
+    "op2_phrases": op2_phrases,
     "op3_records": op3_records,
     "op5_lsh_forest": op5_lsh_forest,
     "op6_pieces": op6_pieces,
