@@ -10,12 +10,14 @@ from updraft.llm.pieces import op6_pieces
 from updraft.llm.records import op3_records
 from updraft.llm.rules import OP8_SQL, op8_host_rules
 from updraft.llm.secrets import op7_secret_ledger
+from updraft.llm.styletree import op4_style_tree
 from updraft.llm.toxicity import op1_noisy_or
 
 QUERIES = {
     "op1_noisy_or": op1_noisy_or,
     "op2_phrases": op2_phrases,
     "op3_records": op3_records,
+    "op4_style_tree": op4_style_tree,
     "op5_lsh_forest": op5_lsh_forest,
     "op6_pieces": op6_pieces,
     "op7_secret_ledger": op7_secret_ledger,
