@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ VERSION = 1
 HEADER = np.dtype([("version", "u1"), ("width", "u1"), ("present", "u1"), ("doc_id", "<i8")])
 ENTRY = np.dtype([("doc_id", "<i8"), ("present", "u1"), ("offset", "<u8"), ("bytes", "<u8"), ("ids", "<u8")])
 FRAME = 16          # bytes around a payload
-CACHE = 300_000     # words kept per worker process
+CACHE = 800_000     # words kept per worker process
 BLOCK = 512         # bytes that one lane of the checksum takes
 PIECE = 8 << 20     # payload bytes checked and written at once
 MASK = 0xA282EAD8   # fixed value of the record format
@@ -119,6 +120,7 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
+        self.code = "H" if self.width == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: str) -> bytes:
@@ -128,11 +130,15 @@ class Encoder(dict):
         return value
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian integers of the encoder's width."""
-        if OTHER.search(text) or any(s in text for s in self.special):
+        if text.isascii():
+            other = any(c in text for c in "\x1c\x1d\x1e\x1f")
+        else:
+            other = OTHER.search(text)
+        if other or any(s in text for s in self.special):
             return self.whole(text)
         return b"".join(map(self.__getitem__, SIMPLE.findall(text)))
 
@@ -219,7 +225,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
             row = (folder, context.partitionId(), shard.records, shard.tokens, shard.offset)
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
-    ordered = docs.select("doc_id", whole_text().alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions(
+    # Ranges of doc_id alone, so that no text is among the keys that the driver samples.
+    ordered = docs.select("doc_id", whole_text().alias("text")).repartitionByRange("doc_id").sortWithinPartitions(
         "doc_id", "text")
     return ordered.mapInArrow(run, MANIFEST)
 
@@ -250,7 +257,9 @@ def index_rows(manifest: DataFrame) -> DataFrame:
                            pa.array(e["offset"].astype(np.int64)), pa.array(e["bytes"].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return based.repartition("shard").mapInArrow(run, INDEX)
+    # A number of tasks of its own: the rows are few and small, the files behind them are not.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return based.repartition(tasks, "shard").mapInArrow(run, INDEX)
 
 
 def fetched(index: DataFrame, row, ddl: str) -> DataFrame:
