@@ -22,6 +22,11 @@ from updraft.sources.layers import geojson_features, merge_elevations, weather_r
 NAMES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in K.AIRCRAFT_TYPE_NAMES.items())
 
 
+# An aircraft's place in the feed is where its current run without a silence of 300 s began.
+FEED_RUNS = """feed_runs AS (SELECT *, max(CASE WHEN prev IS NULL OR t_dense_s - prev >= 300 THEN seq END) OVER (PARTITION BY id ORDER BY seq) AS run
+  FROM (SELECT *, lag(t_dense_s) OVER (PARTITION BY id ORDER BY seq) AS prev FROM beacons))"""
+
+
 @query("parse_beacons", ["aprs_lines"], f"""
 WITH t AS (
   SELECT seq, trim(split_part(value, '>', 1)) AS id, substr(value, strpos(value, ':') + 1) AS p FROM aprs_lines
@@ -44,7 +49,7 @@ SELECT seq, id,
   CAST(coalesce(round_even(TRY_CAST(cs.kn AS DOUBLE) * 1.852e0, 0), 0) AS INT) AS speed_kmh,
   coalesce(abs(TRY_CAST(rot AS DOUBLE) * 3.0e0) > 8, false) AS circling,
   CAST(ac_type AS INT) AS ac_type, CASE ac_type {NAMES} END AS ac_type_name,
-  ac_type = 2 AS is_tow, false AS under_tow
+  ac_type = 2 AS is_tow, CAST(NULL AS BOOLEAN) AS under_tow
 FROM w WHERE ac_type IN (1, 2, 6, 7)
 """)
 def _(read):
@@ -232,17 +237,17 @@ def _(read):
     return L.traffic_counts(rows, airborne())
 
 
-@query("live_snapshots", ["beacons"], f"""
+@query("live_snapshots", ["beacons"], f"""WITH {FEED_RUNS}
 SELECT CAST(ceil(({'{'}E{'}'} + t_dense_s) / 300.0e0) AS BIGINT) AS cycle, id, max(seq) AS seq, arg_max(alt, seq) AS alt,
-  arg_max(vario, seq) AS vario, arg_max(heading, seq) AS heading, min(seq) AS first_seen FROM beacons GROUP BY 1, 2
+  arg_max(vario, seq) AS vario, arg_max(heading, seq) AS heading, arg_max(run, seq) AS first_seen FROM feed_runs GROUP BY 1, 2
 """.replace("{E}", "1718956800").replace("arg_max(heading, seq)", "arg_max_null(heading, seq)"))
 def _(read):
     return L.live_snapshots(read("beacons")).select("cycle", "id", "seq", "alt", "vario", "heading", "first_seen")
 
 
-@query("live_state", ["beacons"], """
-WITH m AS (SELECT max(t_dense_s) AS t FROM beacons)
-SELECT id, max(seq) AS seq, min(seq) AS first_seen, arg_max(alt, seq) AS alt FROM beacons, m
+@query("live_state", ["beacons"], f"""WITH {FEED_RUNS},
+m AS (SELECT max(t_dense_s) AS t FROM beacons)
+SELECT id, max(seq) AS seq, arg_max(run, seq) AS first_seen, arg_max(alt, seq) AS alt FROM feed_runs, m
 WHERE t_dense_s > m.t - 300 GROUP BY id""")
 def _(read):
     beacons = read("beacons")
@@ -363,10 +368,10 @@ def _(read):
     return flag_under_tow(read("beacons")).select("seq", "id", "under_tow")
 
 
-@query("cluster_climbs", ["beacons"], """WITH RECURSIVE
-live AS (SELECT CAST(ceil((1718956800 + t_dense_s) / 300.0e0) AS BIGINT) AS cycle, id, min(seq) AS ord, arg_max(lat, seq) AS lat, arg_max(lon, seq) AS lon,
+@query("cluster_climbs", ["beacons"], f"""WITH RECURSIVE {FEED_RUNS},
+live AS (SELECT CAST(ceil((1718956800 + t_dense_s) / 300.0e0) AS BIGINT) AS cycle, id, arg_max(run, seq) AS ord, arg_max(lat, seq) AS lat, arg_max(lon, seq) AS lon,
     arg_max(alt, seq) AS alt, arg_max(vario, seq) AS vario, arg_max(circling, seq) AS circling, arg_max(ac_type, seq) AS ac_type,
-    arg_max_null(under_tow, seq) AS under_tow FROM beacons GROUP BY 1, 2),
+    arg_max_null(under_tow, seq) AS under_tow FROM feed_runs GROUP BY 1, 2),
 climbing AS (SELECT cycle, ord, lat, lon, alt, vario FROM live WHERE ac_type IN (1, 6, 7) AND NOT coalesce(under_tow, false) AND circling AND vario > 0.5),
 r AS (
   SELECT cycle, ord, lat, lon, alt, vario, CAST(NULL AS BIGINT) AS seed FROM climbing

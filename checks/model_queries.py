@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from checks.feed_queries import KIN_SQL, THIN_SQL, thinned
+from checks.feed_queries import FEED_RUNS, KIN_SQL, THIN_SQL, thinned
 from checks.registry import YEAR_START, query, r6
 from updraft import constants as K
 from updraft.functions import atmosphere as A
@@ -124,10 +124,8 @@ BW = """bw AS (SELECT *, round_even(lat_hist * 2, 0) / 2 AS lat_b, round_even(lo
 WXCOLS = ("temp_2m", "humidity", "wind_u", "wind_v", "cape", "cin", "solar_ghi", "lapse_rate", "pbl_height", "soil_temp")
 
 
-def observed_weather(read, strict, every=1):
+def observed_weather(read, strict):
     weather = read("weather_hours")
-    if every > 1:
-        weather = weather.filter(F.hour("hour") % every == 0)
     rows = read("beacons").withColumn("lat", F.col("lat_hist"))
     return W.with_weather(W.with_weather_key(rows, "ts_hist"), weather, strict)
 
@@ -137,25 +135,25 @@ SELECT seq, {', '.join(f"round(CASE WHEN wx.hour_no IS NULL THEN {v} ELSE wx.{c}
     temp_2m='18e0', humidity='0.6e0', wind_u='-12e0 * sin(radians(270e0))', wind_v='-12e0 * cos(radians(270e0))', cape='600e0', cin='-30e0',
     solar_ghi='500e0', lapse_rate='4.9e0', pbl_height='1500e0', soil_temp='20e0').items())},
   CASE WHEN wx.hour_no IS NULL THEN 1200 ELSE thermal_base END AS thermal_base
-FROM bw LEFT JOIN wx ON bw.lat_b = wx.lat_b AND bw.lon_b = wx.lon_b AND bw.hour_no = wx.hour_no AND wx.hour_no % 24 % 2 = 0""")
+FROM bw LEFT JOIN wx ON bw.lat_b = wx.lat_b AND bw.lon_b = wx.lon_b AND bw.hour_no = wx.hour_no""")
 def _(read):
-    return observed_weather(read, False, 2).select("seq", *r6(*WXCOLS), "thermal_base")
+    return observed_weather(read, False).select("seq", *r6(*WXCOLS), "thermal_base")
 
 
 @query("weather_strict", ["beacons", "weather_hours"], f"""WITH {WX}, {BW}
 SELECT seq, round(wx.cape, 6) AS cape, wx.solar_ghi < 50 AS dark, thermal_base > 0 AND alt - 250 > thermal_base + 300 AS above
-FROM bw JOIN wx ON bw.lat_b = wx.lat_b AND bw.lon_b = wx.lon_b AND bw.hour_no = wx.hour_no AND wx.hour_no % 24 % 2 = 0""")
+FROM bw JOIN wx ON bw.lat_b = wx.lat_b AND bw.lon_b = wx.lon_b AND bw.hour_no = wx.hour_no""")
 def _(read):
-    return observed_weather(read, True, 2).select(
+    return observed_weather(read, True).select(
         "seq", *r6("cape"), is_dark().alias("dark"), above_thermal_base("alt", F.lit(250), "thermal_base").alias("above"))
 
 
 @query("forecast_weather", ["prediction_requests", "weather_hours"], f"""WITH {WX},
 f AS (SELECT *, hour_no - first_no AS hour_index, first_no, last_no FROM (SELECT *, min(hour_no) OVER (PARTITION BY lat_b) AS first_no, max(hour_no) OVER (PARTITION BY lat_b) AS last_no FROM wx)),
 r AS (SELECT request_id, round_even(lat * 2, 0) / 2 AS lat_b, hour_no + request_id % 48 + CASE WHEN request_id % 10 = 9 THEN 900 ELSE 0 END AS want FROM prediction_requests)
-SELECT request_id, CAST(least(greatest(want - f0.first_no, 0), f0.last_no - f0.first_no) AS INT) AS hour_index, f.cape, f.temp_2m
+SELECT request_id, CAST(least(greatest(want - f0.first_no, 0), f0.last_no - f0.first_no) AS INT) AS hour_index, coalesce(f.cape, 600e0) AS cape, coalesce(f.temp_2m, 18e0) AS temp_2m
 FROM r JOIN (SELECT DISTINCT lat_b, first_no, last_no FROM f) f0 ON f0.lat_b = r.lat_b
-JOIN f ON f.lat_b = r.lat_b AND f.hour_index = least(greatest(want - f0.first_no, 0), f0.last_no - f0.first_no)""")
+LEFT JOIN f ON f.lat_b = r.lat_b AND f.hour_index = least(greatest(want - f0.first_no, 0), f0.last_no - f0.first_no)""")
 def _(read):
     weather = read("weather_hours")
     first = F.min(F.unix_seconds("hour")).over(Window.partitionBy("lat_b", "lon_b"))
@@ -232,13 +230,14 @@ def _(read):
 def cover_cells(read, rows=7, cols=7):
     pixels = read("landcover_pixels").select(
         "area", "px", "py", "class", F.lit(46.4).alias("raster_north"), F.lit(15.0).alias("raster_west"),
-        F.lit(0.01).alias("pixel_deg"), F.lit(46.003).alias("south"), F.lit(15.003).alias("west"), F.lit(0.07).alias("cell_deg"))
+        F.lit(0.01).alias("pixel_deg"), F.lit(46.003).alias("south"), F.lit(15.003).alias("west"), F.lit(0.05).alias("cell_deg"))
     return landcover.block_average(landcover.pixel_cells(pixels, rows, cols), ["area"], rows, cols)
 
 
 COVER = f"""px AS (SELECT area, class,
-    CAST(least(6, greatest(0, round_even((46.4e0 - (py + 0.5e0) * 0.01e0 - 46.003e0) / 0.07e0, 0))) AS INT) AS row,
-    CAST(least(6, greatest(0, round_even((15e0 + (px + 0.5e0) * 0.01e0 - 15.003e0) / 0.07e0, 0))) AS INT) AS col FROM landcover_pixels),
+    CAST(least(6, greatest(0, round_even((46.4e0 - (py + 0.5e0) * 0.01e0 - 46.003e0) / 0.05e0, 0))) AS INT) AS row,
+    CAST(least(6, greatest(0, round_even((15e0 + (px + 0.5e0) * 0.01e0 - 15.003e0) / 0.05e0, 0))) AS INT) AS col FROM landcover_pixels
+  WHERE (46.4e0 - (py + 0.5e0) * 0.01e0 - 46.003e0) / 0.05e0 BETWEEN -0.5e0 AND 6.5e0 AND (15e0 + (px + 0.5e0) * 0.01e0 - 15.003e0) / 0.05e0 BETWEEN -0.5e0 AND 6.5e0),
 avgs AS (SELECT area, row, col, avg({HEAT}) AS h, avg({ALBEDO}) AS a FROM px GROUP BY ALL),
 cover AS (SELECT f.area, CAST(f.row AS INT) AS row, CAST(f.col AS INT) AS col, coalesce(h, 0e0) AS heat, coalesce(a, 0e0) AS albedo
   FROM (SELECT area, row, col FROM (SELECT DISTINCT area FROM landcover_pixels), range(0, 7) t(row), range(0, 7) u(col)) f
@@ -254,7 +253,7 @@ def _(read):
 
 
 def cover_areas(read):
-    return cover_cells(read).filter("area < 4").select(
+    return cover_cells(read).select(
         (46 + F.col("area") / F.lit(2.0)).alias("area_lat"), F.lit(15.0).alias("area_lon"), "row", "col",
         "land_use_heat", "land_use_albedo")
 
@@ -264,7 +263,7 @@ b AS (SELECT seq, round_even(lat_hist * 2, 0) / 2 AS al, round_even(lon * 2, 0)
 p AS (SELECT seq, al, ao, CAST(least(6, greatest(0, round_even((lat_hist - (al - 0.25e0)) / 0.5e0 * 6, 0))) AS INT) AS row,
   CAST(least(6, greatest(0, round_even((lon - (ao - 0.25e0)) / 0.5e0 * 6, 0))) AS INT) AS col FROM b)
 SELECT seq, round(coalesce(heat, 0.4e0) + 1e-9, 6) AS heat, round(coalesce(albedo, 0.2e0) + 1e-9, 6) AS albedo FROM p
-LEFT JOIN cover ON cover.area < 4 AND 46 + cover.area / 2 = p.al AND p.ao = 15 AND cover.row = p.row AND cover.col = p.col""")
+LEFT JOIN cover ON 46 + cover.area / 2 = p.al AND p.ao = 15 AND cover.row = p.row AND cover.col = p.col""")
 def _(read):
     rows = landcover.with_landcover_at_point(read("beacons").select("seq", "lat_hist", "lon"), cover_areas(read),
                                              side=7, lat="lat_hist")
@@ -485,6 +484,56 @@ def _(read):
         *r6("point", "lo", "hi"), "groups")
 
 
+PAIRED = f"""{SG}, {pairs_sql('score_a', 'pa')}, {pairs_sql('score_b', 'pb')},
+pp AS (SELECT pa.gid, pa.concordant AS ca, pa.pairs AS ta, pb.concordant AS cb, pb.pairs AS tb FROM pa JOIN pb ON pa.gid = pb.gid)"""
+
+
+@query("rankers_report", ["scored"], f"""WITH {PAIRED}, {DRAWS.format(g='pp', k=2000)},
+dv AS (SELECT d, sum(ca) / sum(ta) AS va, sum(cb) / sum(tb) AS vb FROM sl JOIN gi ON gi.i = sl.pick GROUP BY d)
+SELECT 'a' AS ranker, (SELECT round(sum(ca) / sum(ta), 6) FROM pp) AS micro, (SELECT round(avg(ca / ta), 6) FROM pp) AS macro, round(quantile_cont(va, 0.025), 6) AS lo,
+  round(quantile_cont(va, 0.975), 6) AS hi, (SELECT count(*) FROM pp) AS groups, (SELECT CAST(sum(ta) AS BIGINT) FROM pp) AS pairs FROM dv
+UNION ALL SELECT 'b', (SELECT round(sum(cb) / sum(tb), 6) FROM pp), (SELECT round(avg(cb / tb), 6) FROM pp), round(quantile_cont(vb, 0.025), 6),
+  round(quantile_cont(vb, 0.975), 6), (SELECT count(*) FROM pp), (SELECT CAST(sum(tb) AS BIGINT) FROM pp) FROM dv""")
+def _(read):
+    rows = scored(read)
+    report = evaluation.rankers_report([("a", rows, "score_a"), ("b", rows, "score_b")])
+    return report.select("ranker", *r6("micro", "macro", "lo", "hi"), "groups", "pairs")
+
+
+# Challenger, incumbent and rejections so far of each situation the gate is asked about.
+SITUATIONS = (("first", "b", None, 0), ("better", "b", "a", 0), ("worse", "a", "b", 0),
+              ("worse once more", "a", "b", K.MAX_CONSECUTIVE_SKIPS - 1))
+
+
+@query("gate_decisions", ["scored"], f"""WITH {PAIRED}, {DRAWS.format(g='pp', k=1000)},
+dv AS (SELECT d, sum(cb) / sum(tb) - sum(ca) / sum(ta) AS v FROM sl JOIN gi ON gi.i = sl.pick GROUP BY d),
+ci AS (SELECT quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM dv),
+sc AS (SELECT count(*) AS n, sum(ca) / sum(ta) AS a, sum(cb) / sum(tb) AS b FROM pp),
+st AS (SELECT * FROM (VALUES ('first', 'b', false, 0), ('better', 'b', true, 0), ('worse', 'a', true, 0), ('worse once more', 'a', true, 11)) t(situation, challenger, incumbent, skips)),
+q AS (SELECT st.*, n, CASE challenger WHEN 'a' THEN a ELSE b END AS score, CASE challenger WHEN 'a' THEN -hi ELSE lo END AS lo, CASE challenger WHEN 'a' THEN -lo ELSE hi END AS hi FROM st, sc, ci),
+r AS (SELECT *, CASE WHEN n < 30 THEN CASE WHEN incumbent THEN 'benchmark too small' ELSE 'unverified first model' END
+  WHEN incumbent AND hi < 0 THEN CASE WHEN skips + 1 < 12 THEN 'reliably worse' ELSE 're-baselined' END ELSE 'accepted' END AS reason FROM q)
+SELECT situation, reason, reason IN ('accepted', 're-baselined', 'unverified first model') AS accepted, n AS groups, round(CASE WHEN n >= 30 THEN score END, 6) AS score,
+  CASE WHEN n >= 30 AND incumbent THEN round(lo, 6) END AS lo, CASE WHEN n >= 30 AND incumbent THEN round(hi, 6) END AS hi,
+  CAST(CASE WHEN reason = 'reliably worse' THEN skips + 1 WHEN n < 30 THEN skips ELSE 0 END AS BIGINT) AS skipped FROM r""")
+def _(read):
+    rows = scored(read)
+    pairs = {c: metrics.group_pairs(rows, f"score_{c}") for c in "ab"}
+    results = {c: metrics.grouped_auc(p).first() for c, p in pairs.items()}
+    out = []
+    for situation, challenger, incumbent, skips in SITUATIONS:
+        found, delta = results[challenger], None
+        if incumbent and found["groups"] >= K.MIN_BENCH_GROUPS:
+            row = metrics.paired_delta_ci(pairs[incumbent], pairs[challenger], draws=K.GATE_DRAWS).first()
+            delta = (row["point"], row["lo"], row["hi"])
+        d = training.decide(found["groups"], found["micro"], incumbent is not None,
+                            results[incumbent]["micro"] if incumbent else None, delta, skips)
+        lo, hi = (round(d.delta[1], 6), round(d.delta[2], 6)) if d.delta else (None, None)
+        out.append((situation, d.reason, d.accepted, d.groups, None if d.score is None else round(d.score, 6), lo, hi, d.skipped))
+    return rows.sparkSession.createDataFrame(
+        out, "situation string, reason string, accepted boolean, groups long, score double, lo double, hi double, skipped long")
+
+
 @query("global_auc", ["scored"], """
 WITH k AS (SELECT label, rank() OVER (ORDER BY score_b) + (count(*) OVER (PARTITION BY score_b) - 1) / 2 AS r FROM scored),
 t AS (SELECT sum(r) FILTER (label = 1) AS rs, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM k)
@@ -524,7 +573,7 @@ EV = "ev AS (SELECT * FROM beacons WHERE ac_type IN (1, 6, 7) AND NOT coalesce(u
 
 
 @query("systematic_sample", ["beacons"], f"""WITH {EV}
-SELECT seq, id FROM ev WHERE seq % greatest(1, (SELECT count(*) FROM ev) // 5000) = 0 ORDER BY seq LIMIT 5000""")
+SELECT seq, id FROM ev WHERE seq % greatest(1, ((SELECT count(*) FROM ev) + 4999) // 5000) = 0 ORDER BY seq LIMIT 5000""")
 def _(read):
     return sampling.systematic_sample(read("beacons").filter(is_evidence(True)), 5000).select("seq", "id")
 
@@ -591,8 +640,8 @@ def cycles(read):
     return live.withColumn("now", F.timestamp_seconds(shifted))
 
 
-CYC = f"""{WX}, live AS (SELECT CAST(ceil((1718956800 + t_dense_s) / 300.0e0) AS BIGINT) AS cycle, id, min(seq) AS ord, arg_max(lat, seq) AS lat, arg_max(lon, seq) AS lon,
-    arg_max(alt, seq) AS alt, arg_max(vario, seq) AS vario, arg_max(circling, seq) AS circling, arg_max(ac_type, seq) AS ac_type, arg_max_null(under_tow, seq) AS under_tow FROM beacons GROUP BY 1, 2),
+CYC = f"""{WX}, {FEED_RUNS}, live AS (SELECT CAST(ceil((1718956800 + t_dense_s) / 300.0e0) AS BIGINT) AS cycle, id, arg_max(run, seq) AS ord, arg_max(lat, seq) AS lat, arg_max(lon, seq) AS lon,
+    arg_max(alt, seq) AS alt, arg_max(vario, seq) AS vario, arg_max(circling, seq) AS circling, arg_max(ac_type, seq) AS ac_type, arg_max_null(under_tow, seq) AS under_tow FROM feed_runs GROUP BY 1, 2),
 ev AS (SELECT *, cycle % 700 AS hour_no FROM live WHERE ac_type IN (1, 6, 7) AND NOT coalesce(under_tow, false)),
 cand AS (SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY ord) AS n, round(round_even(lat / 0.01e0, 0) * 0.01e0, 6) AS g_lat, round(round_even(lon / 0.01e0, 0) * 0.01e0, 6) AS g_lon
   FROM ev QUALIFY row_number() OVER (PARTITION BY cycle ORDER BY ord) <= 20),

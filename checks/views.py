@@ -2,8 +2,8 @@
 
 The tables hold no positions, so position-like columns are integer arithmetic on
 event and user numbers. Each text runs unchanged in Spark SQL and in DuckDB.
-Reference layers (terrain, weather) are aggregates over all events, so that
-every view reads its whole table.
+Reference layers (terrain, weather) are sums over all events, so that every row
+of the table changes them.
 """
 
 from __future__ import annotations
@@ -28,25 +28,26 @@ SELECT event_id AS seq,
        CASE WHEN event_id % 23 = 0 THEN NULL ELSE event_id % 19 = 0 END AS under_tow
 FROM events
 """,
-    # Lattice of 20 x 20 points in each of four latitude zones.
+    # Lattice of 20 x 20 points in each of four latitude zones; every event changes its point's height.
     "elevation_points": """
 SELECT 4593 + 50 * (k % 4) + CAST((k - k % 4) / 4 AS BIGINT) % 20 AS lat_i,
        1493 + CAST((k - k % 80) / 80 AS BIGINT) AS lon_j,
        200 + (k * k * 7 + m * 13) % 300 AS elevation
-FROM (SELECT event_id % 1600 AS k, min(event_id) AS m FROM events GROUP BY event_id % 1600) p
+FROM (SELECT event_id % 1600 AS k, CAST(sum(event_id) % 1000003 AS BIGINT) AS m FROM events GROUP BY event_id % 1600) p
 """,
-    # 720 hours x 4 half-degree cells.
+    # 720 hours x 4 half-degree cells; every event changes its hour's values, and some hours are missing.
     "weather_hours": """
-SELECT 46 + CAST(m % 4 AS DOUBLE) / 2 AS lat_b, CAST(15 AS DOUBLE) AS lon_b,
-       CAST((m - m % 4) / 4 AS BIGINT) AS hour_no,
+SELECT 46 + CAST(k % 4 AS DOUBLE) / 2 AS lat_b, CAST(15 AS DOUBLE) AS lon_b,
+       CAST((k - k % 4) / 4 AS BIGINT) AS hour_no,
        CAST(m * 7 % 20 + 8 AS DOUBLE) AS temp_2m, CAST(m * 3 % 60 + 30 AS DOUBLE) AS humidity_pct,
        CAST(m * 5 % 25 AS DOUBLE) AS wind_speed, CAST(m * 37 % 360 AS DOUBLE) AS wind_dir,
        CAST(m * 11 % 1500 AS DOUBLE) AS cape, CAST(0 - m * 17 % 200 AS DOUBLE) AS cin,
-       CAST(greatest(0, 900 - 25 * ((CAST((m - m % 4) / 4 AS BIGINT) % 24) - 12) * ((CAST((m - m % 4) / 4 AS BIGINT) % 24) - 12)) AS DOUBLE) AS solar_ghi,
+       CAST(greatest(0, 900 - 25 * ((CAST((k - k % 4) / 4 AS BIGINT) % 24) - 12) * ((CAST((k - k % 4) / 4 AS BIGINT) % 24) - 12)) AS DOUBLE) AS solar_ghi,
        CAST(m * 7 % 20 - 4 AS DOUBLE) AS temp_850, CAST(0 - 20 + m % 9 AS DOUBLE) AS temp_500,
        CASE WHEN m % 13 = 0 THEN NULL ELSE CAST(400 + m * 19 % 1800 AS DOUBLE) END AS pbl_height,
        CAST(m * 7 % 20 + 10 AS DOUBLE) AS soil_temp
-FROM (SELECT min(event_id) AS m FROM events GROUP BY event_id % 2880) p
+FROM (SELECT event_id % 2880 AS k, CAST(sum(event_id) % 1000003 AS BIGINT) AS m FROM events GROUP BY event_id % 2880) p
+WHERE m % 7 <> 3
 """,
     "landcover_pixels": """
 SELECT event_id % 40 AS px, CAST((event_id - event_id % 40) / 40 AS BIGINT) % 40 AS py,

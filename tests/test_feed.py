@@ -12,12 +12,12 @@ from updraft.operators import live as L
 from updraft.operators.blocks import number_block, with_row_number, with_running, with_shifted
 from updraft.operators.clusters import cluster_members
 from updraft.operators.terrain import with_agl
-from updraft.operators.tow import flag_under_tow
+from updraft.operators.tow import flag_under_tow, tug_intervals
 from updraft.operators.tracks import thin
 from updraft.sources import beacons as B
 from updraft.sources.flights import read_flight_logs, read_igc
 
-LINE = "FLR3E2D1A>APRS,qAS,EGNH:/120800h5115.26N/00203.13W'182/067/A=002516 !W51! id063E2D1A +156fpm +2.5rot 7.5dB 1e gps3x5"
+LINE = "ICA4B07C2>APRS,qAS,TESTRX:/083015h4637.81N/00741.35E'274/052/A=005810 id054B07C2 +312fpm -1.4rot 11.0dB 0e"
 T0 = datetime(2024, 6, 21, 8, tzinfo=timezone.utc)
 
 
@@ -27,28 +27,49 @@ def parse(spark, *lines):
 
 def test_parse_fields(spark):
     (row,) = parse(spark, LINE)
-    assert row["id"] == "FLR3E2D1A"
-    assert row["lat"] == pytest.approx(51.2543, abs=1e-4) and row["lon"] == pytest.approx(-2.0522, abs=1e-4)
-    assert (row["alt"], row["vario"], row["heading"], row["speed_kmh"]) == (767, 0.79, 182, 124)
-    assert not row["circling"] and not row["is_tow"] and row["ac_type_name"] == "glider"
+    assert row["id"] == "ICA4B07C2" and row["ac_type_name"] == "glider" and not row["is_tow"]
+    assert row["lat"] == pytest.approx(46 + 37.81 / 60, abs=1e-4)
+    assert row["lon"] == pytest.approx(7 + 41.35 / 60, abs=1e-4)
+    assert row["alt"] == round(5810 * 0.3048) and row["speed_kmh"] == round(52 * 1.852) and row["heading"] == 274
+    assert row["vario"] == pytest.approx(312 * 0.00508, abs=0.006)
+    assert not row["circling"] and row["under_tow"] is None      # not judged yet
 
 
 def test_parse_rejects(spark):
-    bad = ["# comment", "no separators", "A>B:>status text", LINE.replace(" id063E2D1A", ""),
-           LINE.replace("5115.26N", "xxxx"), ""]
-    assert parse(spark, *bad) == []
+    no_id, no_place = LINE.replace(" id054B07C2", ""), LINE.replace("4637.81N", "46xx.81N")
+    assert parse(spark, no_id, no_place, "", "# server says hello", "X>Y:>on the ground", "no colon here") == []
 
 
-def test_parse_admits_only_known_types(spark):
-    lines = [LINE.replace("id06", f"id{(t << 2) | 1:02X}") for t in range(16)]
-    assert sorted(r["ac_type"] for r in parse(spark, *lines)) == [1, 2, 6, 7]
+@pytest.mark.parametrize("ac_type,admitted", [(t, t in (1, 2, 6, 7)) for t in range(16)])
+def test_parse_admits_only_known_types(spark, ac_type, admitted):
+    flags = f"{ac_type * 4 + 1:02X}"
+    rows = parse(spark, LINE.replace("id054B07C2", f"id{flags}4B07C2"))
+    assert [r["ac_type"] for r in rows] == ([ac_type] if admitted else [])
 
 
 def test_parse_course_zero_and_turn(spark):
-    (row,) = parse(spark, LINE.replace("182/067", "000/067").replace("+2.5rot", "-2.7rot"))
+    (row,) = parse(spark, LINE.replace("'274/", "'000/").replace("-1.4rot", "+3.1rot"))
     assert row["heading"] is None and row["circling"]
 
 
+def test_place_in_the_feed_is_the_start_of_the_run(spark):
+    """A is heard every minute, B joins later; a silence of 300 s puts C at the end."""
+    heard = [(0, "A"), (0, "C")] + [(60 * k, "A") for k in range(1, 11)] + [(301, "B"), (590, "C")]
+    heard.sort()
+    rows = [(n, i, T0 + timedelta(seconds=s)) for n, (s, i) in enumerate(heard)]
+    df = spark.createDataFrame(rows, "seq long, id string, ts timestamp")
+    out = L.live_state(df, T0 + timedelta(seconds=600)).orderBy("first_seen").collect()
+    assert [r["id"] for r in out] == ["A", "B", "C"]
+
+
+def test_tow_order_is_the_feed(spark):
+    """A late report does not break a tug's next beacon."""
+    rows = [(1, "T", T0), (2, "T", T0 + timedelta(seconds=1000)), (3, "T", T0 + timedelta(seconds=100))]
+    df = spark.createDataFrame([(s, i, t, 46.0, 15.0, 900, 2.0, 2) for s, i, t in rows],
+                               "seq long, id string, ts timestamp, lat double, lon double, alt long, vario double, ac_type int")
+    assert {r["seq"]: r["next_seq"] for r in tug_intervals(df).collect()} == {1: 2, 2: 3, 3: None}
+
+
 def test_bounds():
     good = {"lat_min": "46", "lat_max": 47, "lon_min": 170, "lon_max": 190}
     assert L.parse_bounds(good) == (46.0, 47.0, 170.0, 190.0)

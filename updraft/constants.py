@@ -10,7 +10,6 @@ AIRCRAFT_TYPE_NAMES = {
 SOARING_TYPES = (1, 6, 7)
 TOW_TYPE = 2
 ADMITTED_TYPES = (1, 2, 6, 7)
-NON_SOARING_TYPES = (3, 8, 9, 11, 13, 15)
 
 # --- Units -------------------------------------------------------------------
 METRES_PER_FOOT = 0.3048

@@ -49,16 +49,19 @@ def pixel_cells(pixels: DataFrame, rows: int, cols: int) -> DataFrame:
     """Output cell of each raster pixel.
 
     Pixel rows run south from the raster's north edge while grid rows run north,
-    so cells come from pixel-centre coordinates. Input columns: px, py, the
+    so cells come from pixel-centre coordinates. Pixels more than half a cell beyond
+    the outer cell centres are left out. Input columns: px, py, the
     raster's ``raster_north``, ``raster_west`` and ``pixel_deg``, and the grid's
     ``south``, ``west`` (first cell centres) and ``cell_deg``.
     """
     lat = F.col("raster_north") - (F.col("py") + 0.5) * F.col("pixel_deg")
     lon = F.col("raster_west") + (F.col("px") + 0.5) * F.col("pixel_deg")
-    return pixels.select(
-        "*",
-        clip(F.rint((lat - F.col("south")) / F.col("cell_deg")), 0, rows - 1).cast("int").alias("row"),
-        clip(F.rint((lon - F.col("west")) / F.col("cell_deg")), 0, cols - 1).cast("int").alias("col"))
+    down = (lat - F.col("south")) / F.col("cell_deg")
+    along = (lon - F.col("west")) / F.col("cell_deg")
+    # Only pixels inside the grid's cells; those on its very border go to the edge cell.
+    return pixels.filter(down.between(-0.5, rows - 0.5) & along.between(-0.5, cols - 0.5)).select(
+        "*", clip(F.rint(down), 0, rows - 1).cast("int").alias("row"),
+        clip(F.rint(along), 0, cols - 1).cast("int").alias("col"))
 
 
 def block_average(pixels: DataFrame, area: Sequence[str], rows: int, cols: int) -> DataFrame:

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from updraft import constants as K
 from updraft.functions.geo import as_col
-from updraft.operators.blocks import time_block, with_running, with_shifted
+from updraft.operators.blocks import number_block, time_block, with_running, with_shifted
 from updraft.operators.joins import salted_join
 
 Bounds = tuple[float, float, float, float]
+# Rows of the feed in a block of run starts.
+RUN_BLOCK_ROWS = 1 << 16
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: str = "seq",
@@ -25,26 +27,42 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: str = "seq",
     each map task as a single row.
     """
     rest = [c for c in df.columns if c not in keys]
-    aggs = [F.max_by(c, order).alias(c) for c in rest]
+    aggs = [F.max_by(F.struct(*rest), order).alias("__row")]
     if first_seen:
         aggs.append(F.min(order).alias(first_seen))
-    return df.groupBy(*keys).agg(*aggs)
+    out = df.groupBy(*keys).agg(*aggs)
+    return out.select(*keys, "__row.*", *([first_seen] if first_seen else []))
+
+
+def with_run_start(df: DataFrame, ttl_s: int, ts: str = "ts", order: str = "seq",
+                   name: str = "first_seen") -> DataFrame:
+    """Add where each row's run began: the order of the first row after the last silence.
+
+    A silence is ``ttl_s`` seconds or more between two reports of an aircraft. Both
+    steps work in blocks of the order, so a busy aircraft is spread over tasks.
+    """
+    block = number_block(order, RUN_BLOCK_ROWS)
+    lagged = with_shifted(df, ["id"], [order], block, {"__prev": (F.unix_micros(ts), 1)})
+    silent = F.coalesce(F.unix_micros(ts) - F.col("__prev") >= ttl_s * 1_000_000, F.lit(True))
+    return with_running(lagged, ["id"], [order], block,
+                        {name: ("last", F.when(silent, F.col(order)))}).drop("__prev")
 
 
 def live_state(df: DataFrame, asof, ttl_s: int = K.LIVE_TTL_S, ts: str = "ts",
                order: str = "seq") -> DataFrame:
     """Latest row per aircraft heard less than ``ttl_s`` ago, with its feed order.
 
-    The time filter runs before the aggregate and reaches the scan: an
-    aircraft's latest row is inside the window or the aircraft is not live.
+    ``first_seen`` is where the aircraft entered the live table: the start of its
+    current run without a silence of ``ttl_s``, which may lie before the window.
     """
     now = F.lit(asof)
     if isinstance(asof, (int, float)):
-        fresh = (F.col(ts) > now - F.lit(ttl_s)) & (F.col(ts) <= now)
+        past, fresh = F.col(ts) <= now, F.col(ts) > now - F.lit(ttl_s)
     else:
         now = now.cast("timestamp")
-        fresh = (F.col(ts) > now - F.expr(f"INTERVAL {ttl_s} SECONDS")) & (F.col(ts) <= now)
-    return latest_by(df.filter(fresh), ["id"], order, first_seen="first_seen")
+        past, fresh = F.col(ts) <= now, F.col(ts) > now - F.expr(f"INTERVAL {ttl_s} SECONDS")
+    runs = with_run_start(df.filter(past), ttl_s, ts, order)
+    return latest_by(runs.filter(fresh), ["id"], order)
 
 
 def live_snapshots(df: DataFrame, every_s: int = K.LIVE_TTL_S, ts: str = "ts",
@@ -56,7 +74,8 @@ def live_snapshots(df: DataFrame, every_s: int = K.LIVE_TTL_S, ts: str = "ts",
     """
     us = F.unix_micros(ts)
     cycle = F.ceil(us / F.lit(every_s * 1_000_000)).cast("bigint")
-    return latest_by(df.withColumn("cycle", cycle), ["cycle", "id"], order, first_seen="first_seen")
+    runs = with_run_start(df, every_s, ts, order)
+    return latest_by(runs.withColumn("cycle", cycle), ["cycle", "id"], order)
 
 
 def positions_since(df: DataFrame, cursor: int, cap: int = K.BUFFER_CAP,
@@ -211,8 +230,8 @@ def current_segment(df: DataFrame, asof, gap_s: int = K.TRACK_GAP_S,
     Gap ends come from block-wise lags; per aircraft only the latest one matters,
     which is a max aggregate.
     """
-    start = F.lit(asof).cast("timestamp") - F.expr(f"INTERVAL {lookback_s} SECONDS")
-    recent = df.filter(F.col(ts) >= start)
+    end = F.lit(asof).cast("timestamp")
+    recent = df.filter((F.col(ts) >= end - F.expr(f"INTERVAL {lookback_s} SECONDS")) & (F.col(ts) <= end))
     lagged = with_shifted(recent, ["id"], [ts, order], time_block(ts, block_s),
                           {"__prev": (F.col(ts), 1)})
     silent = F.unix_micros(as_col(ts)) - F.unix_micros("__prev") > gap_s * 1_000_000

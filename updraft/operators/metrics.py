@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from updraft import constants as K
 from updraft.operators.blocks import number_block, with_row_number, with_running
 from updraft.operators.montecarlo import hashed_uniform
+from updraft.session import durable
 
 SCORE_BLOCKS = 65_536
-# Above this many groups, resampling by index (draws x groups rows) gives way to
-# Poisson weights, which need no shuffle of the draws.
-MAX_INDEXED_GROUPS = 20_000
+POISSON_TOP = 20   # beyond any draw of a double
+# Up to this many groups (five numbers each) are broadcast to the draws; more meet
+# them in a shuffle. The draws are the same either way.
+BROADCAST_GROUPS = 200_000
 
 
 def _score_block(score: Column) -> Column:
@@ -59,45 +61,50 @@ def paired(pairs_a: DataFrame, pairs_b: DataFrame, gid: str = "gid") -> DataFram
 
 def _indexed(groups: DataFrame, gid: str, count: int, draws: int, seed: int,
              columns: list[str]) -> DataFrame:
-    """Draw sums by resampling group indices; group count is small here."""
+    """Draw sums by resampling group indices (draws x groups rows)."""
     indexed = with_row_number(groups, [gid], number_block(gid, 100_000), "__i")
     slots = indexed.select(F.col("__i").alias("__slot")).withColumn(
         "draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     picked = F.floor(hashed_uniform(F.lit(seed), F.col("draw"), F.col("__slot")) * count) + 1
     drawn = slots.select("draw", picked.cast("bigint").alias("__i"))
     members = indexed.select("__i", *columns)
-    return drawn.join(F.broadcast(members), "__i").groupBy("draw").agg(
+    if count <= BROADCAST_GROUPS:
+        members = F.broadcast(members)
+    return drawn.join(members, "__i").groupBy("draw").agg(
         *[F.sum(c).alias(c) for c in columns])
 
 
 def poisson_weight(uniform: Column) -> Column:
     """Poisson(1) variate from a uniform, by its cumulative distribution."""
     expr, cumulative, term = None, 0.0, math.exp(-1.0)
-    for k in range(12):
+    for k in range(POISSON_TOP):
         cumulative += term
         term /= k + 1
         hit = uniform < cumulative
         expr = F.when(hit, F.lit(k)) if expr is None else expr.when(hit, F.lit(k))
-    return expr.otherwise(F.lit(12))
+    return expr.otherwise(F.lit(POISSON_TOP))
 
 
 def _weighted(groups: DataFrame, gid: str, draws: int, seed: int, columns: list[str]) -> DataFrame:
     """Draw sums with Poisson weights: one pass, partial sums only leave the map."""
     rows = groups.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), gid, "draw"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    uniform = hashed_uniform(F.lit(seed), F.col("draw"), F.col(gid))
     weighted = rows.withColumn("__w", poisson_weight(uniform)).filter("__w > 0")
     return weighted.groupBy("draw").agg(*[F.sum(F.col(c) * F.col("__w")).alias(c) for c in columns])
 
 
 def draw_sums(groups: DataFrame, gid: str, draws: int, seed: int, columns: list[str],
-              method: str = "auto") -> DataFrame:
-    """Sums of per-group columns under each bootstrap draw of whole groups."""
-    count = groups.count() if method in ("auto", "index") else None
-    if method == "index" or (method == "auto" and count <= MAX_INDEXED_GROUPS):
-        if count > MAX_INDEXED_GROUPS:
-            raise ValueError(f"{count} groups are too many to resample by index")
-        return _indexed(groups, gid, count, draws, seed, columns)
-    return _weighted(groups, gid, draws, seed, columns)
+              method: str = "index") -> DataFrame:
+    """Sums of per-group columns under each bootstrap draw of whole groups.
+
+    ``index`` draws as many groups as there are, with replacement, whatever their
+    number; ``poisson`` weights each group instead. The caller chooses, the size never.
+    """
+    if method == "index":
+        return _indexed(groups, gid, groups.count(), draws, seed, columns)
+    if method == "poisson":
+        return _weighted(groups, gid, draws, seed, columns)
+    raise ValueError(f"unknown resampling method {method!r}")
 
 
 def _interval(draw_values: DataFrame, alpha: float) -> DataFrame:
@@ -109,13 +116,13 @@ def _interval(draw_values: DataFrame, alpha: float) -> DataFrame:
 
 
 def bootstrap_ci(pairs: DataFrame, draws: int = K.REPORT_DRAWS, alpha: float = 0.05, seed: int = 0,
-                 gid: str = "gid", method: str = "auto") -> DataFrame:
+                 gid: str = "gid", method: str = "index") -> DataFrame:
     """Percentile interval of the pooled score, resampling whole groups.
 
-    One row: point, lo, hi, groups. Resampling by index is used while groups are
-    few enough to broadcast (their number is counted first), Poisson weights
-    beyond that; draws depend only on hashes, so a rerun gives the same interval.
+    One row: point, lo, hi, groups. Draws depend only on hashes, so a rerun gives
+    the same interval. The table of groups is stored first: it is read several times.
     """
+    pairs = durable(pairs.select(gid, "concordant", "pairs"))
     sums = draw_sums(pairs, gid, draws, seed, ["concordant", "pairs"], method)
     values = sums.select((F.col("concordant") / F.col("pairs")).alias("value"))
     point = grouped_auc(pairs).select(F.col("micro").alias("point"), "groups")
@@ -124,13 +131,13 @@ def bootstrap_ci(pairs: DataFrame, draws: int = K.REPORT_DRAWS, alpha: float = 0
 
 def paired_delta_ci(pairs_a: DataFrame, pairs_b: DataFrame, draws: int = K.REPORT_DRAWS,
                     alpha: float = 0.05, seed: int = 0, gid: str = "gid",
-                    method: str = "auto") -> DataFrame:
+                    method: str = "index") -> DataFrame:
     """Interval of (B - A) over the same resampled groups.
 
     One row: point, lo, hi, groups; NaN and 0 groups when there are none or the
     two rankers cover different groups.
     """
-    both = paired(pairs_a, pairs_b, gid)
+    both = durable(paired(pairs_a, pairs_b, gid))
     columns = ["ca", "ta", "cb", "tb"]
     sums = draw_sums(both.dropna(), gid, draws, seed, columns, method)
     values = sums.select((F.col("cb") / F.col("tb") - F.col("ca") / F.col("ta")).alias("value"))

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from updraft import constants as K
 from updraft.functions.geo import haversine_m
 from updraft.functions.rules import is_soaring
-from updraft.operators.blocks import time_block, with_shifted
+from updraft.operators.blocks import number_block, with_shifted
 
 # A bin must be at least the tow radius high; 0.004 degree is about 445 m.
 LAT_BIN = 0.004
-BLOCK_S = 900
+BLOCK_ROWS = 1 << 16   # of the feed, which orders a tug's beacons
 
 
 def _lon_bins(lat_bin: Column) -> Column:
@@ -38,7 +36,7 @@ def tug_intervals(beacons: DataFrame, ts: str = "ts", order: str = "seq") -> Dat
     """
     tugs = beacons.filter(F.col("ac_type") == K.TOW_TYPE).select(
         "id", "lat", "lon", "alt", "vario", ts, order)
-    return with_shifted(tugs, ["id"], [order], time_block(ts, BLOCK_S),
+    return with_shifted(tugs, ["id"], [order], number_block(order, BLOCK_ROWS),
                         {"next_seq": (F.col(order), -1)})
 
 
@@ -100,5 +98,3 @@ def flag_under_tow(beacons: DataFrame, ts: str = "ts", order: str = "seq",
     other = rows.filter(~soaring).withColumn("under_tow", F.lit(False))
     return towed.unionByName(free).unionByName(other)
 
-
-BIN_METRES = LAT_BIN * math.pi / 180.0 * K.EARTH_RADIUS_M

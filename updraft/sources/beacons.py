@@ -83,7 +83,7 @@ def parse_beacons(lines: DataFrame, value: str = "value", box=WORLD) -> DataFram
         (F.abs(F.coalesce(A.rot_to_deg_s("__rot"), F.lit(0.0))) > K.CIRCLING_DEG_S).alias("circling"),
         "ac_type", type_name("ac_type").alias("ac_type_name"),
         (F.col("ac_type") == K.TOW_TYPE).alias("is_tow"),
-        F.lit(False).alias("under_tow"),
+        F.lit(None).cast("boolean").alias("under_tow"),   # until tow flagging has run
     )
 
 
