@@ -1,6 +1,7 @@
 """Feed, live and track operators on small cases and against brute force."""
 
 import math
+import os
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -220,6 +221,13 @@ def test_history_roundtrip_and_purge(spark, tmp_path):
     assert B.purge_history(spark, path, T0) == sum(r[1] < cut for r in rows)
     assert B.read_beacons(spark, path).count() == sum(r[1] >= cut for r in rows)
     assert B.purge_history(spark, path, T0) == 0
+    # A purge stopped between its renames is completed by the next one.
+    day = (T0 - timedelta(days=1)).date().isoformat()
+    left = B.read_beacons(spark, path).count()
+    spark.read.parquet(f"{path}/date={day}").write.parquet(f"{path}/.staged-{day}")
+    os.rename(f"{path}/date={day}", f"{path}/.expired-{day}")
+    assert B.purge_history(spark, path, T0) == 0
+    assert B.read_beacons(spark, path).count() == left and not os.path.exists(f"{path}/.expired-{day}")
     assert B.window_days(None) == 2.0 and B.window_days(7) == 2.0 and B.window_days(1) == 1
 
 

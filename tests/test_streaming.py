@@ -9,7 +9,7 @@ from checks.views import view
 from updraft.operators import live as L
 from updraft.operators.prior import climb_index
 from updraft.operators.tow import flag_under_tow
-from updraft.sources.beacons import parse_beacons
+from updraft.sources.beacons import parse_beacons, purge_history, read_beacons
 from updraft.streaming import feed as S
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +55,12 @@ def test_tow_over_batches_equals_batch(spark, tmp_path):
     got = {(r["seq"], r["under_tow"]) for r in spark.read.parquet(out).select("seq", "under_tow").collect()}
     want = {(r["seq"], r["under_tow"]) for r in flag_under_tow(rows).select("seq", "under_tow").collect()}
     assert got == want and any(t for _, t in want)
+    # The history's readers take the stream's layout.
+    last = rows.agg(F.max("ts")).first()[0]
+    assert read_beacons(spark, out, since=last - timedelta(days=1)).count() > 0
+    before = read_beacons(spark, out).count()
+    gone = purge_history(spark, out, last, days=0.01)
+    assert 0 < gone < before and read_beacons(spark, out).count() == before - gone
 
 
 def test_live_table(spark, tmp_path):

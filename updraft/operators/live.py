@@ -78,17 +78,18 @@ def live_snapshots(df: DataFrame, every_s: int = K.LIVE_TTL_S, ts: str = "ts",
     return latest_by(runs.withColumn("cycle", cycle), ["cycle", "id"], order)
 
 
-def positions_since(df: DataFrame, cursor: int, cap: int = K.BUFFER_CAP,
+def positions_since(df: DataFrame, cursor: int, cap: int | None = None,
                     order: str = "seq") -> DataFrame:
-    """Positions after a read cursor, newest ``cap`` per aircraft.
+    """Positions after a read cursor: all, or the newest ``cap`` per aircraft if asked for.
 
-    ``seq > cursor`` is pushed to the scan, and the per-id limit is applied in
-    each map task before the shuffle.
+    ``seq > cursor`` is pushed to the scan, and a per-id limit is applied in each
+    map task before the shuffle.
     """
+    new = df.filter(F.col(order) > cursor).select("id", "lat", "lon", "alt", order)
+    if cap is None:
+        return new
     newest = Window.partitionBy("id").orderBy(F.col(order).desc())
-    return (df.filter(F.col(order) > cursor)
-            .select("id", "lat", "lon", "alt", order)
-            .withColumn("__n", F.row_number().over(newest))
+    return (new.withColumn("__n", F.row_number().over(newest))
             .filter(F.col("__n") <= cap).drop("__n"))
 
 

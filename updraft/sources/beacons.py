@@ -129,16 +129,46 @@ def retain(df: DataFrame, now: datetime, days: float = K.RETENTION_DAYS, ts: str
     return kept if tuple(box) == WORLD else kept.filter(in_box("lat", "lon", box))
 
 
+def _renamed(fs, source, target) -> None:
+    """Rename that fails loudly; file systems report failure by their return value."""
+    if not fs.rename(source, target):
+        raise OSError(f"could not rename {source} to {target}")
+
+
+def _complete_purge(fs, hadoop, root) -> None:
+    """Finish the renames of a purge that was stopped.
+
+    A partition is renamed away only when its survivors are staged whole: a staged
+    folder without its partition is complete, one beside its partition may not be.
+    """
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    for name in names:
+        if name.startswith(".staged-"):
+            staged, boundary = hadoop.Path(root, name), hadoop.Path(root, f"date={name[8:]}")
+            if f".expired-{name[8:]}" in names and not fs.exists(boundary):
+                _renamed(fs, staged, boundary)
+            else:
+                fs.delete(staged, True)
+    for name in names:
+        if name.startswith(".expired-"):
+            fs.delete(hadoop.Path(root, name), True)
+
+
 def purge_history(spark: SparkSession, path: str, now: datetime,
                   days: float = K.RETENTION_DAYS, ts: str = "ts") -> int:
     """Drop expired rows from the stored history; returns how many went.
 
     Whole expired date partitions are removed as folders. Only the one date the
-    cutoff falls in is rewritten: its survivors are staged in a sibling folder
-    before the partition is replaced, so a lost job never loses them.
+    cutoff falls in is rewritten: its survivors are staged in a sibling folder,
+    the old partition is renamed away, the staged one renamed in, and only then the
+    old one deleted. A run that stopped between the renames is completed first.
     """
     cutoff = now - timedelta(days=days)
     utc = cutoff.astimezone(timezone.utc) if cutoff.tzinfo else cutoff
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    _complete_purge(fs, hadoop, root)
     table = spark.read.option("mergeSchema", "true").parquet(path)
     require_columns(table, [ts, "date"], "beacon history")
     expired = table.filter(
@@ -146,17 +176,15 @@ def purge_history(spark: SparkSession, path: str, now: datetime,
     removed = expired.count()
     if removed == 0:
         return 0
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     boundary = hadoop.Path(root, f"date={utc.date().isoformat()}")
     if fs.exists(boundary):
-        staged = hadoop.Path(root, f".staged-{utc.date().isoformat()}")
-        fs.delete(staged, True)
-        (table.filter((F.col("date") == F.lit(utc.date())) & (F.col(ts) >= F.lit(cutoff)))
-              .drop("date").write.mode("overwrite").parquet(staged.toString()))
-        fs.delete(boundary, True)
-        fs.rename(staged, boundary)
+        staged, old = (hadoop.Path(root, f".{kind}-{utc.date().isoformat()}") for kind in ("staged", "expired"))
+        survivors = table.filter((F.col("date") == F.lit(utc.date())) & (F.col(ts) >= F.lit(cutoff))).drop("date")
+        below = ["batch"] if "batch" in table.columns else []      # the stream's layout
+        survivors.write.mode("overwrite").partitionBy(*below).parquet(staged.toString())
+        _renamed(fs, boundary, old)
+        _renamed(fs, staged, boundary)
+        fs.delete(old, True)
     for status in fs.listStatus(root):
         name = status.getPath().getName()
         if name.startswith("date=") and name[5:] < utc.date().isoformat():

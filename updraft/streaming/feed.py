@@ -32,11 +32,15 @@ def numbered(batch: DataFrame, batch_id: int, name: str = "seq") -> DataFrame:
     """``batch`` with arrival numbers that grow across micro-batches.
 
     The number depends on the batch, partition and row position only, so a
-    replayed batch gets the same ones.
+    replayed batch gets the same ones. A partition with more rows than its bits
+    can number is an error.
     """
     packed = batch.coalesce(1 << PARTITION_BITS)
     row = F.monotonically_increasing_id()
-    position = F.shiftleft(F.shiftright(row, 33), ROW_BITS) + row.bitwiseAND(F.lit((1 << 33) - 1))
+    within = row.bitwiseAND(F.lit((1 << 33) - 1))
+    checked = F.when(within < F.lit(1 << ROW_BITS), within).otherwise(
+        F.raise_error(F.lit("too many rows in a partition to number them")).cast("bigint"))
+    position = F.shiftleft(F.shiftright(row, 33), ROW_BITS) + checked
     return packed.withColumn(name, F.lit(batch_id << (ROW_BITS + PARTITION_BITS)) + position)
 
 
@@ -63,8 +67,9 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
 def tow_batch(path: str, order: str = "seq") -> Callable[[DataFrame, int], None]:
     """Micro-batch writer that resolves aerotow before rows reach the history.
 
-    A batch sees its own tugs and those of the stored last 15 seconds. It owns
-    one ``batch`` partition and overwrites it, so a replay leaves no duplicates.
+    A batch sees its own tugs and those of the stored last 15 seconds, found by
+    date. The layout is that of the history, by date, and below it by batch: a
+    batch overwrites its own folders, so a replay leaves no duplicates.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -75,11 +80,11 @@ def tow_batch(path: str, order: str = "seq") -> Callable[[DataFrame, int], None]
             oldest = rows.agg(F.min("ts").alias("t")).select(
                 (F.col("t") - F.expr(f"INTERVAL {int(K.TOW_MAX_AGE_S)} SECONDS")).alias("t")).scalar()
             tugs = stored.filter((F.col("ac_type") == K.TOW_TYPE) & (F.col("batch") < batch_id)
-                                 & (F.col("ts") >= oldest)).select(*[
+                                 & (F.col("date") >= F.to_date(oldest)) & (F.col("ts") >= oldest)).select(*[
                                      c for c in rows.columns if c != "under_tow"])
         flagged = flag_under_tow(rows, order=order, tugs=tugs)
-        (flagged.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+        (flagged.withColumn("date", F.to_date("ts")).withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(path))
 
     return write
 
@@ -120,9 +125,9 @@ def read_live(spark: SparkSession, path: str) -> DataFrame:
 
 def live_frame(history: DataFrame, elevations: DataFrame, asof, bounds: Bounds | None,
                cursor: int) -> tuple[DataFrame, DataFrame]:
-    """One viewer frame: visible aircraft with height, and their new positions."""
+    """One viewer frame as of a time: visible aircraft with height, and all their new positions."""
     shown = in_viewport(live_state(history, asof), bounds)
-    new = positions_since(history, cursor)
+    new = positions_since(history.filter(F.col("ts") <= F.lit(asof)), cursor)
     if bounds is not None:
         new = visible_positions(new, shown)
     return to_wire(with_agl(shown, elevations)), positions_to_wire(new)
