@@ -120,8 +120,10 @@ def drawn_rate(cells: DataFrame, budget: float = BUDGET) -> float:
     low, high, aim = 0.0, 1.0 / row[1], budget * row[0]
     for _ in range(REFINE):
         rates = [low + (high - low) * k / GRID for k in range(1, GRID + 1)]
-        sums = cells.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), ratio * r)) for r in rates]).first()
-        step = next((k for k, s in enumerate(sums) if s >= aim), GRID - 1)
+        tried = cells.select("tokens", ratio.alias("ratio"), F.posexplode(F.array(*[F.lit(r) for r in rates])))
+        sums = tried.groupBy("pos").agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("ratio") * F.col("col"))).alias(
+            "expected")).orderBy("pos").collect()            # GRID rows
+        step = next((r["pos"] for r in sums if r["expected"] >= aim), GRID - 1)
         low, high = (rates[step - 1] if step else low), rates[step]
     return high
 
