@@ -13,7 +13,7 @@ from updraft.session import ensure_checkpoint_dir
 
 #: A batch handed to Python stays below these, so that very long texts stay within a worker's memory.
 BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from updraft.llm.common import batch_rows, read, whole_text
 
-CACHE = 300_000
+CACHE = 200_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 MARK = "\u2581"   # the model's own sign for a space
 #: A chunk: spaces and the run of letters, of digits, of line ends or of other characters after them.

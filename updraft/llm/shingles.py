@@ -7,7 +7,7 @@ import xxhash
 
 WIDTH = 5          # words of a shingle
 HASHES = 128
-WORDS = 400_000    # word hashes kept per worker process
+WORDS = 100_000    # word hashes kept per worker process
 _STEP = np.random.default_rng(20240621)
 _PLACES = _STEP.integers(1, 1 << 62, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = (_STEP.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
