@@ -154,3 +154,42 @@ def test_labels_are_local():
     a, b = phrases._phrase_starts(names, first), phrases._phrase_starts(other, first)
     assert a[a > 30].tolist() == b[b > 30].tolist()
     assert np.diff(a).max() <= 12
+
+
+def test_pairs_in_dense_regions_are_all_found(spark, monkeypatch):
+    """Texts of one template, too unlike to be linked, hide the pairs among them when few neighbours are in reach."""
+    monkeypatch.setattr(near, "FIRST_TREES", 1)
+    monkeypatch.setattr(near, "OTHER_TREES", 24)
+    monkeypatch.setattr(near, "REACH", 1)
+    rng = random.Random(8)
+    template, texts = [f"w{i}" for i in range(104)], []
+    for k in range(400):
+        texts.append(template + [f"u{k}_{i}" for i in range(20)])
+    for k in range(0, 400, 10):        # a partner whose likeness is little above the threshold
+        words = list(texts[k])
+        for at in rng.sample(range(4, 120, 8), 3):
+            words[at] = f"y{k}_{at}"
+        texts.append(words)
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    assert got(near.classify(spark.createDataFrame(rows, "doc_id long, text string"))) == classes(rows)
+
+
+def test_prefix_join_is_exact(spark):
+    """The join alone finds every similar pair of different roots, and only pairs of different roots."""
+    rng = random.Random(5)
+    sets = []
+    for k in range(60):
+        base = rng.sample(range(1, 4000), rng.choice((1, 2, 3, 30, 80)))
+        for _ in range(4):
+            kept = [x for x in base if rng.random() > rng.choice((0, 0.05, 0.15))] or base[:1]
+            sets.append(np.unique(np.array(kept + rng.sample(range(1, 4000), rng.choice((0, 1, 5))), np.uint64)))
+    names = [bytes([k // 250, k % 250] + [0] * 14) for k in range(len(sets))]
+    roots = [names[k - k % 2] for k in range(len(sets))]
+    rows = [(n, r, s.view(np.uint8).reshape(-1, 8)[:, :near.SET_BYTES].tobytes()) for n, r, s in zip(names, roots, sets)]
+    df = spark.createDataFrame(rows, "node binary, root binary, hashes binary")
+    pairs = near.prefix_pairs(df)
+    root = dict(zip(names, roots))
+    assert all(root[bytes(p.a)] != root[bytes(p.b)] for p in pairs.collect())
+    want = {(names[i], names[j]) for i in range(len(sets)) for j in range(i + 1, len(sets)) if roots[i] != roots[j]
+            and 4 * (both := near.shingles.overlap(sets[i], sets[j])) >= 3 * (len(sets[i]) + len(sets[j]) - both)}
+    assert want and {(bytes(p.a), bytes(p.b)) for p in near.confirmed(pairs, df).collect()} == want

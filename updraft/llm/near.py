@@ -7,9 +7,11 @@ set in all trees have no near copy and leave early. The rest are sorted by every
 tree, and neighbours that share the first ``DEPTH`` values at least are confirmed
 on their full sets; a large group of near copies is joined by such few links. Then
 they are sorted by other trees, and each meets its ``REACH`` nearest on either side
-that share ``DEPTH`` values and are in another component still. In a sparse region
-that reaches everything at that depth, in a dense one the neighbours share ever
-longer prefixes: the depth follows the region.
+that share ``DEPTH`` values, of which those in another component are confirmed. That
+is every pair of a region of up to ``REACH + 1`` rows. The rows of larger regions with
+several components, and of regions cut by the border of two tasks, meet in an exact
+prefix-filter join: two similar sets share one of the first shingles of either, in an
+order of all shingles from rare to common.
 
 * Copies are one node (the digest of their set); links and components are of nodes.
 * Null or wordless texts have the empty set, are linked with nothing and kept.
@@ -20,9 +22,8 @@ longer prefixes: the depth follows the region.
 * Ties do not matter: the outcome depends on links alone. Other columns are not read.
 
 A true link is missed only if the two sets share no ``DEPTH`` values in any tree
-(at the threshold less than 1 in 400,000) or, in a region with more than
-``2 * REACH`` sets, if neither the pair nor a chain through others is in reach in
-any tree. README gives measured figures.
+(at the threshold less than 1 in 400,000) or, outside of large regions, if their
+signatures estimate them below ``ESTIMATE``.
 """
 
 from __future__ import annotations
@@ -51,6 +52,10 @@ SKETCH = 128        # one byte of each signature value goes along to estimate li
 ESTIMATE = 0.58
 SET_BYTES = 6       # of each shingle hash in a set that is moved
 SALTS = 16
+BUCKETS = 1 << 21   # counters by which shingles are ordered from rare to common
+SALT_ROOTS = 256    # components that share a shingle, per salt of that shingle
+TOLD = 100_000      # nodes a task remembers to have named already
+POSTINGS = 50_000   # rows of a batch of postings
 #: Ids up to this many (about 20 MB) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 300_000
 
@@ -142,12 +147,57 @@ def active_nodes(nodes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(partners, "node binary").distinct()
 
 
-def candidates(nodes: DataFrame, trees: range, reach: int) -> DataFrame:
+class _Unsearched:
+    """Nodes of the regions of one task's sorted rows that ``reach`` does not search in full.
+
+    These are regions of more than ``reach + 1`` rows and several roots, and the first
+    and last region of the task, which may go on in another one. A region's rows are
+    held only as long as it has one root.
+    """
+
+    def __init__(self, reach: int):
+        self.reach, self.region, self.first = reach, None, True
+        self.held: list[np.ndarray] = []
+        self.rows, self.root, self.mixed = 0, b"", False
+
+    def _extend(self, node: np.ndarray, root: np.ndarray) -> list[np.ndarray]:
+        self.held.append(node)
+        self.rows += len(node)
+        self.mixed = self.mixed or bool((root != self.root).any())
+        return self._release() if self.first or (self.mixed and self.rows > self.reach + 1) else []
+
+    def _release(self) -> list[np.ndarray]:
+        held, self.held = self.held, []
+        return held
+
+    def add(self, region: np.ndarray, node: np.ndarray, root: np.ndarray) -> list[np.ndarray]:
+        """The next rows; returns the nodes known to be unsearched by now."""
+        cuts = np.flatnonzero((region[1:] != region[:-1]).any(axis=1)) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(region)]))
+        out: list[np.ndarray] = []
+        begun = 0
+        if self.region is not None and (region[0] == self.region).all():
+            out += self._extend(node[:ends[0]], root[:ends[0]])
+            begun = 1
+        for s, e in zip(starts[begun:], ends[begun:]):
+            if self.region is None or e == len(region):       # may go on on either side
+                self.first, self.held, self.rows, self.mixed = self.region is None, [], 0, False
+                self.region, self.root = region[s], root[s]
+                out += self._extend(node[s:e], root[s:e])
+            elif e - s > self.reach + 1 and (root[s:e] != root[s]).any():
+                out.append(node[s:e])
+        return out
+
+    def end(self) -> list[np.ndarray]:
+        return self._release()
+
+
+def candidates(nodes: DataFrame, trees: range, reach: int, rest: bool = False) -> DataFrame:
     """Pairs a < b of nodes of different components that are within ``reach`` in one of the trees.
 
     ``nodes`` has node, root, n_shingles and signature. Pairs that the whole
-    signatures estimate below ``ESTIMATE`` are left out. Pairs cut by the border of
-    two tasks are found in other trees, where the borders fall elsewhere.
+    signatures estimate below ``ESTIMATE`` are left out. With ``rest``, the nodes of
+    regions that are not searched in full come too, as rows with a null b.
     """
     spark = nodes.sparkSession
     small_batches(spark)
@@ -168,13 +218,23 @@ def candidates(nodes: DataFrame, trees: range, reach: int) -> DataFrame:
                 yield _emit(keyed_schema, [[mark + v for v in values], ids, roots, sizes, sketch])
 
     def pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, unsearched, told = None, _Unsearched(reach), set()
+
+        def new(found: list[np.ndarray]) -> list[bytes]:
+            ids = {i for part in found for i in _rows_as_bytes(part)} - told
+            if len(told) + len(ids) > TOLD:
+                told.clear()
+            told.update(ids)
+            return list(ids)
+
         for batch in it:
             if not batch.num_rows:
                 continue
             now = (_columns(batch, "key", 1 + 2 * LEVELS, np.uint8), _columns(batch, "node", 16, np.uint8),
                    _columns(batch, "root", 16, np.uint8), batch.column(3).to_numpy(),
                    _columns(batch, "sketch", SKETCH, np.uint8))
+            if rest and (ids := new(unsearched.add(now[0][:, :prefix], now[1], now[2]))):
+                yield _emit(pair_schema, [ids, [None] * len(ids)])
             old = 0
             if held is not None:
                 old = len(held[3])
@@ -194,6 +254,8 @@ def candidates(nodes: DataFrame, trees: range, reach: int) -> DataFrame:
                     one, two = _rows_as_bytes(node[left]), _rows_as_bytes(node[right])
                     yield _emit(pair_schema, [list(map(min, one, two)), list(map(max, one, two))])
             held = tuple(x[-reach:] for x in now)
+        if rest and (ids := new(unsearched.end())):
+            yield _emit(pair_schema, [ids, [None] * len(ids)])
 
     keyed = nodes.select("node", "root", "n_shingles", "signature").mapInArrow(keys, keyed_ddl)
     ordered = keyed.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
@@ -238,6 +300,98 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         "linked").select("a", "b")
 
 
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def _shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles of each bucket occur in the sets."""
+    spark = sets.sparkSession
+    ddl = "bucket int, n long"
+    schema = arrow_schema(spark, ddl)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int32)
+        for batch in it:
+            for data in batch.column(0).to_pylist():
+                np.add.at(counts, _bucket(_unpacked(data)), 1)
+        used = np.flatnonzero(counts)
+        for at in range(0, len(used), POSTINGS):
+            part = used[at:at + POSTINGS]
+            yield _emit(schema, [part.astype(np.int32), counts[part].astype(np.int64)])
+
+    out = np.zeros(BUCKETS, np.int32)
+    counted = sets.select("hashes").mapInArrow(run, ddl).groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = counted.select("bucket", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def postings(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """The first shingles of each set (node, root, hashes) with the set's size and their place in it.
+
+    Shingles are ordered by ``counts``, rare ones first. A set of n shingles has
+    n - ceil(0.75 n) + 1 first ones; of two similar sets these have one in common.
+    Those that no other set has are left out.
+    """
+    spark = sets.sparkSession
+    small_batches(spark)
+    ddl = "token long, node binary, root binary, n int, place int"
+    schema = arrow_schema(spark, ddl)
+    shared = spark.sparkContext.broadcast(counts)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            out, held = [[], [], [], [], []], 0
+            for node, root, data in zip(*(c.to_pylist() for c in batch.columns)):
+                hashes = _unpacked(data)
+                n, seen = len(hashes), shared.value[_bucket(hashes)]
+                order = np.lexsort((hashes, seen))[:n - (THRESHOLD * n + 99) // 100 + 1]
+                place = np.flatnonzero(seen[order] > 1)
+                if not len(place):
+                    continue
+                for column, values in zip(out, (hashes[order[place]].view(np.int64).tolist(), [node] * len(place),
+                                                [root] * len(place), [n] * len(place), place.tolist())):
+                    column += values
+                held += len(place)
+                if held >= POSTINGS:
+                    yield _emit(schema, out)
+                    out, held = [[], [], [], [], []], 0
+            if held:
+                yield _emit(schema, out)
+
+    return sets.select("node", "root", "hashes").mapInArrow(run, ddl)
+
+
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """All pairs a < b of sets (node, root, hashes) with different roots that may be similar.
+
+    Roots that share a first shingle meet before their sets do, so copies within a
+    component never meet; shingles of many roots are salted.
+    """
+    first = written(postings(sets, _shingle_counts(sets)), "postings")
+    heads = first.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    common = heads.groupBy("token").agg(F.count("*").alias("roots")).where("roots > 1").select(
+        "token", F.ceil(F.col("roots") / SALT_ROOTS).cast("int").alias("salts"))
+    heads = written(heads.join(common, "token"), "heads")
+    dealt = heads.withColumn("salt", F.pmod(F.xxhash64("root"), F.col("salts")).cast("int"))
+    copied = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    x, y = dealt.alias("x"), copied.alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt"))
+                 & (F.col("x.root") < F.col("y.root")) & (100 * F.col("x.high") >= THRESHOLD * F.col("y.low"))
+                 & (100 * F.col("y.high") >= THRESHOLD * F.col("x.low"))).select(
+        F.col("x.token").alias("token"), F.col("x.root").alias("root"), F.col("y.root").alias("other"))
+    one = first.select("token", "root", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("place").alias("a_place"))
+    two = first.select("token", F.col("root").alias("other"), F.col("node").alias("b"), F.col("n").alias("b_n"),
+                       F.col("place").alias("b_place"))
+    # From the first shingle in common on, the rest of both must hold enough for the threshold.
+    left = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    fits = (100 * F.least("a_n", "b_n") >= THRESHOLD * F.greatest("a_n", "b_n")) & (
+        (100 + THRESHOLD) * left >= THRESHOLD * (F.col("a_n") + F.col("b_n")))
+    return met.join(one, ["token", "root"]).join(two, ["token", "other"]).where(fits).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b) of nodes whose components are those of all similar sets."""
     nodes = rows.where("node is not null").groupBy("node").agg(
@@ -245,15 +399,26 @@ def near_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     nodes = written(nodes, "nodes")
     active = written(nodes.join(active_nodes(nodes), "node", "left_semi"), "active")
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        holders = written(active.select("node", "doc_id").join(ids, "node", "left_semi"), "holders")
+        return written(node_sets(docs, holders), "sets")
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "candidates")
-        in_pairs = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        holders = written(active.select("node", "doc_id").join(in_pairs, "node", "left_semi"), "holders")
-        return written(confirmed(pairs, written(node_sets(docs, holders), "sets")), "links")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return written(confirmed(pairs, sets_of(ids)), "links")
 
-    first = confirm(candidates(active.withColumn("root", F.col("node")), range(FIRST_TREES), 1))
+    first = confirm(written(candidates(active.withColumn("root", F.col("node")), range(FIRST_TREES), 1), "candidates"))
     rooted = active.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return first.unionByName(confirm(candidates(rooted, range(FIRST_TREES, FIRST_TREES + OTHER_TREES), REACH)))
+    found = written(candidates(rooted, range(FIRST_TREES, FIRST_TREES + OTHER_TREES), REACH, rest=True), "candidates")
+    links = first.unionByName(confirm(found.where("b is not null")))
+    left = found.where("b is null").select(F.col("a").alias("node"))
+    if left.isEmpty():
+        return links
+    roots = components(links).withColumnRenamed("root", "joined")
+    sets = sets_of(left).join(rooted.select("node", "root"), "node").join(roots, "node", "left").withColumn(
+        "root", F.coalesce("joined", "root")).drop("joined")
+    pairs = written(prefix_pairs(sets), "pairs")
+    return links.unionByName(written(confirmed(pairs, sets), "links"))
 
 
 def classify(docs: DataFrame, key: Column | None = None) -> DataFrame:
