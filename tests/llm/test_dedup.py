@@ -193,3 +193,18 @@ def test_prefix_join_is_exact(spark):
     want = {(names[i], names[j]) for i in range(len(sets)) for j in range(i + 1, len(sets)) if roots[i] != roots[j]
             and 4 * (both := near.shingles.overlap(sets[i], sets[j])) >= 3 * (len(sets[i]) + len(sets[j]) - both)}
     assert want and {(bytes(p.a), bytes(p.b)) for p in near.confirmed(pairs, df).collect()} == want
+
+
+def test_near_copies_of_any_length_share_names():
+    """Texts on either side of 256 bytes, and a text of one run parsed beside a short one."""
+    rng = random.Random(6)
+    likes = []
+    for _ in range(20):
+        long = bytes(rng.choice(b"abcdefghij klmnop") for _ in range(260))
+        f = phrases.fingerprints([long, long[:250]])
+        likes.append(phrases.likeness(f[:1], f[1:])[0])
+    assert np.mean(likes) > 0.85
+    run = b"-" * 300 + b"\n"
+    alone = phrases.fingerprints([run])[0]
+    assert (alone != phrases.EMPTY).any()
+    assert (phrases.fingerprints([run, b"some short text"])[0] == alone).all()

@@ -9,8 +9,8 @@ neighbours. That depends on a few symbols nearby only, so equal substrings are
 parsed alike inside, whatever their offset, and share names on every level.
 
 The fingerprint keeps the smallest name of each of ``SLOTS`` slots over the levels
-from ``FIRST_LEVEL`` on (phrases of some ten bytes and more; of texts below ``SHORT``
-bytes one level earlier) and the top name.
+from ``FIRST_LEVEL`` on (phrases of a few bytes and more), whatever the text's length,
+and the top name.
 Likeness is Dice's coefficient from the slots: 1 for equal, about the shared part
 of two texts of one length.
 
@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 from updraft.llm.common import arrow_schema, read, small_batches, whole_text
 
 SLOTS = 64
-FIRST_LEVEL = 2
-SHORT = 256         # bytes below which the level before counts, too
+FIRST_LEVEL = 1
 EMPTY = 0xFFFF
 PART = 1 << 20      # bytes of text parsed side by side
 LOWEST = -(1 << 63)
@@ -94,7 +93,6 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     sizes = np.array([len(t) for t in texts], np.int64)
     names = _BYTES[np.frombuffer(b"".join(texts), np.uint8)]
     doc = np.repeat(np.arange(len(texts)), sizes)
-    short = sizes < SHORT
     level = 0
     while len(names):
         # Runs become one symbol, named by symbol and length.
@@ -112,9 +110,6 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
         done = count == 1
         if level >= FIRST_LEVEL:
             _keep(out, doc, names)
-        elif level == FIRST_LEVEL - 1 and short.any():
-            few = short[doc]
-            _keep(out, doc[few], names[few])
         elif done.any():
             _keep(out, doc[first[done]], names[first[done]])
         if done.any():            # texts parsed up to one name leave
