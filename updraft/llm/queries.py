@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from updraft.llm.chat import op10_prefix_rendering
+from updraft.llm.lines import OP11_SQL, op11_line_dedup
+from updraft.llm.merkle import op13_merkle
 from updraft.llm.mixing import op9_raking
 from updraft.llm.near import op5_lsh_forest
 from updraft.llm.phrases import op2_phrases
@@ -24,7 +26,10 @@ QUERIES = {
     "op8_host_rules": op8_host_rules,
     "op9_raking": op9_raking,
     "op10_prefix_rendering": op10_prefix_rendering,
+    "op11_line_dedup": op11_line_dedup,
+    "op13_merkle": op13_merkle,
 }
 ORACLES = {
     "op8_host_rules": OP8_SQL,
+    "op11_line_dedup": OP11_SQL,
 }
