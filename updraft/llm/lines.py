@@ -58,7 +58,8 @@ def text_key() -> Column:
 
 def line_hashes(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc_id, text_key, position and 128-bit hash of every line whose key is long enough."""
-    each = docs.select("doc_id", text_key().alias("text_key"), F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
+    each = docs.select("doc_id", text_key().alias("text_key"),
+                       F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
     keyed = each.select("doc_id", "text_key", "at", line_key(F.col("line")).alias("key"))
     return keyed.where(F.char_length("key") >= least_chars).select(
         "doc_id", "text_key", "at", F.xxhash64("key").alias("hash_a"), F.xxhash64(F.lit(1), "key").alias("hash_b"))

@@ -68,15 +68,17 @@ def positioned(leaves: DataFrame) -> DataFrame:
         _ROW_BITS).alias("row")), "ordered")
     runs = written(parts.groupBy("part", "source").agg(F.min("row").alias("first"), F.count("*").alias("rows")), "runs")
     within = Window.partitionBy("source")
-    placed = runs.select("part", "source", "first", F.sum("rows").over(within).alias("n"), F.coalesce(F.sum("rows").over(
-        within.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    before = within.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = runs.select("part", "source", "first", F.sum("rows").over(within).alias("n"),
+                         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
     numbers = source_numbers(runs)
     p, s = placed.alias("p"), numbers.alias("s")
     spots = p.join(s, F.col("p.source").eqNullSafe(F.col("s.source"))).select(
         "part", F.col("p.source").alias("source"), "source_no", "n", (F.col("base") - F.col("first")).alias("shift"))
     a, b = parts.alias("a"), spots.alias("b")
     out = a.join(b, (F.col("a.part") == F.col("b.part")) & F.col("a.source").eqNullSafe(F.col("b.source")))
-    return out.select(*[f"a.{c}" for c in leaves.columns], "source_no", (F.col("row") + F.col("shift")).alias("at"), "n")
+    return out.select(*[f"a.{c}" for c in leaves.columns], "source_no",
+                      (F.col("row") + F.col("shift")).alias("at"), "n")
 
 
 def source_numbers(runs: DataFrame) -> DataFrame:
@@ -85,7 +87,8 @@ def source_numbers(runs: DataFrame) -> DataFrame:
     A source's number is the count of sources that begin in earlier parts, plus those before it in its own
     part: two windows, over the sources of a part and over one row a part.
     """
-    begins = runs.groupBy("source").agg(F.min(F.struct("part", "first")).alias("b")).select("source", "b.part", "b.first")
+    begins = runs.groupBy("source").agg(F.min(F.struct("part", "first")).alias("b")).select(
+        "source", "b.part", "b.first")
     counts = begins.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -126,8 +129,9 @@ def climb(nodes: DataFrame, tree: str) -> DataFrame:
     seen = order.rowsBetween(Window.unboundedPreceding, 0)
     carried = F.array(*[F.last(s, ignorenulls=True).over(seen) for s in steps])
     return rows.withColumn("carried", carried).withColumn("steps", F.transform(
-        F.filter("carried", lambda s: s["hashed"]), lambda s: F.struct(s["left"].alias("left"), s["right"].alias("right")))
-    ).withColumnRenamed("d", "top").drop("carried", *steps)
+        F.filter("carried", lambda s: s["hashed"]),
+        lambda s: F.struct(s["left"].alias("left"), s["right"].alias("right")))).withColumnRenamed("d", "top").drop(
+            "carried", *steps)
 
 
 def tree_paths(nodes: DataFrame, tree: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -141,7 +145,8 @@ def tree_paths(nodes: DataFrame, tree: str, keep: tuple[str, ...] = ()) -> tuple
         tier = written(climb(nodes, tree), "tier")
         tiers.append(tier)
         nodes = tier.where(F.col("at") % FANOUT ** LEVELS == 0).select(
-            tree, F.col("block").alias("at"), F.ceil(F.col("n") / FANOUT ** LEVELS).alias("n"), F.col("top").alias("digest"))
+            tree, F.col("block").alias("at"), F.ceil(F.col("n") / FANOUT ** LEVELS).alias("n"),
+            F.col("top").alias("digest"))
         if (tier.agg(F.max("n")).first()[0] or 0) <= FANOUT ** LEVELS:
             break
     path = None
@@ -180,8 +185,8 @@ def manifest(docs: DataFrame, checked: dict[str, Column] | None = None) -> DataF
     root = roots.first()
     up = upper.select(F.col("at").alias("source_no"), F.col("digest").alias("subroot"), F.col("path").alias("upper"))
     return salted(paths, up).select(
-        "doc_id", "source", F.col("digest").alias("leaf"), "checked_leaf", "subroot", F.lit(root and root["root"]).cast("string").alias("root"),
-        F.concat("path", "upper").alias("path"))
+        "doc_id", "source", F.col("digest").alias("leaf"), "checked_leaf", "subroot",
+        F.lit(root and root["root"]).cast("string").alias("root"), F.concat("path", "upper").alias("path"))
 
 
 def salted(paths: DataFrame, sources: DataFrame) -> DataFrame:
@@ -203,3 +208,63 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     return verified(manifest(docs, {"text": text})).select(
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _framed_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(_framed_sql(v) for v in (*FIELDS[:-1], text))})"
+
+
+def _crc_sql(value: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    step = "CASE WHEN u % 2 = 1 THEN xor(u // 2, 3988292384) ELSE u // 2 END"
+    each = f"list_reduce(list_prepend(xor(a, b), range(8)), lambda u, i: {step})"
+    codes = f"list_transform(string_split({value}, ''), lambda c: ord(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: {each}), 4294967295)"
+
+
+def _levels_sql(name: str, key: str, start: str) -> str:
+    """Recursive levels of trees and, as ``name``_step, the siblings of each node that is hashed."""
+    run = f"OVER (PARTITION BY {key}, l, i // 3 ORDER BY i ROWS BETWEEN"
+    return f"""{name} AS (
+  {start}
+  UNION ALL
+  SELECT {key}, l + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM {name}
+  WHERE n > 1 GROUP BY {key}, l, i // 3, n
+), {name}_step AS (
+  SELECT {key}, l, i, coalesce(string_agg(d, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') lhs,
+    coalesce(string_agg(d, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') rhs
+  FROM {name} WHERE n > 1
+)"""
+
+
+#: The same in DuckDB SQL, by recursion over levels.
+OP13_SQL = f"""
+WITH RECURSIVE c AS (
+  SELECT row_number() OVER () rid, *, CASE WHEN {_crc_sql('doc_id::VARCHAR')} % 2 = 0
+    THEN replace(text, chr(10), '') ELSE text END copy FROM documents
+), f AS (
+  SELECT rid, doc_id, source, {_leaf_sql('text')} leaf, {_leaf_sql('copy')} checked FROM c
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 i,
+    count(*) OVER (PARTITION BY source) n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 k FROM f
+), {_levels_sql('lv', 'k', 'SELECT k, 0 l, i, n, leaf d FROM o')}, sub AS (
+  SELECT k, l depth, d FROM lv WHERE n = 1
+), {_levels_sql('tp', 'z', 'SELECT 0 z, 0 l, k i, (SELECT count(*) FROM sub) n, d FROM sub')}, w AS (
+  SELECT rid, k, 0 l, i, checked d, '' p FROM o
+  UNION ALL
+  SELECT rid, k, l + 1, w.i // 3, sha256(lhs || d || rhs), p || lhs || rhs FROM w JOIN lv_step s USING (k, l)
+  WHERE s.i = w.i
+), v AS (
+  SELECT rid, 0 l, k i, w.d, p FROM w JOIN sub USING (k) WHERE l = depth
+  UNION ALL
+  SELECT rid, l + 1, v.i // 3, sha256(lhs || d || rhs), p || lhs || rhs FROM v JOIN tp_step s USING (l) WHERE s.i = v.i
+), e AS (
+  SELECT rid, arg_max(d, l) d, arg_max(p, l) p FROM v GROUP BY rid
+)
+SELECT doc_id, leaf, sub.d subroot, r.d root, sha256(e.p) proof_sha256, e.d folded_root, e.d = r.d verified
+FROM o JOIN e USING (rid) JOIN sub USING (k) CROSS JOIN (SELECT d FROM tp WHERE n = 1) r
+"""
