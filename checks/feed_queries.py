@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import query, r6, seconds
@@ -15,9 +17,12 @@ from updraft.operators.clusters import cluster_climbs
 from updraft.operators.splits import label_balance
 from updraft.operators.terrain import plan_lookups, with_agl, with_ground
 from updraft.operators.tow import flag_under_tow
+from updraft.session import ensure_checkpoint_dir
 from updraft.sources.beacons import parse_beacons, retain
 from updraft.sources.flights import fixes_from_snapshot, fixes_from_thermals, parse_igc_lines
 from updraft.sources.layers import geojson_features, merge_elevations, weather_rows
+from updraft.streaming import feed as S
+from updraft.streaming import livetable as LT
 
 NAMES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in K.AIRCRAFT_TYPE_NAMES.items())
 
@@ -255,6 +260,36 @@ def _(read):
     return L.live_state(beacons, asof).select("id", "seq", "first_seen", "alt")
 
 
+@query("track_sessions", ["beacons"], """
+WITH g AS (SELECT *, CASE WHEN t_dense_s - lag(t_dense_s) OVER (PARTITION BY id ORDER BY t_dense_s) <= 300 THEN 0 ELSE 1 END AS cut FROM beacons),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY id ORDER BY t_dense_s) AS n FROM g)
+SELECT id, 1718956800 + min(t_dense_s) AS first_ts, 1718956800 + max(t_dense_s) AS last_ts, count(*) AS beacons, max(alt) AS max_alt FROM s GROUP BY id, n""")
+def _(read):
+    return S.track_sessions(read("beacons")).select("id", seconds("first_ts"), seconds("last_ts"), "beacons", "max_alt")
+
+
+@query("hourly_climbs", ["beacons"], """
+SELECT CAST(epoch(date_trunc('hour', ts_hist)) AS BIGINT) AS hour, CAST(floor(lat_hist / 0.01e0) AS BIGINT) AS lat_cell, CAST(floor(lon / 0.01e0) AS BIGINT) AS lon_cell,
+  CAST(sum(CASE WHEN circling AND vario > 1.5 THEN 1 ELSE 0 END) AS BIGINT) AS climbs, count(*) AS total
+FROM beacons WHERE ac_type IN (1, 6, 7) AND NOT coalesce(under_tow, true) GROUP BY ALL""")
+def _(read):
+    rows = read("beacons").withColumns({"ts": F.col("ts_hist"), "lat": F.col("lat_hist")})
+    return S.hourly_climb_index(rows).select(seconds("hour"), "lat_cell", "lon_cell", "climbs", "total")
+
+
+@query("live_stream", ["beacons"], f"""WITH {FEED_RUNS},
+m AS (SELECT max(t_dense_s) AS t FROM beacons)
+SELECT id, max(seq) AS seq, arg_max(run, seq) AS first_seen, arg_max(alt, seq) AS alt FROM feed_runs, m
+WHERE t_dense_s > m.t - 300 GROUP BY id""")
+def _(read):
+    """The keyed live table after a stream over the whole event table."""
+    reports = read("beacons", stream=True).select("seq", "id", "ts", "lat", "lon", "alt", "vario", "ac_type")
+    checkpoint = f"{ensure_checkpoint_dir(reports.sparkSession).rstrip('/')}/live-{uuid.uuid4().hex}"
+    query = LT.start_live(LT.live_changes(reports).writeStream.format("noop").trigger(availableNow=True), checkpoint)
+    query.awaitTermination()
+    return LT.read_live(reports.sparkSession, checkpoint, reports.schema).select("id", "seq", "first_seen", "alt")
+
+
 @query("positions_since", ["beacons"], """
 SELECT id, seq, lat, lon, alt FROM beacons QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) <= 20""")
 def _(read):
@@ -426,6 +461,39 @@ def _(read):
     return plan_lookups(read("beacons"), elevations_e4(read), max_chunks=3, dp=3)
 
 
+# A viewer's frame at the end of the feed: the middle of the map, positions of the last 200 reports.
+FRAME_BOX = (46.01, 46.03, 15.01, 15.05)
+FRAME_SQL = f"""{FEED_RUNS},
+live AS (SELECT id, arg_max(lat, seq) AS lat, arg_max(lon, seq) AS lon, arg_max(alt, seq) AS alt, arg_max(speed_kmh, seq) AS speed_kmh, arg_max(vario, seq) AS vario FROM feed_runs,
+    (SELECT max(t_dense_s) AS t FROM beacons) m WHERE t_dense_s > m.t - 300 GROUP BY id),
+shown AS (SELECT * FROM live WHERE lat BETWEEN 46.01 AND 46.03 AND lon BETWEEN 15.01 AND 15.05)"""
+
+
+def frame(read):
+    beacons = read("beacons").drop("under_tow").withColumn("under_tow", F.lit(False))
+    end = beacons.agg(F.max("ts").alias("t")).scalar()
+    cursor = L.cursor_head(beacons).scalar() - 200
+    return S.live_frame(beacons, elevations_e4(read), end, FRAME_BOX, cursor)
+
+
+@query("frame_aircraft", ["beacons", "elevation_points"], f"""WITH {FRAME_SQL}, {ELEV4}
+SELECT id, round(round_even(s.lat, 5), 6) AS lat, round(round_even(s.lon, 5), 6) AS lon, s.alt, s.vario,
+  s.alt - CASE WHEN s.alt - c.elevation <= 150 AND coalesce(speed_kmh, 0) <= 40 THEN coalesce(f.elevation, c.elevation) ELSE c.elevation END AS agl
+FROM shown s LEFT JOIN e4 c ON c.lat_e4 = CAST(round_even(s.lat * 100, 0) AS BIGINT) * 100 AND c.lon_e4 = CAST(round_even(s.lon * 100, 0) AS BIGINT) * 100
+LEFT JOIN e4 f ON f.lat_e4 = CAST(round_even(s.lat * 10000, 0) AS BIGINT) AND f.lon_e4 = CAST(round_even(s.lon * 10000, 0) AS BIGINT)""")
+def _(read):
+    shown, _ = frame(read)
+    return shown.select("id", *r6("lat", "lon"), "alt", "vario", "agl")
+
+
+@query("frame_positions", ["beacons"], f"""WITH {FRAME_SQL}
+SELECT id, round(round_even(lat, 5), 6) AS lat, round(round_even(lon, 5), 6) AS lon, alt FROM beacons
+WHERE seq > (SELECT max(seq) FROM beacons) - 200 AND id IN (SELECT id FROM shown)""")
+def _(read):
+    _, new = frame(read)
+    return new.select("id", *r6("lat", "lon"), "alt")
+
+
 @query("merge_elevations", ["beacons", "elevation_points"], """
 WITH k AS (SELECT lat_i * 100 AS lat_e4, lon_j * 100 AS lon_e4, elevation FROM elevation_points),
 f AS (SELECT CAST(round_even(lat * 100, 0) AS BIGINT) * 100 AS lat_e4, CAST(round_even(lon * 100, 0) AS BIGINT) * 100 AS lon_e4, max(alt) AS elevation FROM beacons GROUP BY 1, 2)

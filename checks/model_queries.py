@@ -271,6 +271,84 @@ def _(read):
                        F.round(F.col("land_use_albedo") + 1e-9, 6).alias("albedo"))
 
 
+def cover_rasters(read):
+    """A 40 x 40 raster per area, placed over the requests' zones; the last areas lack pixels."""
+    area = read("landcover_pixels").select(F.col("area").alias("tile")).distinct()
+    return area.select("tile", (46.1 + F.col("tile") / F.lit(2.0)).alias("raster_north"), F.lit(14.95).alias("raster_west"),
+                       F.lit(0.004).alias("pixel_deg"), F.lit(40).alias("width"), F.lit(40).alias("height"))
+
+
+def cover_windows(read, centred):
+    """Cover windows around the (tile, c_i, c_j) of ``centred``."""
+    pixels = read("landcover_pixels").withColumnRenamed("area", "tile")
+    rasters = cover_rasters(read)
+    return landcover.cover_windows(centred, landcover.summed_area(pixels, rasters), rasters)
+
+
+def centred_requests(read):
+    return TR.with_centre(read("prediction_requests")).withColumn("tile", F.col("request_id") % 4)
+
+
+def window_sql(centres: str) -> str:
+    """Means of the 11 x 11 cells around each of the centres (z, c_i, c_j), pixel by pixel."""
+    return f"""cw0 AS (SELECT DISTINCT z, c_i, c_j FROM {centres} WHERE z IN (SELECT area FROM landcover_pixels)),
+cpx AS (SELECT z, c_i, c_j, class, (46.1e0 + z / 2e0 - (py + 0.5e0) * 0.004e0 - (c_i * 0.01e0 - 0.05e0)) / 0.01e0 AS dn,
+    (14.95e0 + (px + 0.5e0) * 0.004e0 - (c_j * 0.01e0 - 0.05e0)) / 0.01e0 AS al FROM cw0 JOIN landcover_pixels ON area = z),
+cwa AS (SELECT z, c_i, c_j, least(10, greatest(0, round_even(dn, 0))) AS r, least(10, greatest(0, round_even(al, 0))) AS c, avg({HEAT}) AS heat, avg({ALBEDO}) AS albedo
+  FROM cpx WHERE dn BETWEEN -0.5e0 AND 10.5e0 AND al BETWEEN -0.5e0 AND 10.5e0 GROUP BY ALL),
+cw AS (SELECT k.z, k.c_i, k.c_j, k.r, k.c, CASE WHEN k.z NOT IN (SELECT area FROM landcover_pixels) THEN 0.4e0 ELSE coalesce(heat, 0) END AS heat,
+    CASE WHEN k.z NOT IN (SELECT area FROM landcover_pixels) THEN 0.2e0 ELSE coalesce(albedo, 0) END AS albedo
+  FROM (SELECT DISTINCT z, c_i, c_j, r, c FROM {centres}, range(0, 11) t(r), range(0, 11) u(c)) k
+  LEFT JOIN cwa USING (z, c_i, c_j, r, c))"""
+
+
+ZQ = "zq AS (SELECT *, request_id % 4 AS z FROM rq)"
+
+
+@query("landcover_window", ["prediction_requests", "landcover_pixels"], f"""WITH {REQ}, {ZQ}, {window_sql('zq')}
+SELECT request_id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(heat + 1e-9, 6) AS heat, round(albedo + 1e-9, 6) AS albedo FROM zq JOIN cw USING (z, c_i, c_j)""")
+def _(read):
+    asked = centred_requests(read)
+    filled = landcover.with_cover_windows(asked, cover_windows(read, asked))
+    cells = filled.select("request_id", F.posexplode(F.arrays_zip(*[f"{v}_window" for v in landcover.LAYERS])).alias("k", "v"))
+    return cells.select(
+        "request_id", F.floor(F.col("k") / 11).cast("int").alias("row"), (F.col("k") % 11).alias("col"),
+        F.round(F.col("v.land_use_heat_window") + 1e-9, 6).alias("heat"),
+        F.round(F.col("v.land_use_albedo_window") + 1e-9, 6).alias("albedo"))
+
+
+COVER_FINE = """cf AS (SELECT n.z, n.c_i, n.c_j, n.r, n.c, (v00.heat * (1 - wx) + v01.heat * wx) * (1 - wy) + (v10.heat * (1 - wx) + v11.heat * wx) * wy AS heat,
+    (v00.albedo * (1 - wx) + v01.albedo * wx) * (1 - wy) + (v10.albedo * (1 - wx) + v11.albedo * wx) * wy AS albedo
+  FROM (SELECT DISTINCT z, c_i, c_j, r, c, least(r // 20, 9) AS a, least(c // 20, 9) AS b, r / 20e0 - least(r // 20, 9) AS wy, c / 20e0 - least(c // 20, 9) AS wx
+    FROM zq, range(0, 201) t(r), range(0, 201) u(c)) n
+  JOIN cw v00 ON v00.z = n.z AND v00.c_i = n.c_i AND v00.c_j = n.c_j AND v00.r = a AND v00.c = b JOIN cw v01 ON v01.z = n.z AND v01.c_i = n.c_i AND v01.c_j = n.c_j AND v01.r = a AND v01.c = b + 1
+  JOIN cw v10 ON v10.z = n.z AND v10.c_i = n.c_i AND v10.c_j = n.c_j AND v10.r = a + 1 AND v10.c = b JOIN cw v11 ON v11.z = n.z AND v11.c_i = n.c_i AND v11.c_j = n.c_j AND v11.r = a + 1 AND v11.c = b + 1)"""
+
+
+@query("upsample_landcover", ["prediction_requests", "landcover_pixels"], f"""WITH {REQ}, {ZQ}, {window_sql('zq')}, {COVER_FINE}
+SELECT request_id, r AS row, count(*) AS n, round(avg(heat) + 1e-9, 5) AS heat, round(max(albedo) + 1e-9, 5) AS albedo FROM zq JOIN cf USING (z, c_i, c_j) GROUP BY request_id, r""")
+def _(read):
+    asked = centred_requests(read)
+    filled = landcover.with_cover_windows(asked, cover_windows(read, asked)).drop("lat", "lon")
+    cells = TR.grid_cells(TR.grid_rows(filled, landcover.LAYERS), landcover.LAYERS)
+    return cells.groupBy("request_id", "row").agg(
+        F.count("*").alias("n"), F.round(F.avg("land_use_heat") + 1e-9, 5).alias("heat"),
+        F.round(F.max("land_use_albedo") + 1e-9, 5).alias("albedo"))
+
+
+@query("landcover_at_centre", ["beacons", "landcover_pixels"], f"""WITH
+zb AS (SELECT seq, lat_hist, lon, CAST(floor((lat_hist - 46) * 2) AS BIGINT) AS z, CAST(round_even(lat_hist / 0.01e0, 0) AS BIGINT) AS c_i, CAST(round_even(lon / 0.01e0, 0) AS BIGINT) AS c_j FROM beacons),
+{window_sql('zb')},
+p AS (SELECT *, least(10, greatest(0, round_even((lat_hist - (c_i * 0.01e0 - 0.05e0)) / 0.1e0 * 10, 0))) AS r, least(10, greatest(0, round_even((lon - (c_j * 0.01e0 - 0.05e0)) / 0.1e0 * 10, 0))) AS c FROM zb)
+SELECT seq, round(heat + 1e-9, 6) AS heat, round(albedo + 1e-9, 6) AS albedo FROM p JOIN cw USING (z, c_i, c_j, r, c)""")
+def _(read):
+    points = TR.with_centre(read("beacons").select("seq", "lat_hist", "lon"), "lat_hist").withColumn(
+        "tile", F.floor((F.col("lat_hist") - 46) * 2))
+    rows = landcover.with_landcover_at_centre(points, cover_windows(read, points), lat="lat_hist")
+    return rows.select("seq", F.round(F.col("land_use_heat") + 1e-9, 6).alias("heat"),
+                       F.round(F.col("land_use_albedo") + 1e-9, 6).alias("albedo"))
+
+
 # --- Sun and physics ---------------------------------------------------------
 
 SUN = """s0 AS (SELECT seq, lat_hist AS lat, lon, dayofyear(ts_hist) AS doy, hour(ts_hist) + minute(ts_hist) / 60e0 AS h,
@@ -394,20 +472,25 @@ def _(read):
     return predict.response_header(requests_with_weather(read), read("elevation_points"))
 
 
-@query("grid_features", ["prediction_requests", "elevation_points", "weather_hours"], f"""WITH {GRID}, {RW},
+FEATURE_MEANS = ("lat", "lon", "elevation", "slope", "alt_agl", "land_use_heat", "land_use_albedo")
+FEATURE_PEAKS = ("temp_2m", "humidity", "wind_u", "wind_v", "cape", "cin", "solar_ghi", "lapse_rate", "hour_sin", "hour_cos",
+                 "doy_sin", "doy_cos", "pbl_height", "soil_temp")
+
+
+@query("grid_features", ["prediction_requests", "elevation_points", "weather_hours", "landcover_pixels"], f"""WITH {GRID}, {ZQ}, {window_sql('zq')}, {COVER_FINE}, {RW},
 tm AS (SELECT c_i, c_j, avg(elevation) AS tm FROM fine GROUP BY c_i, c_j),
-a AS (SELECT rw.*, coalesce(CAST(alt_amsl AS DOUBLE), tm + 1000) AS alt, TIMESTAMP '2024-01-01' + to_hours(CAST(hour_no AS INT)) AS ts FROM rw JOIN tm USING (c_i, c_j))
-SELECT request_id, r AS row, count(*) AS n, round(avg(lat), 5) AS lat, round(avg(lon), 5) AS lon, round(avg(elevation), 5) AS elevation, round(avg(slope), 5) AS slope,
-  round(max(temp_2m), 6) AS temp_2m, round(max(wind_u), 6) AS wind_u, round(max(lapse_rate), 6) AS lapse_rate, round(max(0.4e0), 6) AS land_use_heat,
-  round(max(sin(2 * pi() * hour(ts) / 24)), 6) AS hour_sin, round(max(cos(2 * pi() * dayofyear(ts) / 365)), 6) AS doy_cos, round(max(pbl_height), 6) AS pbl_height,
-  round(avg(greatest(0, alt - elevation)), 5) AS alt_agl FROM a JOIN grid USING (c_i, c_j) GROUP BY request_id, r""")
-def _(read):
-    rows = predict.grid_features(requests_with_weather(read), read("elevation_points"))
-    means, peaks = ("lat", "lon", "elevation", "slope", "alt_agl"), (
-        "temp_2m", "wind_u", "lapse_rate", "land_use_heat", "hour_sin", "doy_cos", "pbl_height")
+a AS (SELECT rw.*, coalesce(CAST(alt_amsl AS DOUBLE), tm + 1000) AS alt, TIMESTAMP '2024-01-01' + to_hours(CAST(hour_no AS INT)) AS ts, request_id % 4 AS z FROM rw JOIN tm USING (c_i, c_j)),
+f AS (SELECT a.* EXCLUDE (c_i, c_j, z), grid.*, heat AS land_use_heat, albedo AS land_use_albedo, sin(2 * pi() * hour(ts) / 24) AS hour_sin, cos(2 * pi() * hour(ts) / 24) AS hour_cos,
+    sin(2 * pi() * dayofyear(ts) / 365) AS doy_sin, cos(2 * pi() * dayofyear(ts) / 365) AS doy_cos, greatest(0, alt - elevation) AS alt_agl
+  FROM a JOIN grid USING (c_i, c_j) JOIN cf USING (z, c_i, c_j, r, c))
+SELECT request_id, r AS row, count(*) AS n, round(avg(sin(radians(aspect)) * slope), 5) AS facing,
+  {', '.join(f'round(avg({c}) + 1e-9, 5) AS {c}' for c in FEATURE_MEANS)}, {', '.join(f'round(max({c}), 6) AS {c}' for c in FEATURE_PEAKS)} FROM f GROUP BY request_id, r""")
+def _(read):
+    asked = requests_with_weather(read).withColumn("tile", F.col("request_id") % 4)
+    rows = predict.grid_features(asked, read("elevation_points"), cover_windows(read, TR.with_centre(asked)))
     return rows.groupBy("request_id", "row").agg(
-        F.count("*").alias("n"), *[F.round(F.avg(c), 5).alias(c) for c in means],
-        *[F.round(F.max(c), 6).alias(c) for c in peaks])
+        F.count("*").alias("n"), F.round(F.avg(F.sin(F.radians("aspect")) * F.col("slope")), 5).alias("facing"),
+        *[F.round(F.avg(c) + 1e-9, 5).alias(c) for c in FEATURE_MEANS], *[F.round(F.max(c), 6).alias(c) for c in FEATURE_PEAKS])
 
 
 @query("fuse_climbs", ["prediction_requests", "beacons"], f"""WITH {REQ}, {LIVE}

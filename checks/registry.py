@@ -17,10 +17,10 @@ YEAR_START = 1704067200   # 2024-01-01 00:00:00 UTC
 
 
 def query(name: str, views=(), sql: str | None = None):
-    """Register a function of (read) as a query; ``read(view)`` gives a DataFrame."""
+    """Register a function of (read) as a query; ``read(view)`` gives a DataFrame, on request a streaming one."""
     def register(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(lambda v: prepared(spark, sf_dir, v))
+            return build(lambda v, stream=False: prepared(spark, sf_dir, v, stream))
 
         run.__name__ = name
         QUERIES[name] = run
@@ -31,9 +31,9 @@ def query(name: str, views=(), sql: str | None = None):
     return register
 
 
-def prepared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepared(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
     """A view with the timestamp columns the operators read."""
-    df = view(spark, sf_dir, name)
+    df = view(spark, sf_dir, name, stream)
     if name in ("aprs_lines", "igc_lines"):
         # Stands for a table of raw text lines: the text is built once, then parsed.
         return durable(df)

@@ -135,13 +135,17 @@ FROM events
 TABLES = ("events", "supplier")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view as a DataFrame over the parquet tables in ``sf_dir``."""
+def view(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """A derived view as a DataFrame over the parquet tables in ``sf_dir``, read as a stream if asked for."""
     text = VIEWS[name].replace("{", "{{").replace("}", "}}")
     frames = {}
     for table in TABLES:
         if f"FROM {table}" in text:
-            frames[table] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+            path = f"{sf_dir}/{table}.parquet"
+            stored = spark.read.parquet(path)
+            # A pattern, since a stream takes no single file by name.
+            pattern = f"{sf_dir}/{table[:-1]}[{table[-1]}].parquet"
+            frames[table] = spark.readStream.schema(stored.schema).parquet(pattern) if stream else stored
             text = text.replace(f"FROM {table}", f"FROM {{{table}}}")
     return spark.sql(text, **frames)
 

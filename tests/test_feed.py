@@ -14,6 +14,7 @@ from updraft.operators.blocks import number_block, with_row_number, with_running
 from updraft.operators.clusters import cluster_members
 from updraft.operators.terrain import with_agl
 from updraft.operators.tow import flag_under_tow, tug_intervals
+from updraft.operators import tracks
 from updraft.operators.tracks import thin
 from updraft.sources import beacons as B
 from updraft.sources.flights import read_flight_logs, read_igc
@@ -191,6 +192,29 @@ def test_thin_brute_force(spark, seed):
     assert sorted(r["seq"] for r in got.collect()) == kept
 
 
+@pytest.mark.parametrize("fanin", [2, 16])
+def test_thin_with_a_hot_cell_and_microseconds(spark, monkeypatch, fanin):
+    """One cell holds a third of all rows, at several rows a second over a few hours, then a long silence."""
+    monkeypatch.setattr(tracks, "FANIN", fanin)
+    rng = random.Random(11)
+    rows, us = [], 0
+    for n in range(6000):
+        us += rng.choice([100, 9_999, 400_000, 2_000_000, 30_000_000]) if n % 3 else rng.randrange(10 ** 6)
+        us += 86_400_000_000 * (n == 5000)
+        cell = "hot" if n % 3 == 0 else f"c{rng.randrange(40)}"
+        rows.append((cell, n, T0 + timedelta(microseconds=us)))
+    kept, last = [], {}
+    for cell, n, t in rows:
+        if cell not in last or t - last[cell] >= timedelta(seconds=30):
+            kept.append(n)
+            last[cell] = t
+    df = spark.createDataFrame(rows, "k string, seq long, ts timestamp")
+    for block_s in (30, 600):
+        got = thin(df, ["k"], "ts", ["seq"], number_block("seq", 512), block_s=block_s)
+        assert sorted(r["seq"] for r in got.collect()) == kept
+    assert thin(df.limit(0), ["k"], "ts", ["seq"], number_block("seq", 512)).collect() == []
+
+
 def test_block_windows_equal_plain_windows(spark):
     from pyspark.sql import Window
 

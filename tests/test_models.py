@@ -199,14 +199,56 @@ def test_fit_gate_and_store(spark, tmp_path):
     assert store.load_model(spark, path, K.FEATURES[:5]) is None and store.load_model(spark, path + "x") is None
     few, refused = training.fit_and_gate(rows.limit(50), loaded)
     assert few is loaded and refused.reason == "too few samples"
-    buffer = str(tmp_path / "buffer")
-    store.append_buffer(rows, buffer)
-    assert store.read_buffer(spark, buffer).count() == rows.count()
-    rows.drop("slope").write.parquet(str(tmp_path / "old"))
-    assert store.read_buffer(spark, str(tmp_path / "old")) is None
     assert store.newest_samples(rows, 10).agg(F.min("seq")).first()[0] == rows.count() - 10
 
 
+def test_buffer_of_another_width_is_set_aside(spark, tmp_path):
+    rows, path = buffer_rows(spark, groups=4).cache(), str(tmp_path / "buffer")
+    assert store.read_buffer(spark, path) is None and store.set_aside(spark, path) == []
+    store.append_buffer(rows, path)
+    store.append_buffer(rows, path)
+    assert store.read_buffer(spark, path).count() == 2 * rows.count()
+    # The library now works with fewer features: the old rows stay where they are, new ones start a buffer.
+    assert store.read_buffer(spark, path, features=K.FEATURES[:5]) is None
+    store.append_buffer(rows.limit(7), path, K.FEATURES[:5])
+    assert store.read_buffer(spark, path, features=K.FEATURES[:5]).count() == 7
+    ((number, reason, folder),) = store.set_aside(spark, path)
+    assert number == 0 and "22 features" in reason and spark.read.parquet(folder).count() == 2 * rows.count()
+
+
+def test_damaged_buffer_is_set_aside(spark, tmp_path):
+    rows, path = buffer_rows(spark, groups=2).cache(), str(tmp_path / "buffer")
+    store.append_buffer(rows, path)
+    for file in (tmp_path / "buffer" / "data-0").rglob("*.parquet"):
+        file.write_bytes(b"not a table")
+    for crc in (tmp_path / "buffer" / "data-0").rglob("*.crc"):
+        crc.unlink()
+    store.append_buffer(rows, path)
+    assert store.read_buffer(spark, path).count() == rows.count()
+    assert [(n, r.split(":")[0]) for n, r, _ in store.set_aside(spark, path)] == [(0, "unreadable")]
+
+
+def test_stop_between_model_and_score_leaves_the_old_pair(spark, tmp_path, monkeypatch):
+    rows, path = buffer_rows(spark, groups=6).cache(), str(tmp_path / "m")
+    small, other = (training.fit(rows, config=training.FitConfig(rounds=n, depth=1)) for n in (1, 2))
+    store.save_model(spark, small, path, 0.5)
+
+    def stop(*args):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", stop)
+        with pytest.raises(KeyboardInterrupt):
+            store.save_model(spark, other, path, 0.9)
+    kept = store.load_model(spark, path)
+    assert kept.bench_score == 0.5 and kept.model.stages[-1].getNumTrees == 1
+    for score in (0.6, 0.7, 0.8):
+        store.save_model(spark, other, path, score)
+    newest = store.load_model(spark, path)
+    assert newest.bench_score == 0.8 and newest.model.stages[-1].getNumTrees == 2
+    assert sorted(p.name for p in (tmp_path / "m").glob("model-*")) == ["model-2", "model-3"]
+
+
 def test_noise_is_seeded_and_normal(spark):
     draws = spark.range(200).select(F.explode(montecarlo.noise_draws(F.col("id"), 20)).alias("d"))
     stats = draws.agg(F.avg("d.cape"), F.stddev("d.cape")).first()

@@ -80,10 +80,6 @@ LAND_CLASSES = {
     95: (0.10, 0.10),    # mangroves
     100: (0.30, 0.18),   # moss and lichen
 }
-LAND_NAMES = {
-    "urban": (1.0, 0.15), "bare_rock": (0.9, 0.20), "farmland": (0.5, 0.25),
-    "forest": (0.2, 0.12), "water": (0.0, 0.06), "default": (0.4, 0.20),
-}
 LAND_DEFAULT = (0.40, 0.20)
 
 # --- Weather fallbacks (fixed values) ----------------------------------------

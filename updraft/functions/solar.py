@@ -73,5 +73,3 @@ def solar_feature(lat="lat", lon="lon", slope="slope", aspect="aspect",
     elevation, azimuth = sun_position(lat, lon, doy, hour)
     return cos_incidence(slope, aspect, elevation, azimuth)
 
-
-PI = math.pi

@@ -21,13 +21,3 @@ def salted_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str
     salt = F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(salts)).cast("int")
     repeated = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("__salt", salt).join(repeated, [*on, "__salt"], how).drop("__salt")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` hinted for broadcast when it has at most ``max_rows`` rows.
-
-    Counting stops one row past the limit. A larger table stays unhinted and is
-    joined by shuffle.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df

@@ -92,7 +92,6 @@ def positions_since(df: DataFrame, cursor: int, cap: int | None = None,
     return (new.withColumn("__n", F.row_number().over(newest))
             .filter(F.col("__n") <= cap).drop("__n"))
 
-
 def cursor_head(df: DataFrame, order: str = "seq") -> DataFrame:
     """Where a new reader starts."""
     return df.agg(F.coalesce(F.max(order), F.lit(0).cast("bigint")).alias("cursor"))

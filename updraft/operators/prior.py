@@ -92,9 +92,3 @@ def with_prior(samples: DataFrame, index: DataFrame, ts: str = "ts", lat: str =
     asked = keyed.select(*CELL, "cutoff").distinct()
     answers = prior_values(asked, index, smoothing)
     return salted_join(keyed, answers, [*CELL, "cutoff"], "left").select(*samples.columns, "prior")
-
-
-def prior_model_inputs(df: DataFrame, fallback: Column) -> DataFrame:
-    """Model-edge form of the prior: imputed value plus a 0/1 missing flag."""
-    return (df.withColumn("prior_missing", F.col("prior").isNull().cast("double"))
-            .withColumn("prior", F.coalesce("prior", fallback)))

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from updraft import constants as K
 from updraft.operators.blocks import time_block, with_running, with_shifted
 from updraft.session import durable
 
+# Neighbouring blocks whose maps are composed into one.
+FANIN = 32
+# Before any time, with room to add a step.
+NOTHING_KEPT = -(1 << 62)
+
 
 def _bearing(lat: Column, lon: Column, from_lat: Column, from_lon: Column) -> Column:
     east = (lon - from_lon) * F.cos(F.radians(lat))
@@ -57,14 +59,13 @@ def thin(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], orde
     It is evaluated exactly, without a whole key in one task:
 
     1. only rows that move time forward can ever be kept, so others go first;
-    2. each (key, time block) reports, for every way a chain may enter it, where
-       that chain leaves it: few rows, as entries lie within ``seconds``;
-    3. those reports are followed block by block per key (a short row set per
-       block), which gives each block the last row kept before it;
-    4. each block then keeps its own rows independently.
-
-    Steps 2 and 4 fold over a block's times inside the JVM; only step 3, on the
-    reports, is a grouped pandas function.
+    2. each (key, time block) is reduced to a map: for every time at which a chain may
+       enter it, the last time that chain keeps in it (few, as entries lie within
+       ``seconds``, each found by binary searches);
+    3. maps of ``FANIN`` neighbouring blocks are composed into one, and so on up to
+       one map a key: a logarithmic number of shuffles, each a fraction of the one before;
+    4. on the way back down every block learns the last row kept before it;
+    5. each block then keeps its own rows independently.
     """
     step = seconds * 1_000_000
     front = with_running(df, keys, order, order_block, {"__front": ("max", F.unix_micros(ts))},
@@ -73,42 +74,84 @@ def thin(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], orde
         F.col("__front").isNull() | (F.col("__us") > F.col("__front"))).drop("__front")
     # Read three times below, so it is materialised once.
     forward = durable(forward.withColumn("__tb", time_block(ts, block_s)))
-    blocks = forward.groupBy(*keys, "__tb").agg(F.array_sort(F.collect_list("__us")).alias("__t"))
-
+    ends = forward.agg(F.min("__tb").alias("lo"), F.max("__tb").alias("hi")).first()
+    if ends["lo"] is None:
+        return forward.select(*df.columns)
+    blocks = forward.groupBy(*keys, (F.col("__tb") - ends["lo"]).alias("__b")).agg(
+        F.array_sort(F.collect_list("__us")).alias("__t"))
     times = F.col("__t")
-    entries = F.filter(times, lambda t, i: (i == 0) | (F.get(times, i - 1) < F.get(times, F.lit(0)) + step))
-    exits = F.transform(entries, lambda e: F.struct(e.alias("upto"), F.aggregate(
-        times, e, lambda last, t: F.when(t >= last + step, t).otherwise(last)).alias("leave")))
-    reports = blocks.select(*keys, "__tb", F.inline(exits))
-
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("__tb", T.LongType()),
-                           T.StructField("__enter", T.LongType())])
-    entered = reports.groupBy(*keys).applyInPandas(_follower(list(keys), step), schema)
-
-    start = F.struct(F.coalesce("__enter", F.lit(-(1 << 62))).alias("last"),
-                     F.array().cast("array<bigint>").alias("kept"))
+    hops = F.sequence(F.lit(1), F.lit(-(-block_s // seconds)))
+    # A small share of the rows; every level above is computed from it.
+    maps = durable(blocks.select(*keys, "__b", _exits(times, step, hops).alias("__x")).select(*keys, "__b", "__x.*"))
+    entered = _entered(maps, keys, step, ends["hi"] - ends["lo"] + 1)
+    start = F.struct(F.col("__enter").alias("last"), F.array().cast("array<bigint>").alias("kept"))
     folded = F.aggregate(times, start, lambda acc, t: F.when(
         t >= acc["last"] + step,
         F.struct(t.alias("last"), F.array_append(acc["kept"], t).alias("kept"))).otherwise(acc))
-    kept = blocks.join(entered, [*keys, "__tb"]).select(*keys, F.explode(folded["kept"]).alias("__us"))
+    kept = blocks.join(entered, [*keys, "__b"]).select(*keys, F.explode(folded["kept"]).alias("__us"))
     return forward.join(kept, [*keys, "__us"], "left_semi").select(*df.columns)
 
 
-def _follower(keys: list[str], step: int):
-    """Grouped function: last row kept before each block of one key, from block reports."""
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__tb", "upto"])
-        upto, leave = pdf["upto"].to_numpy(), pdf["leave"].to_numpy()
-        blocks, starts = np.unique(pdf["__tb"].to_numpy(), return_index=True)
-        ends = np.append(starts[1:], len(pdf))
-        enter, last = [], None
-        for lo, hi in zip(starts, ends):
-            enter.append(last)
-            at = lo if last is None else lo + int(np.searchsorted(upto[lo:hi], last + step))
-            if at < hi:
-                last = int(leave[at])
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(blocks) for k in keys})
-        out["__tb"], out["__enter"] = blocks, pd.array(enter, dtype="Int64")
-        return out
-
-    return follow
+def _first_at_least(ordered: Column, value: Column) -> Column:
+    """Position of the first element of an ordered array that is not below ``value``; its size if none is."""
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.get(ordered, middle) < value
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(
+            F.when(below, middle + 1).otherwise(s["lo"]).alias("lo"),
+            F.when(below, s["hi"]).otherwise(middle).alias("hi")))
+
+    size = F.size(ordered)
+    rounds = F.sequence(F.lit(1), F.length(F.bin(size.cast("bigint"))))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), size.alias("hi")), halve, lambda s: s["lo"])
+
+
+def _entries(times: Column, step: int) -> Column:
+    """Times at which a chain that kept a row before them all may go on: up to the first a step after the first."""
+    return F.filter(times, lambda t, i: (i == 0) | (F.get(times, i - 1) < F.get(times, F.lit(0)) + step))
+
+
+def _exits(times: Column, step: int, hops: Column) -> Column:
+    """The map of a block: its entries, and the last time that a chain from each of them keeps."""
+    def last_kept(entry: Column) -> Column:
+        return F.aggregate(hops, entry, lambda last, _: F.coalesce(
+            F.get(times, _first_at_least(times, last + step)), last))
+
+    entries = _entries(times, step)
+    return F.struct(entries.alias("upto"), F.transform(entries, last_kept).alias("leave"))
+
+
+def _through(last: Column, block: Column, step: int) -> Column:
+    """The last time kept after a block, given the last one kept before it."""
+    at = _first_at_least(block["upto"], last + step)
+    return F.coalesce(F.get(block["leave"], at), last)
+
+
+def _entered(maps: DataFrame, keys: Sequence[str], step: int, width: int) -> DataFrame:
+    """(keys, __b, __enter): the last time kept before each block, from the maps of blocks 0 to ``width`` - 1."""
+    levels = []
+    while True:
+        groups = maps.groupBy(*keys, F.floor(F.col("__b") / FANIN).alias("__p")).agg(
+            F.array_sort(F.collect_list(F.struct("__b", "upto", "leave"))).alias("__c"))
+        levels.append(groups)
+        width = -(-width // FANIN)
+        if width <= 1:
+            break
+        entries = _entries(F.flatten(F.transform("__c", lambda c: c["upto"])), step)
+        composed = groups.withColumn("upto", entries).withColumn("leave", F.transform("upto", lambda e: F.aggregate(
+            "__c", e - step, lambda last, c: _through(last, c, step))))
+        maps = composed.select(*keys, F.col("__p").alias("__b"), "upto", "leave")
+
+    entered = None
+    for groups in reversed(levels):
+        if entered is None:
+            known = groups.withColumn("__enter", F.lit(NOTHING_KEPT))
+        else:
+            known = groups.join(entered.withColumnRenamed("__b", "__p"), [*keys, "__p"])
+        nothing = F.array().cast("array<struct<__b:bigint,__enter:bigint>>")
+        begin = F.struct(F.col("__enter").alias("last"), nothing.alias("seen"))
+        walked = F.aggregate("__c", begin, lambda s, c: F.struct(
+            _through(s["last"], c, step).alias("last"),
+            F.array_append(s["seen"], F.struct(c["__b"].alias("__b"), s["last"].alias("__enter"))).alias("seen")))
+        entered = known.select(*keys, F.inline(walked["seen"]))
+    return entered

@@ -11,6 +11,7 @@ from updraft import constants as K
 from updraft.functions.rules import round_probability
 from updraft.operators import fusion, montecarlo
 from updraft.operators import terrain as TR
+from updraft.operators.landcover import with_cover_windows
 from updraft.plans.features import build_features, time_features
 
 CELL_KEYS = ["request_id", "row", "col"]
@@ -20,13 +21,13 @@ def prepared_requests(requests: DataFrame, lattice: DataFrame, landcover: DataFr
                       missing: str = "drop") -> DataFrame:
     """Requests with their snapped centre, lattice windows and working altitude.
 
-    ``requests`` carry weather already. Without an altitude the default is the
-    grid's mean terrain plus the working height.
+    ``requests`` carry weather already, ``landcover`` holds the ``cover_windows`` of
+    their centres. Without an altitude the default is the grid's mean terrain plus the
+    working height.
     """
     placed = TR.with_windows(TR.with_centre(requests), lattice, missing=missing)
     if landcover is not None:
-        placed = TR.with_windows(placed, landcover, missing="fill",
-                                 values=("land_use_heat", "land_use_albedo"), fill=K.LAND_DEFAULT)
+        placed = with_cover_windows(placed, landcover)
     mean = TR.window_mean(F.col("elevation_window"))
     return (placed.withColumn("terrain_mean", mean)
             .withColumn("alt_source", F.when(F.col("alt_amsl").isNull(), "default").otherwise("observer"))
@@ -99,12 +100,3 @@ def response_header(requests: DataFrame, lattice: DataFrame, missing: str = "dro
         F.rint(F.col("humidity") * 100).cast("int").alias("humidity"),
         *[F.rint(c).cast("int").alias(c) for c in whole],
         *[F.bround(c, 1).alias(c) for c in tenth])
-
-
-def heat_arrays(heat: DataFrame) -> DataFrame:
-    """Row-major arrays per request, for export of single grids."""
-    cell = F.struct(F.col("row"), F.col("col"), F.col("p_mean"), F.col("p_std"))
-    grouped = heat.groupBy("request_id").agg(F.array_sort(F.collect_list(cell)).alias("__c"))
-    return grouped.select(
-        "request_id", F.transform("__c", lambda c: c["p_mean"]).alias("heatmap"),
-        F.transform("__c", lambda c: c["p_std"]).alias("heatmap_std"))

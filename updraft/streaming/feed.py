@@ -22,6 +22,7 @@ from updraft.operators.live import (
 from updraft.operators.terrain import with_agl
 from updraft.operators.tow import flag_under_tow
 from updraft.sources.beacons import WORLD, parse_beacons
+from updraft.sources.store import delete_path
 
 WATERMARK = "5 minutes"
 # Arrival numbers: 27 bits of batch, 10 bits of partition, 26 bits of row.
@@ -64,65 +65,40 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def tow_batch(path: str, order: str = "seq") -> Callable[[DataFrame, int], None]:
+def tow_batch(path: str, order: str = "seq", lateness: str = WATERMARK,
+              state: str | None = None) -> Callable[[DataFrame, int], None]:
     """Micro-batch writer that resolves aerotow before rows reach the history.
 
-    A batch sees its own tugs and those of the stored last 15 seconds, found by
-    date. The layout is that of the history, by date, and below it by batch: a
-    batch overwrites its own folders, so a replay leaves no duplicates.
+    A batch sees its own tugs and, of the batches before, each tug's last report: any
+    earlier one had been superseded when the batch's gliders were heard. These last
+    reports are the state, a folder per batch next to the history (``state``): a batch
+    reads its predecessor's by name and writes its own, without tugs unheard for longer
+    than a tow lasts plus ``lateness``. So a batch costs what its rows and the active
+    tugs cost, however long the stream has run. The history is laid out by date, and
+    below it by batch: a batch overwrites its own folders, so a replay leaves no duplicates.
     """
+    folder = state or f"{path.rstrip('/')}.tugs"
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch if order in batch.columns else numbered(batch, batch_id, order)
-        stored = _stored(spark, path)
-        tugs = None
-        if stored is not None:
-            oldest = rows.agg(F.min("ts").alias("t")).select(
-                (F.col("t") - F.expr(f"INTERVAL {int(K.TOW_MAX_AGE_S)} SECONDS")).alias("t")).scalar()
-            tugs = stored.filter((F.col("ac_type") == K.TOW_TYPE) & (F.col("batch") < batch_id)
-                                 & (F.col("date") >= F.to_date(oldest)) & (F.col("ts") >= oldest)).select(*[
-                                     c for c in rows.columns if c != "under_tow"])
-        flagged = flag_under_tow(rows, order=order, tugs=tugs)
+        rows = rows.drop("under_tow")
+        before = _stored(spark, f"{folder}/{batch_id - 1}")
+        tugs = rows.limit(0) if before is None else before.select(*rows.columns)
+        flagged = flag_under_tow(rows, order=order, tugs=None if before is None else tugs)
         (flagged.withColumn("date", F.to_date("ts")).withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(path))
+        newest = rows.select("ts").unionByName(tugs.select("ts")).agg(F.max("ts").alias("t")).select(
+            (F.col("t") - F.expr(f"INTERVAL {int(K.TOW_MAX_AGE_S)} SECONDS") - F.expr(f"INTERVAL {lateness}")).alias("t"))
+        heard = rows.filter(F.col("ac_type") == K.TOW_TYPE).unionByName(tugs)
+        latest_by(heard, ["id"], order).filter(F.col("ts") >= newest.scalar()).write.mode("overwrite").parquet(
+            f"{folder}/{batch_id}")
+        # The predecessor's stays for a replay of this batch.
+        delete_path(spark, f"{folder}/{batch_id - 2}")
 
     return write
 
 
-def live_batch(path: str, ttl_s: int = K.LIVE_TTL_S, order: str = "seq") -> Callable[[DataFrame, int], None]:
-    """Micro-batch writer that maintains the live table, one version per batch.
-
-    Each version is the previous one merged with the batch, latest row per
-    aircraft, without those past their time to live.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = latest_by(batch, ["id"], order, first_seen="first_seen")
-        stored = _stored(spark, path)
-        merged = fresh
-        if stored is not None:
-            last = stored.filter(F.col("version") < batch_id).agg(F.max("version").alias("v")).first()["v"]
-            if last is not None:
-                before = stored.filter(F.col("version") == last).drop("version")
-                both = before.select(*fresh.columns).unionByName(fresh)
-                rest = [c for c in fresh.columns if c not in ("id", "first_seen")]
-                merged = both.groupBy("id").agg(
-                    *[F.max_by(c, order).alias(c) for c in rest], F.min("first_seen").alias("first_seen"))
-        newest = merged.agg(F.max("ts").alias("t")).select(
-            (F.col("t") - F.expr(f"INTERVAL {ttl_s} SECONDS")).alias("t")).scalar()
-        (merged.filter(F.col("ts") > newest).withColumn("version", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("version").parquet(path))
-
-    return write
-
-
-def read_live(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a maintained live table."""
-    table = spark.read.parquet(path)
-    return table.filter(F.col("version") == table.agg(F.max("version")).scalar()).drop("version")
-
-
 def live_frame(history: DataFrame, elevations: DataFrame, asof, bounds: Bounds | None,
                cursor: int) -> tuple[DataFrame, DataFrame]:
     """One viewer frame as of a time: visible aircraft with height, and all their new positions."""
