@@ -18,6 +18,8 @@ from updraft.operators import fusion, landcover, metrics, montecarlo, prior, sam
 from updraft.operators import live as L
 from updraft.operators import terrain as TR
 from updraft.operators import weather as W
+from updraft.operators.forest import NOISY, Forest, Split
+from updraft.operators.forest import scored as scored_by_forest
 from updraft.operators.occupants import first_candidates, grid_occupants
 from updraft.plans import evaluation, predict, samples, training
 
@@ -461,6 +463,82 @@ def predict_grid(read, missing="drop"):
     return out.select("request_id", "cells", *[F.round(c, 5).alias(c) for c in ("heat_max", "heat_mean", "std_mean")])
 
 
+# A forest with every kind of subtree: noisy above cell columns, below them, alone and absent.
+FOREST = Forest((
+    Split("cape", 600.7, Split("slope", 6.0137, -0.3, 0.1), Split("land_use_heat", 0.453741, 0.05, 0.4)),
+    Split("elevation", 321.237, Split("cin", -80.5, -0.25, Split("pbl_height", 1200.3, 0.05, 0.3)),
+          Split("solar_ghi", 450.9, -0.1, 0.2)),
+    Split("alt_agl", 913.377, Split("lon", 15.02537, 0.12, -0.08), Split("land_use_albedo", 0.191337, 0.02, -0.15)),
+    Split("temp_2m", 17.53, -0.2, Split("lapse_rate", 5.03, 0.0, 0.25)),
+    Split("hour_cos", -0.6, 0.15, -0.1),
+    Split("slope", 4.0071, Split("soil_temp", 20.31, Split("hour_sin", 0.1, -0.05, 0.08), 0.1),
+          Split("wind_u", 0.37, 0.06, -0.04)),
+))
+
+
+def forest_sql(forest, noisy: str = "x.") -> str:
+    """The margin of a forest, noisy columns read from the draw ``x``."""
+    def node(n) -> str:
+        if not isinstance(n, Split):
+            return f"{n!r}e0"
+        name = f"{noisy}{n.feature}" if n.feature in NOISY else n.feature
+        return f"CASE WHEN {name} <= {n.threshold!r}e0 THEN {node(n.low)} ELSE {node(n.high)} END"
+
+    return " + ".join(f"({node(t)})" for t in forest.trees)
+
+
+FALLBACK = dict(temp_2m='18e0', humidity='0.6e0', wind_u='-12e0 * sin(radians(270e0))', wind_v='-12e0 * cos(radians(270e0))', cape='600e0',
+                cin='-30e0', solar_ghi='500e0', lapse_rate='4.9e0', pbl_height='1500e0', soil_temp='20e0')
+# Weather of the requests' forecast hours and its draws.
+FORECAST = f"""{WX}, fh AS (SELECT *, hour_no - first_no AS hour_index FROM (SELECT *, min(hour_no) OVER (PARTITION BY lat_b) AS first_no, max(hour_no) OVER (PARTITION BY lat_b) AS last_no FROM wx)),
+fr AS (SELECT rq.*, round_even(lat * 2, 0) / 2 AS lat_b, hour_no + request_id % 48 AS want FROM rq),
+fw AS (SELECT fr.* EXCLUDE (lat_b), {', '.join(f'coalesce(f.{c}, {v}) AS {c}' for c, v in FALLBACK.items())}
+  FROM fr JOIN (SELECT DISTINCT lat_b, first_no, last_no FROM fh) f0 ON f0.lat_b = fr.lat_b
+  LEFT JOIN fh f ON f.lat_b = fr.lat_b AND f.hour_index = least(greatest(want - f0.first_no, 0), f0.last_no - f0.first_no)),
+fd AS (SELECT request_id, list({'{'}{', '.join(f"'{n}': {n} * (1 + {sd!r}e0 * {normal_sql(n)})" if kind == 'rel' else f"'{n}': {n} + {sd!r}e0 * {normal_sql(n)}" for n, kind, sd in K.NOISE)}{'}'}) AS w
+  FROM fw, range(1, 51) t(d) GROUP BY request_id)"""
+
+
+def forecast_requests(read):
+    """Requests with the weather and the time of their forecast hour."""
+    weather = read("weather_hours")
+    first = F.min(F.unix_seconds("hour")).over(Window.partitionBy("lat_b", "lon_b"))
+    hourly = weather.withColumn("hour_index", ((F.unix_seconds("hour") - first) / 3600).cast("int"))
+    hours = (F.col("request_id") % 48).cast("int")
+    asked = read("prediction_requests").select(
+        "request_id", "lat", "lon", "alt_amsl", G.weather_cell("lat").alias("lat_b"), G.weather_cell("lon").alias("lon_b"),
+        F.col("ts").alias("now"), hours.alias("forecast_h"), (F.col("ts") + F.make_dt_interval(hours=hours)).alias("ts"))
+    return W.with_forecast(asked, hourly)
+
+
+@query("predict_grid_model", ["prediction_requests", "elevation_points", "weather_hours", "landcover_pixels", "beacons"], f"""WITH {GRID}, {ZQ}, {window_sql('zq')}, {COVER_FINE}, {FORECAST}, {LIVE},
+tm AS (SELECT c_i, c_j, avg(elevation) AS tm FROM fine GROUP BY c_i, c_j),
+a AS (SELECT fw.request_id, fw.c_i, fw.c_j, coalesce(CAST(alt_amsl AS DOUBLE), tm + 1000) AS alt, sin(2 * pi() * (want % 24) / 24) AS hour_sin, cos(2 * pi() * (want % 24) / 24) AS hour_cos,
+    request_id % 4 AS z FROM fw JOIN tm USING (c_i, c_j)),
+ce AS (SELECT request_id, w, hour_sin, hour_cos, grid.r, grid.c, grid.lon, elevation, slope, aspect, heat AS land_use_heat, albedo AS land_use_albedo, greatest(0, alt - elevation) AS alt_agl
+  FROM a JOIN fd USING (request_id) JOIN grid USING (c_i, c_j) JOIN cf ON cf.z = a.z AND cf.c_i = a.c_i AND cf.c_j = a.c_j AND cf.r = grid.r AND cf.c = grid.c),
+pr AS (SELECT request_id, r, c, {MULT} AS m, list_transform(w, lambda x: 1 / (1 + exp(-2 * ({forest_sql(FOREST)})))) AS p FROM ce),
+hm AS (SELECT request_id, r, c, least(1, greatest(0, list_avg(p) * m)) AS p, list_stddev_pop(p) * m AS sd FROM pr),
+fu AS (SELECT request_id, r, c, round_even(least(1, greatest(0, p + coalesce(boost, 0))), 3) AS p, round_even(sd, 3) AS sd FROM hm LEFT JOIN bo USING (request_id, r, c))
+SELECT request_id, round(max(p), 5) AS heat_max, round(avg(p), 5) AS heat_mean, round(avg(sd), 5) AS std_mean, round(max(p) FILTER (r = 100 AND c = 100), 5) AS heat_centre, count(*) AS cells FROM fu GROUP BY request_id""")
+def _(read):
+    asked = forecast_requests(read)
+    centred = TR.with_centre(asked).withColumn("tile", F.col("request_id") % 4)
+    heat = predict.predict_grids_with_model(
+        asked, read("elevation_points"), FOREST, cover_windows(read, centred), latest(read), is_evidence(False))
+    return predict.grid_summary(heat).select(
+        "request_id", "cells", *[F.round(c, 5).alias(c) for c in ("heat_max", "heat_mean", "std_mean", "heat_centre")])
+
+
+@query("served_scores", ["beacons"], f"""WITH f AS (SELECT seq, {', '.join(f'CAST(seq * {7 + 2 * i} % {401 + 10 * i} AS DOUBLE) / {10 ** (i % 3)} AS {c}' for i, c in enumerate(K.FEATURES))} FROM beacons)
+SELECT seq, round(1 / (1 + exp(-2 * ({forest_sql(FOREST, '')}))) * {MULT}, 6) AS score FROM f""")
+def _(read):
+    rows = read("beacons").select("seq", *[
+        ((F.col("seq") * (7 + 2 * i) % (401 + 10 * i)).cast("double") / float(10 ** (i % 3))).alias(c)
+        for i, c in enumerate(K.FEATURES)])
+    return scored_by_forest(rows, FOREST).select("seq", F.round(F.col("score") * terrain_multiplier(), 6).alias("score"))
+
+
 @query("response_header", ["prediction_requests", "elevation_points", "weather_hours"], f"""WITH {GRID}, {RW},
 tm AS (SELECT c_i, c_j, avg(elevation) AS tm FROM fine GROUP BY c_i, c_j),
 a AS (SELECT rw.*, tm, coalesce(CAST(alt_amsl AS DOUBLE), tm + 1000) AS alt FROM rw JOIN tm USING (c_i, c_j))

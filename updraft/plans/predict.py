@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from updraft import constants as K
+from updraft.functions import atmosphere as A
+from updraft.functions.geo import centre_index
 from updraft.functions.rules import round_probability
 from updraft.operators import fusion, montecarlo
 from updraft.operators import terrain as TR
-from updraft.operators.landcover import with_cover_windows
-from updraft.plans.features import build_features, time_features
+from updraft.operators.forest import Forest, Uncertainty
+from updraft.operators.landcover import LAYERS, with_cover_windows
+from updraft.plans.features import build_features, time_features, with_default_landcover
 
 CELL_KEYS = ["request_id", "row", "col"]
 
@@ -72,17 +73,45 @@ def grid_features(requests: DataFrame, lattice: DataFrame, landcover: DataFrame
     return build_features(cells, CELL_KEYS, ts)
 
 
-def predict_grids_with_model(features: DataFrame, score_rows: Callable[[DataFrame], DataFrame],
-                             draws: int = K.MONTE_CARLO_DRAWS, seed: int = 0) -> DataFrame:
-    """Heat cells from a fitted model; ``score_rows`` adds its served ``score``."""
-    return montecarlo.model_monte_carlo(features, score_rows, CELL_KEYS, draws, seed)
+def predict_grids_with_model(requests: DataFrame, lattice: DataFrame, forest: Forest,
+                             landcover: DataFrame | None = None, live: DataFrame | None = None,
+                             evidence: Column | None = None, missing: str = "drop", ts: str = "ts",
+                             draws: int = K.MONTE_CARLO_DRAWS, seed: int = 0, rounded: bool = True) -> DataFrame:
+    """Heat cells (request_id, row, col, lat, lon, p_mean, p_std) of a fitted forest.
+
+    ``ts`` is the time the grid answers for, forecast hours included. Runs are evaluated
+    once per request and pattern of cell tests, however many cells share the pattern.
+    """
+    values = ("elevation",) if landcover is None else ("elevation", *LAYERS)
+    ready = prepared_requests(requests, lattice, landcover, missing)
+    if live is not None:
+        placed = fusion.climb_placements(TR.with_centre(requests), live, evidence)
+        ready = ready.join(fusion.grid_boosts(placed), ["c_i", "c_j"], "left")
+    timed = ready.select("request_id", "c_i", "c_j", "alt_amsl", *[f"{v}_window" for v in values], *time_features(ts),
+                         *(["boosts"] if live is not None else []))
+    rows = TR.grid_rows(timed, values, carried={"boost": ("boosts", "row")} if live is not None else {})
+    cells = with_default_landcover(TR.grid_cells(rows, values)).withColumn(
+        "alt_agl", A.height_above_ground("alt_amsl", "elevation"))
+    keep = [*CELL_KEYS, "lat", "lon"]
+    if live is not None:
+        # A cell takes its own number along, not its row's array.
+        cells, keep = cells.withColumn("boost", F.get(F.col("boost"), F.col("col"))), [*keep, "boost"]
+    heat = Uncertainty(forest, draws, seed).spread(cells, requests, keep)
+    mean, std = F.col("p_mean"), F.col("p_std")
+    if live is not None:
+        mean = fusion.fused(mean, F.col("boost"))
+    if rounded:
+        mean, std = round_probability(mean), round_probability(std)
+    return heat.select(*CELL_KEYS, "lat", "lon", mean.alias("p_mean"), std.alias("p_std"))
 
 
 def grid_summary(heat: DataFrame) -> DataFrame:
-    """Per request: peak and mean heat, mean uncertainty and cell count."""
+    """Per request: peak, mean and centre heat, mean uncertainty and cell count."""
+    cell = F.col("row") * fusion.SIDE + F.col("col")
     return heat.groupBy("request_id").agg(
         F.max("p_mean").alias("heat_max"), F.avg("p_mean").alias("heat_mean"),
-        F.avg("p_std").alias("std_mean"), F.count(F.lit(1)).alias("cells"))
+        F.avg("p_std").alias("std_mean"), F.count(F.lit(1)).alias("cells"),
+        F.max(F.when(cell == centre_index(fusion.SIDE, fusion.SIDE), F.col("p_mean"))).alias("heat_centre"))
 
 
 def response_header(requests: DataFrame, lattice: DataFrame, missing: str = "drop") -> DataFrame:
