@@ -852,27 +852,57 @@ def _(read):
     return rows.select("seq", "label", *r6("lat", "cape", "alt_agl"), F.round("elevation", 5).alias("elevation"))
 
 
-# Small ensembles keep the registered fits short; rows and split are whole.
-QUICK = training.FitConfig(rounds=10)
-
-
 def buffer(read):
     from updraft.session import durable
 
     return durable(samples.samples_of(history(read)))
 
 
-@query("train_and_gate", ["beacons"])
+# The stored samples with their group, split and fold.
+TRAINED = f"""{HIST},
+sm AS (SELECT seq, CAST(circling AND vario > 1.5 AS INT) AS label, ((dayofyear(ts) % 365) * 361 + CAST(round_even((cell_lat + 90) * 2, 0) AS BIGINT)) * 721
+    + CAST(round_even((c_j * 0.01e0 - 0.05e0 + c * 0.0005e0 + 180) * 2, 0) AS BIGINT) AS gid FROM judged WHERE reason = 'added'),
+sp AS (SELECT *, CASE WHEN {side_sql(K.BENCH_SALT)} % 5 = 0 THEN 'benchmark' WHEN {side_sql(K.EARLY_STOP_SALT)} % 5 = 0 THEN 'earlystop' ELSE 'train' END AS split FROM sm),
+bg AS (SELECT gid, sum(label) * sum(1 - label) AS pairs FROM sp WHERE split = 'benchmark' GROUP BY gid HAVING sum(label) * sum(1 - label) > 0),
+sz AS (SELECT (SELECT count(*) FROM sm) AS n, (SELECT coalesce(sum(label), 0) FROM sm) AS p, (SELECT count(*) FROM bg) AS g, (SELECT coalesce(sum(pairs), 0) FROM bg) AS pairs)"""
+
+
+@query("train_and_gate", ["beacons", "weather_hours", "elevation_points"], f"""WITH {TRAINED},
+r AS (SELECT *, CASE WHEN n < 100 THEN 'too few samples' WHEN p < 20 THEN 'too few positives' WHEN g < 30 THEN 'unverified first model' ELSE 'accepted' END AS reason FROM sz)
+SELECT n AS samples, CAST(p AS BIGINT) AS positives, reason, n >= 100 AND p >= 20 AS accepted, CASE WHEN n >= 100 AND p >= 20 THEN g ELSE 0 END AS groups,
+  n >= 100 AND p >= 20 AND g >= 30 AS scored, 0 AS skipped FROM r""")
 def _(read):
+    """The first model of a buffer: fitted with the default settings on the frozen split, and gated."""
     rows = buffer(read)
-    stored, decision = training.fit_and_gate(rows, config=QUICK)
+    stored, decision = training.fit_and_gate(rows)
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
+    scored_well = decision.score is not None and 0 < decision.score < 1
     return rows.sparkSession.createDataFrame(
-        [(decision.accepted, decision.reason, decision.score, decision.groups)],
-        "accepted boolean, reason string, score double, groups long")
+        [(size["n"], size["p"], decision.reason, decision.accepted, decision.groups, scored_well, decision.skipped)],
+        "samples long, positives long, reason string, accepted boolean, groups long, scored boolean, skipped int")
+
+
+def layers_of(read):
+    return evaluation.Layers(index=index_of(read), landcover=cover_areas(read))
+
+
+RANKERS = ("constant", "terrain", "physics", "incidence", *[f"{v} ({kind})" for v in evaluation.VARIANTS for kind in ("raw", "served")])
+
+
+@query("compare_variants", ["beacons", "weather_hours", "elevation_points", "landcover_pixels"], f"""WITH {TRAINED}
+SELECT ranker, g AS groups, CAST(pairs AS BIGINT) AS pairs, CASE WHEN ranker = 'constant' THEN 0.5e0 END AS fixed FROM sz, (VALUES {', '.join(f"('{r}')" for r in RANKERS)}) t(ranker) WHERE g > 0""")
+def _(read):
+    """All five variants with the default settings on the frozen benchmark."""
+    report, _verdicts = evaluation.compare(buffer(read), layers=layers_of(read), mode="holdout")
+    return report.select("ranker", "groups", "pairs", F.when(F.col("ranker") == "constant", F.round("micro", 6)).alias("fixed"))
 
 
-@query("compare_variants", ["beacons"])
+@query("out_of_fold", ["beacons", "weather_hours", "elevation_points"], f"""WITH {TRAINED},
+u AS (SELECT gid, row_number() OVER (ORDER BY {side_sql(K.FOLD_SALT + '/0')}, gid) AS n FROM (SELECT DISTINCT gid FROM sm))
+SELECT CAST((u.n - 1) % 5 AS INT) AS fold, count(*) AS rows, count(DISTINCT gid) AS groups, CAST(sum(label) AS BIGINT) AS positives, count(*) AS scored FROM sm JOIN u USING (gid) GROUP BY 1""")
 def _(read):
-    layers = evaluation.Layers(index=index_of(read), landcover=cover_areas(read))
-    report, _delta = evaluation.compare(buffer(read), ("base", "solar"), layers, mode="holdout", config=QUICK)
-    return report
+    """Every sample scored once by a model of the default settings that never saw its group."""
+    rows = evaluation.out_of_fold(buffer(read), evaluation.VARIANTS["base"])
+    return rows.groupBy("fold").agg(
+        F.count("*").alias("rows"), F.count_distinct("gid").alias("groups"), F.sum("label").alias("positives"),
+        F.count_if(F.col("score").between(0, 1)).alias("scored"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from updraft.operators.landcover import with_landcover_at_point
 from updraft.operators.metrics import draw_sums, group_pairs, paired_delta_ci
 from updraft.operators.prior import index_statistics, with_prior
 from updraft.operators.splits import on_side, with_fold, with_group, with_split
-from updraft.plans.training import FitConfig, fit, raw_score
+from updraft.plans.training import FitConfig, fit, in_parallel, raw_score
 from updraft.session import durable
 
 
@@ -70,27 +70,30 @@ def out_of_fold(samples: DataFrame, variant: Variant, layers: Layers = Layers(),
                 seed: int = 0, config: FitConfig = FitConfig()) -> DataFrame:
     """Every row scored by a model that never saw its group.
 
-    The early-stop slice comes from inside each training fold; it is skipped if
-    it would hold all of the fold or none of it.
+    The folds share one stored table with fold numbers and are fitted side by side. The
+    early-stop slice comes from inside each training fold; it is skipped if it would
+    hold all of the fold or none of it.
     """
-    folded = with_fold(variant.transform(with_group(samples), layers), k, seed)
-    scored = []
-    for fold in range(k):
+    folded = durable(with_fold(variant.transform(with_group(samples), layers), k, seed).withColumn(
+        "held", on_side("gid", K.EARLY_STOP_SALT)))
+
+    def scored(fold: int) -> DataFrame:
         train, test = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
-        held = on_side("gid", K.EARLY_STOP_SALT)
-        share = train.agg(F.count_if(held).alias("h"), F.count(F.lit(1)).alias("n")).first()
+        share = train.agg(F.count_if("held").alias("h"), F.count(F.lit(1)).alias("n")).first()
         if 0 < share["h"] < share["n"]:
-            model = fit(train.filter(~held), variant.features, config, train.filter(held))
+            model = fit(train.filter(~F.col("held")), variant.features, config, train.filter("held"))
         else:
             model = fit(train, variant.features, config)
-        scored.append(raw_score(test, model))
-    return reduce(DataFrame.unionByName, scored)
+        return raw_score(test, model).drop("held")
+
+    return reduce(DataFrame.unionByName, in_parallel(
+        samples.sparkSession, [partial(scored, fold) for fold in range(k)]))
 
 
 def held_out(samples: DataFrame, variant: Variant, layers: Layers = Layers(),
              config: FitConfig = FitConfig()) -> DataFrame:
     """Benchmark rows scored by a model fitted on the frozen training side."""
-    split = with_split(variant.transform(with_group(samples), layers))
+    split = durable(with_split(variant.transform(with_group(samples), layers)))
     model = fit(split.filter("split = 'train'"), variant.features, config,
                 split.filter("split = 'earlystop'"))
     return raw_score(split.filter("split = 'benchmark'"), model)
@@ -133,32 +136,44 @@ def baseline_scores(rows: DataFrame) -> DataFrame:
         physics_probability().alias("physics"), solar_feature().alias("incidence"))
 
 
-def verdict(row, a: str, b: str) -> str:
+def verdict(lo: float, hi: float, a: str, b: str) -> str:
     """Which of two variants a paired interval favours."""
-    return f"{b} better" if row["lo"] > 0 else f"{a} better" if row["hi"] < 0 else "inconclusive"
+    return f"{b} better" if lo > 0 else f"{a} better" if hi < 0 else "inconclusive"
 
 
-def compare(samples: DataFrame, variants: Sequence[str] = ("base", "solar"),
-            layers: Layers = Layers(), mode: str = "cv", k: int = 5, draws: int = K.REPORT_DRAWS,
+def compare(samples: DataFrame, variants: Sequence[str] = tuple(VARIANTS), layers: Layers = Layers(),
+            mode: str = "cv", k: int = 5, draws: int = K.REPORT_DRAWS,
             config: FitConfig = FitConfig()) -> tuple[DataFrame, DataFrame | None]:
-    """Report of all rankers, and the paired interval of two variants.
+    """Report of all rankers, and each variant against the first one.
 
-    ``mode="cv"`` scores every row out of fold; ``"holdout"`` uses the frozen
-    benchmark.
+    ``mode="cv"`` scores every row out of fold; ``"holdout"`` uses the frozen benchmark.
+    The second table has (a, b, point, lo, hi, groups, verdict), one row per other
+    variant; it is None with a single variant. Variants are fitted side by side.
     """
-    scored = {}
-    for name in variants:
+    samples = durable(samples)
+
+    def scored(name: str) -> DataFrame:
         variant = VARIANTS[name]
         rows = (out_of_fold(samples, variant, layers, k, config=config) if mode == "cv"
                 else held_out(samples, variant, layers, config))
         # Each ranker below reads the scores several times; the models run once.
-        scored[name] = durable(rows.withColumn("served", F.col("score") * terrain_multiplier()))
-    reference = baseline_scores(scored[variants[0]])
+        return durable(rows.withColumn("served", F.col("score") * terrain_multiplier()))
+
+    tables = dict(zip(variants, in_parallel(
+        samples.sparkSession, [partial(scored, name) for name in variants])))
+    reference = baseline_scores(tables[variants[0]])
     rankers = [(n, reference, n) for n in ("constant", "terrain", "physics", "incidence")]
-    for name, rows in scored.items():
+    for name, rows in tables.items():
         rankers += [(f"{name} (raw)", rows, "score"), (f"{name} (served)", rows, "served")]
-    delta = None
-    if len(variants) == 2:
-        a, b = (group_pairs(scored[v], "served") for v in variants)
-        delta = paired_delta_ci(a, b, draws)
-    return rankers_report(rankers, draws), delta
+    first, *others = variants
+    if not others:
+        return rankers_report(rankers, draws), None
+    pairs = {v: durable(group_pairs(tables[v], "served")) for v in variants}
+    judged = []
+    for other in others:
+        row = paired_delta_ci(pairs[first], pairs[other], draws).first()
+        judged.append((first, other, row["point"], row["lo"], row["hi"], int(row["groups"]),
+                       verdict(row["lo"], row["hi"], first, other)))
+    table = samples.sparkSession.createDataFrame(
+        judged, "a string, b string, point double, lo double, hi double, groups long, verdict string")
+    return rankers_report(rankers, draws), table

@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from updraft import constants as K
 from updraft.functions.rules import terrain_multiplier
+from updraft.operators.forest import forest_of, with_staged_margins
 from updraft.operators.metrics import group_pairs, grouped_auc, paired_delta_ci
 from updraft.operators.splits import with_group, with_split
-from updraft.session import ensure_checkpoint_dir
+from updraft.session import durable, ensure_checkpoint_dir
 from updraft.sources.store import StoredModel
 
 
@@ -31,6 +34,7 @@ class FitConfig:
     row_share: float = 0.8
     column_share: float = 0.8
     seed: int = 42
+    patience: int = 20    # rounds without a better score on the early-stop rows
 
 
 NOTEBOOK_CONFIG = FitConfig(rounds=400, depth=6, rate=0.05)
@@ -40,28 +44,86 @@ def fit(samples: DataFrame, features: Sequence[str] = K.FEATURES, config: FitCon
         early_stop: DataFrame | None = None) -> PipelineModel:
     """Boosted trees on labelled rows; positives weigh (negatives / positives), at least 1.
 
-    ``early_stop`` rows choose the boosting round; they are used only if they
-    hold both labels.
+    ``early_stop`` rows choose the boosting round (``best_round``); without a group that
+    holds both labels there is nothing to choose by, and all rounds stay.
     """
     ensure_checkpoint_dir(samples.sparkSession)
-    columns = [*features, "label"]
-    rows = samples.select(*columns).withColumn("held", F.lit(False))
-    use_stop = False
-    if early_stop is not None:
-        stop = early_stop.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).first()
-        use_stop = bool(stop["n"]) and 0 < stop["p"] < stop["n"]
-    if use_stop:
-        rows = rows.unionByName(early_stop.select(*columns).withColumn("held", F.lit(True)))
     total = samples.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).first()
     weight = max(1.0, (total["n"] - total["p"]) / max(1, total["p"]))
-    weighted = rows.withColumn("weight", F.when(F.col("label") == 1, F.lit(weight)).otherwise(F.lit(1.0)))
-    options = {"validationIndicatorCol": "held"} if use_stop else {}
-    trees = GBTClassifier(
-        featuresCol="features", labelCol="label", weightCol="weight", maxIter=config.rounds,
-        maxDepth=config.depth, stepSize=config.rate, subsamplingRate=config.row_share,
-        featureSubsetStrategy=str(config.column_share), seed=config.seed, **options)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    return PipelineModel([assembler, trees.fit(assembler.transform(weighted))])
+    rows = assembler.transform(samples.select(*features, "label").withColumn(
+        "weight", F.when(F.col("label") == 1, F.lit(weight)).otherwise(F.lit(1.0))))
+
+    def boosted(rounds: int) -> PipelineModel:
+        return PipelineModel([assembler, GBTClassifier(
+            featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=config.depth,
+            stepSize=config.rate, subsamplingRate=config.row_share, featureSubsetStrategy=str(config.column_share),
+            seed=config.seed).fit(rows)])
+
+    if early_stop is None:
+        return boosted(config.rounds)
+    # A longer fit begins with the trees of a shorter one, so rounds are doubled until patience is spent: at most
+    # twice the rounds that are needed, and what all rounds would have given.
+    rounds = min(config.rounds, 2 * config.patience)
+    while True:
+        model = boosted(rounds)
+        found, spent = best_round(staged_scores(early_stop, model, features), config.patience)
+        if spent or rounds == config.rounds or found is None:
+            break
+        rounds = min(config.rounds, 2 * rounds)
+    if found is None:
+        return model if rounds == config.rounds else boosted(config.rounds)
+    return cut(model, found)
+
+
+def staged_scores(rows: DataFrame, model: PipelineModel,
+                  features: Sequence[str] = K.FEATURES) -> list[tuple[int, float]]:
+    """(round, grouped score of ``rows``) after each boosting round, all rounds in one pass.
+
+    A row's margins are running sums of its tree values, so the model is evaluated once.
+    Rows without ``gid`` are one group. Rounds without a mixed group are not listed.
+    """
+    gid = F.col("gid").cast("string") if "gid" in rows.columns else F.lit("all")
+    plain = rows.select(*features, "label", gid.alias("gid"))
+    staged = with_staged_margins(plain, forest_of(model, features), features)
+    rounds = staged.select("label", "gid", F.posexplode("margins").alias("round", "margin"))
+    keyed = rounds.select("label", "margin", F.concat_ws("/", (F.col("round") + 1).cast("string"), "gid").alias("gid"))
+    pairs = group_pairs(keyed, "margin").withColumn("round", F.substring_index("gid", "/", 1).cast("int"))
+    scores = pairs.groupBy("round").agg((F.sum("concordant") / F.sum("pairs")).alias("score")).orderBy("round")
+    return [(r["round"], r["score"]) for r in scores.collect()]
+
+
+def best_round(scores: Sequence[tuple[int, float]], patience: int) -> tuple[int | None, bool]:
+    """The first best round before ``patience`` rounds in a row bring nothing better, and whether they did."""
+    best, found = None, None
+    for n, score in scores:
+        if best is None or score > best:
+            best, found = score, n
+        elif n - found >= patience:
+            return found, True
+    return found, False
+
+
+def cut(model: PipelineModel, rounds: int) -> PipelineModel:
+    """The pipeline with its first ``rounds`` trees."""
+    *front, trees = model.stages
+    whole, sc = trees._java_obj, SparkContext._active_spark_context
+    if rounds >= trees.getNumTrees:
+        return model
+    kept = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = sc._gateway.new_array(sc._jvm.double, rounds)
+    for i in range(rounds):
+        kept[i], weights[i] = whole.trees()[i], whole.treeWeights()[i]
+    shorter = sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        whole.uid(), kept, weights, whole.numFeatures(), whole.numClasses())
+    return PipelineModel([*front, GBTClassificationModel(shorter)])
+
+
+def in_parallel(spark: SparkSession, tasks: Sequence[Callable[[], object]], threads: int = 8) -> list:
+    """Results of independent tasks, started side by side: small fits leave most of a cluster idle."""
+    run = inheritable_thread_target(spark)(lambda task: task())
+    with ThreadPool(max(1, min(threads, len(tasks)))) as pool:
+        return pool.map(run, tasks)
 
 
 def raw_score(rows: DataFrame, model: PipelineModel) -> DataFrame:
@@ -124,6 +186,7 @@ def fit_and_gate(samples: DataFrame, incumbent: StoredModel | None = None, skipp
     Returns the model that should serve from now on. Only counts, scores and
     interval bounds reach the driver.
     """
+    samples = durable(samples)     # counted, fitted and scored several times
     size = samples.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).first()
     if size["n"] < K.MIN_SAMPLES:
         return incumbent, Decision(False, "too few samples", skipped=skipped)
