@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from updraft import constants as K
 from updraft.functions import atmosphere as A
+from updraft.functions.rules import terrain_multiplier
 from updraft.functions.solar import cos_incidence, sun_position
-from updraft.operators import landcover, metrics, montecarlo, prior, splits
+from updraft.operators import forest, landcover, metrics, montecarlo, prior, splits
 from updraft.operators import terrain as TR
-from updraft.plans import training
+from updraft.plans import evaluation, training
 from updraft.schema import SAMPLES
 from updraft.sources import store
 
@@ -255,12 +256,99 @@ def test_noise_is_seeded_and_normal(spark):
     assert stats[0] == pytest.approx(0, abs=0.02) and stats[1] == pytest.approx(0.15, abs=0.01)
 
 
-def test_model_monte_carlo(spark):
-    rows = buffer_rows(spark, groups=20).cache()
-    model = training.fit(rows, config=training.FitConfig(rounds=2, depth=2))
-    cells = rows.limit(50).withColumn("request_id", F.lit(1)).withColumnRenamed("seq", "cell")
-    heat = montecarlo.model_monte_carlo(cells, lambda r: training.served(r, model), ["request_id", "cell"], draws=4)
-    got = heat.collect()
-    assert len(got) == 50 and all(0 <= r["p_mean"] <= 1 and r["p_std"] >= 0 for r in got)
-    # This model ranks by slope, which noise does not touch.
-    assert max(r["p_std"] for r in got) < 0.2
+@pytest.fixture(scope="module")
+def small_model(spark):
+    """A model whose labels depend on slope (a cell's own column) and cape (a noisy one)."""
+    rng = random.Random(8)
+    rows = []
+    for n in range(600):
+        f = {c: rng.random() for c in K.FEATURES} | {
+            "slope": 30 * rng.random(), "cape": 1500 * rng.random(), "aspect": 360 * rng.random(), "elevation": 900 * rng.random()}
+        chance = 1 / (1 + math.exp(-(f["slope"] - 15) / 4 - (f["cape"] - 700) / 300))
+        rows.append((*[float(f[c]) for c in K.FEATURES], int(rng.random() < chance), T0, n))
+    samples = spark.createDataFrame(rows, SAMPLES).withColumn("gid", F.col("seq") % 12).cache()
+    return samples, training.fit(samples, config=training.FitConfig(rounds=8, depth=3))
+
+
+def test_forest_scores_like_the_model(spark, small_model):
+    samples, model = small_model
+    trees = forest.forest_of(model)
+    theirs = training.raw_score(samples, model).select("seq", F.col("score").alias("theirs"))
+    both = forest.scored(samples, trees).join(theirs, "seq").select("score", "theirs").collect()
+    assert len(trees.trees) == 8 and all(r[0] == pytest.approx(r[1], abs=1e-12) for r in both)
+    for rounds in (1, 5):
+        shorter = training.raw_score(samples, training.cut(model, rounds)).select("seq", F.col("score").alias("theirs"))
+        both = forest.scored(samples, trees.first(rounds)).join(shorter, "seq").select("score", "theirs").collect()
+        assert all(r[0] == pytest.approx(r[1], abs=1e-12) for r in both)
+
+
+def test_early_stop_equals_a_loop_over_rounds(spark, small_model):
+    samples, model = small_model
+    train, held = samples.filter("gid < 9").cache(), samples.filter("gid >= 9").cache()
+    config = training.FitConfig(rounds=12, depth=2, patience=2)
+    whole = training.fit(train, config=config)
+    short = training.fit(train, config=training.FitConfig(rounds=5, depth=2))
+    assert forest.forest_of(whole).first(5) == forest.forest_of(short)     # longer fits begin with shorter ones
+    scores = []
+    for n in range(1, 13):
+        rows = training.raw_score(held, training.cut(whole, n)).select("gid", "score", "label").collect()
+        won = brute_pairs([tuple(r) for r in rows]).values()
+        scores.append(sum(c for c, _ in won) / sum(t for _, t in won))
+    staged = training.staged_scores(held, whole)
+    assert [n for n, _ in staged] == list(range(1, 13)) and [s for _, s in staged] == pytest.approx(scores)
+    best = 0
+    for n in range(1, 12):
+        if scores[n] > scores[best]:
+            best = n
+        elif n - best >= 2:
+            break
+    assert training.fit(train, config=config, early_stop=held).stages[-1].getNumTrees == best + 1
+    assert training.best_round([], 2) == (None, False)
+    assert training.best_round([(1, 0.5), (2, 0.6), (3, 0.6), (4, 0.6), (5, 0.9)], 2) == (2, True)
+    one_label = held.withColumn("label", F.lit(1))
+    assert training.fit(train, config=training.FitConfig(rounds=3, depth=1), early_stop=one_label).stages[-1].getNumTrees == 3
+
+
+def test_uncertainty_equals_a_row_per_draw(spark, small_model):
+    samples, model = small_model
+    weather = samples.limit(3).select(F.col("seq").alias("request_id"), *forest.NOISY)
+    cells = samples.limit(40).select("seq", *[c for c in K.FEATURES if c not in forest.NOISY]).withColumn(
+        "request_id", F.col("seq") % 3)
+    for trees in (forest.forest_of(model), forest.Forest((0.25,)), forest.Forest((
+            forest.Split("cape", 700.0, forest.Split("slope", 9.0, 0.1, forest.Split("cin", 0.5, 0.3, -0.2)), 0.4),
+            forest.Split("slope", 20.0, 0.0, forest.Split("cape", 500.0, -0.5, 0.5))))):
+        got = {r["seq"]: (r["p_mean"], r["p_std"]) for r in forest.Uncertainty(trees, draws=7, seed=3).spread(
+            cells, weather, ["request_id", "seq"]).collect()}
+        drawn = cells.join(weather, "request_id").withColumn(
+            "d", F.explode(montecarlo.noise_draws(F.col("request_id"), 7, 3)))
+        moved = drawn.select("seq", *[c for c in K.FEATURES if c not in forest.NOISY], *[
+            montecarlo.perturbed(c, F.col(c), F.col("d")).alias(c) for c in forest.NOISY])
+        served = forest.scored(moved, trees).withColumn("score", F.col("score") * terrain_multiplier())
+        want = served.groupBy("seq").agg(F.least(F.avg("score"), F.lit(1.0)), F.stddev_pop("score")).collect()
+        assert len(got) == len(want) == 40
+        assert all(got[r[0]] == (pytest.approx(r[1], abs=1e-9), pytest.approx(r[2], abs=1e-7)) for r in want)
+
+
+def test_folds_never_see_their_groups(spark, small_model):
+    samples, _ = small_model
+    located = samples.drop("gid").withColumns({"lat": 46.0 + F.col("seq") % 6, "doy_sin": F.lit(0.5), "doy_cos": F.lit(0.5)})
+    quick = training.FitConfig(rounds=2, depth=1)
+    rows = evaluation.out_of_fold(located, evaluation.VARIANTS["base"], k=3, config=quick)
+    assert rows.count() == rows.select("seq").distinct().count() == 600
+    assert rows.groupBy("gid").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
+    report, verdicts = evaluation.compare(located, ("base", "solar"), mode="cv", k=3, draws=50, config=quick)
+    assert {r["ranker"] for r in report.collect()} >= {"constant", "base (raw)", "solar (served)"}
+    (row,) = verdicts.collect()
+    assert (row["a"], row["b"]) == ("base", "solar") and row["verdict"] == evaluation.verdict(row["lo"], row["hi"], "base", "solar")
+
+
+def test_incumbent_is_replaced_only_when_not_reliably_worse(spark):
+    rows = buffer_rows(spark, groups=260, per=8).cache()
+    quick = training.FitConfig(rounds=2, depth=2, patience=1)
+    good = store.StoredModel(training.fit(rows, config=quick), 0.9, K.FEATURES)
+    flipped = rows.withColumn("label", 1 - F.col("label"))
+    bad = training.fit(flipped, config=quick)
+    kept, refused = training.fit_and_gate(rows.withColumn("slope", F.lit(1.0)), good, 0, quick, 200)
+    assert refused.delta is not None and kept is (good if not refused.accepted else kept)
+    replaced, accepted = training.fit_and_gate(rows, store.StoredModel(bad, 0.1, K.FEATURES), 3, quick, 200)
+    assert accepted.accepted and accepted.skipped == 0 and accepted.delta[1] > 0 and replaced.model is not bad

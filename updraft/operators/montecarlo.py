@@ -126,21 +126,3 @@ def physics_monte_carlo(cells: DataFrame, draws: int = K.MONTE_CARLO_DRAWS) -> D
     deviation = F.sqrt(F.greatest(square - F.col("p_mean") * F.col("p_mean"), F.lit(0.0)))
     return rows.withColumn("p_std", F.when(whole, F.col("base_std") * m).otherwise(deviation)).drop(
         "__m", "__k", *BASE)
-
-
-def model_monte_carlo(cells: DataFrame, score_rows: Callable[[DataFrame], DataFrame],
-                      keys: list[str], draws: int = K.MONTE_CARLO_DRAWS, seed: int = 0) -> DataFrame:
-    """p_mean and p_std of a fitted model's served score.
-
-    Each cell is repeated once per draw next to itself, scored, and folded back.
-    The repeats of a cell sit in one partition, so the partial aggregate already
-    reduces them to one row before the shuffle.
-    """
-    noisy = [n for n, _, _ in K.NOISE]
-    drawn = cells.withColumn("__d", F.explode(noise_draws(F.col(keys[0]), draws, seed)))
-    moved = drawn.select(
-        *[c for c in cells.columns if c not in noisy],
-        *[perturbed(n, F.col(n), F.col("__d")).alias(n) for n in noisy])
-    return score_rows(moved).groupBy(*keys).agg(
-        F.least(F.greatest(F.avg("score"), F.lit(0.0)), F.lit(1.0)).alias("p_mean"),
-        F.stddev_pop("score").alias("p_std"))
