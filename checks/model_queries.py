@@ -107,9 +107,7 @@ s AS (SELECT q.*, coalesce(sum(i.climbs), 0) AS c, coalesce(sum(i.total), 0) AS
 pv AS (SELECT s.*, CASE WHEN g.rate IS NULL THEN NULL WHEN s.t = 0 THEN g.rate ELSE (s.c + 50 * g.rate) / (s.t + 50) END AS prior FROM s LEFT JOIN g ON s.cutoff = g.cutoff)
 SELECT request_id, CAST(sum(n) FILTER (prior IS NOT NULL) AS BIGINT) AS cells, round(sum(n * prior), 5) AS total FROM cells JOIN pv USING (lat_cell, lon_cell, cutoff) GROUP BY request_id""")
 def _(read):
-    cells = TR.explode_grid(TR.with_centre(read("prediction_requests"))).select("request_id", "ts", "lat", "lon")
-    valued = prior.with_prior(cells, index_of(read))
-    return valued.groupBy("request_id").agg(
+    return prior.grid_prior(read("prediction_requests"), index_of(read)).groupBy("request_id").agg(
         F.when(F.count("prior") > 0, F.count("prior")).alias("cells"), F.round(F.sum("prior"), 5).alias("total"))
 
 
@@ -728,6 +726,22 @@ def _(read):
     return splits.with_fold(scored(read)).select("seq", "fold")
 
 
+STRATA = f"""st AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY CAST(('0x' || substr(sha256('{K.FOLD_SALT}/stratified/0|' || seq), 1, 15)) AS BIGINT), seq) - 1) % 5 AS INT) AS fold FROM scored)"""
+
+
+@query("stratified_folds", ["scored"], f"WITH {STRATA} SELECT seq, label, fold FROM st")
+def _(read):
+    return splits.stratified_folds(read("scored")).select("seq", "label", "fold")
+
+
+@query("fold_report", ["scored"], f"""WITH {STRATA},
+k AS (SELECT fold, label, rank() OVER (PARTITION BY fold ORDER BY score_b) + (count(*) OVER (PARTITION BY fold, score_b) - 1) / 2 AS r FROM st),
+t AS (SELECT fold, sum(r) FILTER (label = 1) AS rs, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM k GROUP BY fold)
+SELECT round(avg((rs - p * (p + 1) / 2) / (p * n)), 6) AS mean, round(stddev_pop((rs - p * (p + 1) / 2) / (p * n)), 6) AS sd, count(*) AS folds FROM t""")
+def _(read):
+    return metrics.fold_report(splits.stratified_folds(read("scored")), "score_b").select(*r6("mean", "sd"), "folds")
+
+
 # --- Samples and training ----------------------------------------------------
 
 EV = "ev AS (SELECT * FROM beacons WHERE ac_type IN (1, 6, 7) AND NOT coalesce(under_tow, true))"

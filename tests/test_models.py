@@ -342,6 +342,16 @@ def test_folds_never_see_their_groups(spark, small_model):
     assert (row["a"], row["b"]) == ("base", "solar") and row["verdict"] == evaluation.verdict(row["lo"], row["hi"], "base", "solar")
 
 
+def test_notebook_report_and_importance(spark, small_model):
+    samples, model = small_model
+    quick = training.FitConfig(rounds=3, depth=2)
+    folds, classes = evaluation.stratified_report(samples, config=quick, k=3)
+    row = folds.first()
+    assert row["folds"] == 3 and row["mean"] > 0.6 and 0 <= row["sd"] < 0.2
+    assert sum(r["support"] for r in classes.collect()) == 600
+    assert {n for n, _ in training.feature_importance(model, K.FEATURES)[:2]} == {"slope", "cape"}
+
+
 def test_incumbent_is_replaced_only_when_not_reliably_worse(spark):
     rows = buffer_rows(spark, groups=260, per=8).cache()
     quick = training.FitConfig(rounds=2, depth=2, patience=1)

@@ -164,6 +164,12 @@ def average_rank_auc(df: DataFrame, score: str, label: str = "label") -> DataFra
         F.col("micro").alias("auc"), "pairs")
 
 
+def fold_report(df: DataFrame, score: str, label: str = "label", fold: str = "fold") -> DataFrame:
+    """Mean and population deviation of the global ROC AUC over folds, one row; folds of one label do not count."""
+    auc = group_pairs(df, score, label, fold).select((F.col("concordant") / F.col("pairs")).alias("auc"))
+    return auc.agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("sd"), F.count(F.lit(1)).alias("folds"))
+
+
 def classification_report(df: DataFrame, probability: str, label: str = "label",
                           threshold: float = 0.5) -> DataFrame:
     """Precision, recall, F1 and support per class at a threshold."""

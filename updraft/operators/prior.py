@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from updraft import constants as K
 from updraft.functions.geo import hour_of, prior_cell
 from updraft.functions.rules import is_evidence, is_soaring, lift_label
+from updraft.operators import terrain as TR
 from updraft.operators.joins import salted_join
 
 CELL = ("lat_cell", "lon_cell")
+# Prior cells on either side of a centre that a grid may touch, rounding at cell borders included.
+REACH = TR.HALF_WINDOW + 1
 
 
 def climb_index(beacons: DataFrame, types=K.SOARING_TYPES, ts: str = "ts", lat: str = "lat",
@@ -92,3 +95,43 @@ def with_prior(samples: DataFrame, index: DataFrame, ts: str = "ts", lat: str =
     asked = keyed.select(*CELL, "cutoff").distinct()
     answers = prior_values(asked, index, smoothing)
     return salted_join(keyed, answers, [*CELL, "cutoff"], "left").select(*samples.columns, "prior")
+
+
+def with_prior_window(requests: DataFrame, index: DataFrame, ts: str = "ts", lag_hours: int = K.PRIOR_LAG_HOURS,
+                      smoothing: float = K.PRIOR_SMOOTHING) -> DataFrame:
+    """``requests`` (with c_i, c_j) with the priors of all cells their grid touches, row-major (``prior_window``).
+
+    A grid of 40,401 cells lies on at most (2 REACH + 1)^2 prior cells, which are asked
+    for once per centre and cutoff.
+    """
+    keyed = requests.withColumn("cutoff", prior_cutoff(ts, lag_hours))
+    side, steps = 2 * REACH + 1, F.sequence(F.lit(-REACH), F.lit(REACH))
+    key = ["c_i", "c_j", "cutoff"]
+    cells = (keyed.select(*key).distinct().withColumn("__a", F.explode(steps)).withColumn("__b", F.explode(steps))
+             .select(*key, ((F.col("__a") + REACH) * side + F.col("__b") + REACH).alias("__k"),
+                     (F.col("c_i") + F.col("__a")).alias("lat_cell"), (F.col("c_j") + F.col("__b")).alias("lon_cell")))
+    answers = prior_values(cells.select(*CELL, "cutoff").distinct(), index, smoothing)
+    windows = cells.join(answers, [*CELL, "cutoff"], "left").groupBy(*key).agg(F.array_sort(F.collect_list(
+        F.struct("__k", "prior"))).alias("__w")).select(*key, F.col("__w.prior").alias("prior_window"))
+    return salted_join(keyed, windows, key, "left").select(*requests.columns, "prior_window")
+
+
+def grid_prior(requests: DataFrame, index: DataFrame, ts: str = "ts", lag_hours: int = K.PRIOR_LAG_HOURS,
+               smoothing: float = K.PRIOR_SMOOTHING) -> DataFrame:
+    """The prior of every cell of every request's grid: (request_id, row, col, lat, lon, prior).
+
+    Each of a grid's rows takes its line of the prior window along, and a cell reads
+    its entry: no cell is shuffled.
+    """
+    last = (TR.SIDE - 1) * TR.FINE
+    step, side = 2 * K.GRID_RADIUS / last, 2 * REACH + 1
+    asked = with_prior_window(TR.with_centre(requests), index, ts, lag_hours, smoothing)
+    rows = TR.spread(asked.select("request_id", "c_i", "c_j", "prior_window", F.explode(
+        F.sequence(F.lit(0), F.lit(last))).alias("row")))
+    rows = rows.withColumn("lat", F.col("c_i") * K.TERRAIN_RES - K.GRID_RADIUS + F.col("row") * step)
+    line = F.slice("prior_window", ((prior_cell("lat") - F.col("c_i") + REACH) * side + 1).cast("int"), F.lit(side))
+    cells = rows.select("request_id", "row", "lat", "c_j", line.alias("__line"),
+                        F.explode(F.sequence(F.lit(0), F.lit(last))).alias("col")).withColumn(
+        "lon", F.col("c_j") * K.TERRAIN_RES - K.GRID_RADIUS + F.col("col") * step)
+    at = (prior_cell("lon") - F.col("c_j") + REACH).cast("int")
+    return cells.select("request_id", "row", "col", "lat", "lon", F.get(F.col("__line"), at).alias("prior"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from updraft import constants as K
 from updraft.functions.atmosphere import decode_cyclic
 from updraft.functions.geo import group_id
-from updraft.operators.blocks import with_row_number
+from updraft.operators.blocks import with_row_number, with_running
 from updraft.operators.joins import salted_join
 
 
@@ -58,6 +58,17 @@ def with_fold(df: DataFrame, k: int = 5, seed: int = 0, gid: str = "gid") -> Dat
     return salted_join(df, group_folds(df, k, seed, gid), [gid], "inner")
 
 
+def stratified_folds(df: DataFrame, k: int = 5, seed: int = 0, label: str = "label", key: str = "seq") -> DataFrame:
+    """``df`` with ``fold``: rows of each label dealt evenly, in seeded hash order of their key.
+
+    Rows of a label are numbered in blocks of their hash, so a label that holds
+    most rows is many blocks.
+    """
+    hashed = df.withColumn("__h", group_hash(key, f"{K.FOLD_SALT}/stratified/{seed}"))
+    numbered = with_running(hashed, [label], ["__h", key], F.shiftright("__h", 48), {"__n": ("sum", F.lit(1))})
+    return numbered.withColumn("fold", F.pmod(F.col("__n") - 1, F.lit(k)).cast("int")).drop("__h", "__n")
+
+
 def label_balance(df: DataFrame, label: str = "label") -> DataFrame:
     """Rows per label."""
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))

@@ -14,10 +14,10 @@ from updraft.functions.atmosphere import decode_timestamp
 from updraft.functions.rules import physics_probability, terrain_multiplier
 from updraft.functions.solar import solar_feature
 from updraft.operators.landcover import with_landcover_at_point
-from updraft.operators.metrics import draw_sums, group_pairs, paired_delta_ci
+from updraft.operators.metrics import classification_report, draw_sums, fold_report, group_pairs, paired_delta_ci
 from updraft.operators.prior import index_statistics, with_prior
-from updraft.operators.splits import on_side, with_fold, with_group, with_split
-from updraft.plans.training import FitConfig, fit, in_parallel, raw_score
+from updraft.operators.splits import on_side, stratified_folds, with_fold, with_group, with_split
+from updraft.plans.training import NOTEBOOK_CONFIG, FitConfig, fit, in_parallel, raw_score
 from updraft.session import durable
 
 
@@ -99,6 +99,24 @@ def held_out(samples: DataFrame, variant: Variant, layers: Layers = Layers(),
     return raw_score(split.filter("split = 'benchmark'"), model)
 
 
+def stratified_report(samples: DataFrame, features: Sequence[str] = K.NOTEBOOK_FEATURES,
+                      config: FitConfig = NOTEBOOK_CONFIG, k: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The notebook's model: AUC over label-stratified folds, and precision and recall of all rows out of fold.
+
+    Rows of one group may fall into several folds here, which flatters the score; the
+    group-wise form is ``out_of_fold``.
+    """
+    folded = durable(stratified_folds(samples, k, seed))
+
+    def scored(fold: int) -> DataFrame:
+        model = fit(folded.filter(F.col("fold") != fold), features, config)
+        return raw_score(folded.filter(F.col("fold") == fold), model)
+
+    rows = durable(reduce(DataFrame.unionByName, in_parallel(
+        samples.sparkSession, [partial(scored, fold) for fold in range(k)])))
+    return fold_report(rows, "score"), classification_report(rows, "score")
+
+
 def rankers_report(rankers: Sequence[tuple[str, DataFrame, str]],
                    draws: int = K.REPORT_DRAWS) -> DataFrame:
     """Pooled and mean score with its interval, one row per (name, rows, score column).
