@@ -33,19 +33,14 @@ def find_seeds(points: DataFrame, scope: Sequence[str], order: str,
     of one radius-sized cell are near each other, so a cell's earliest open point
     is its only candidate: every point meets at most nine candidates, however
     crowded the cell. A candidate with no earlier open point near it is certain
-    to be a seed; each round settles those and closes what they cover.
+    to be a seed; each round settles those and closes what they cover, so the open set shrinks.
     """
     cell = [*scope, "c_lat", "c_lon"]
-    base = durable(points.select(
+    open_points = durable(points.select(
         *scope, order, "lat", "lon",
         F.floor(F.col("lat") / radius).alias("c_lat"), F.floor(F.col("lon") / radius).alias("c_lon")))
     seeds = None
     while True:
-        open_points = base
-        if seeds is not None:
-            cover = _to_neighbours(seeds).select(
-                *cell, F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-            open_points = _near_join(base, cover, cell, radius, "s_", "left_anti")
         candidates = open_points.groupBy(*cell).agg(
             F.min_by("lat", order).alias("lat"), F.min_by("lon", order).alias("lon"),
             F.min(order).alias(order))
@@ -60,6 +55,9 @@ def find_seeds(points: DataFrame, scope: Sequence[str], order: str,
         if found.isEmpty():
             return seeds if seeds is not None else found
         seeds = found if seeds is None else seeds.unionByName(found)
+        # Only the new seeds close points, and only what is still open is looked at again.
+        cover = _to_neighbours(found).select(*cell, F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
+        open_points = durable(_near_join(open_points, cover, cell, radius, "s_", "left_anti"))
 
 
 def _near_join(points: DataFrame, others: DataFrame, cell: Sequence[str], radius: float,
@@ -76,6 +74,7 @@ def cluster_members(climbing: DataFrame, scope: Sequence[str], order: str,
                     radius: float = K.CLUSTER_RADIUS) -> DataFrame:
     """``climbing`` with the ``seed`` (its order value) each row belongs to."""
     cell = [*scope, "c_lat", "c_lon"]
+    climbing = durable(climbing)     # read by the rounds and by the members
     seeds = find_seeds(climbing, scope, order, radius)
     near = _to_neighbours(seeds).select(
         *[F.col(c).alias(f"s_{c}") for c in cell], F.col("lat").alias("s_lat"),
