@@ -236,3 +236,13 @@ def test_template_branches_go_by_importance(spark):
     assert out[80].startswith("Home | About\n") and out[90] == "" and out[91] == ""
     assert styletree.extract_pages(df).count() == len(rows)
     assert styletree.extract_pages(df.where("false")).count() == 0
+
+
+def test_secrets_of_many_rows_without_path(spark):
+    """Rows without a path share no key: each meets its own blob alone."""
+    rows = [(None, f"token = {i:012d}x") for i in range(3000)] + [(7, "same AKIA" + "Z" * 16)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    blobs, ledger, findings = secrets.scan_history(secrets.history_of(df))
+    assert findings.count() == 3001 and ledger.count() == 3001 * len(secrets.RULES)
+    out = secrets.by_path(blobs, findings).collect()
+    assert len(out) == 3040 and all(len(r.spans) == 1 for r in out)

@@ -104,10 +104,12 @@ def scan_history(history: DataFrame, ledger: DataFrame | None = None, findings:
     findings = nothing(spark, FINDINGS) if findings is None else findings
     blobs = written(addressed(history), "blobs")
     fresh = written(unseen_pairs(blobs, ledger, rules), "unseen")
-    h, u = history.select("path", "version", F.coalesce("text", F.lit("")).alias("text")).alias("h"), fresh.alias("u")
-    texts = h.join(u, F.col("h.path").eqNullSafe(F.col("u.path")) & F.col("h.version").eqNullSafe(F.col("u.version")))
-    # A repeated path and version may hold another text.
-    texts = texts.select("blob", "rules", "text").where(F.sha2("text", 256) == F.col("blob"))
+    # The address is part of the key: paths may be null, and a repeated path and version may hold another text.
+    text = F.coalesce("text", F.lit(""))
+    h = history.select("path", "version", text.alias("text"), F.sha2(text, 256).alias("blob")).alias("h")
+    u = fresh.alias("u")
+    texts = h.join(u, (F.col("h.blob") == F.col("u.blob")) & F.col("h.path").eqNullSafe(F.col("u.path"))
+                   & F.col("h.version").eqNullSafe(F.col("u.version"))).select("u.blob", "rules", "text")
     found = written(scan(texts, rules), "findings")
     versions = {r.kind: r.version for r in rules}
     current = F.create_map(*[F.lit(x) for kv in versions.items() for x in kv])
