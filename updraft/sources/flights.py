@@ -29,7 +29,7 @@ def read_igc_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _header_date(line: Column) -> Column:
-    digits = F.regexp_replace(F.substring(line, 6, 1000), "[^0-9]", "")
+    digits = F.regexp_replace(F.substr(line, F.lit(6)), "[^0-9]", "")
     year = F.substring(digits, 5, 2).try_cast("int")
     full = F.when(year < 70, year + 2000).otherwise(year + 1900)
     text = F.concat_ws("-", full.cast("string"), F.substring(digits, 3, 2), F.substring(digits, 1, 2))
