@@ -11,7 +11,9 @@ that share ``DEPTH`` values, of which those in another component are confirmed.
 is every pair of a region of up to ``REACH + 1`` rows. The rows of larger regions with
 several components, and of regions cut by the border of two tasks, meet in an exact
 prefix-filter join: two similar sets share one of the first shingles of either, in an
-order of all shingles from rare to common.
+order of all shingles from rare to common. Components meet there before sets do, and
+only if their balls of parity maps come near enough to each other; neither test can
+part a similar pair.
 
 * Copies are one node (the digest of their set); links and components are of nodes.
 * Null or wordless texts have the empty set, are linked with nothing and kept.
@@ -56,6 +58,7 @@ BUCKETS = 1 << 21   # counters by which shingles are ordered from rare to common
 SALT_ROOTS = 256    # components that share a shingle, per salt of that shingle
 TOLD = 100_000      # nodes a task remembers to have named already
 POSTINGS = 50_000   # rows of a batch of postings
+WORDS = 16          # 64-bit words of a set's parity map
 #: Ids up to this many (about 20 MB) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 300_000
 
@@ -327,8 +330,39 @@ def _shingle_counts(sets: DataFrame) -> np.ndarray:
     return out
 
 
+def _parity(hashes: np.ndarray) -> list[int]:
+    """Which of ``64 * WORDS`` buckets hold an odd number of the hashes.
+
+    Two such maps differ in no more bits than the two sets differ in elements.
+    """
+    bits = ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.int64) % (64 * WORDS)
+    odd = (np.bincount(bits, minlength=64 * WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
+def _parity_row(node: bytes, root: bytes, data: bytes) -> tuple:
+    hashes = _unpacked(data)
+    return node, root, len(hashes), *_parity(hashes)
+
+
+_MAPS = [f"m{i}" for i in range(WORDS)]
+
+
+def _differ(x: str, y: str) -> Column:
+    """In how many bits the maps of two sides of a join differ."""
+    total = F.bit_count(F.col(f"{x}.m0").bitwiseXOR(F.col(f"{y}.m0")))
+    for name in _MAPS[1:]:
+        total = total + F.bit_count(F.col(f"{x}.{name}").bitwiseXOR(F.col(f"{y}.{name}")))
+    return total
+
+
+def _may_differ(n: Column) -> Column:
+    """Elements in which two similar sets of ``n`` elements together differ at most."""
+    return n * (100 - THRESHOLD) / (100 + THRESHOLD)
+
+
 def postings(sets: DataFrame, counts: np.ndarray) -> DataFrame:
-    """The first shingles of each set (node, root, hashes) with the set's size and their place in it.
+    """The first shingles of each set (node, root, hashes) with the set's size and how many follow in it.
 
     Shingles are ordered by ``counts``, rare ones first. A set of n shingles has
     n - ceil(0.75 n) + 1 first ones; of two similar sets these have one in common.
@@ -336,60 +370,84 @@ def postings(sets: DataFrame, counts: np.ndarray) -> DataFrame:
     """
     spark = sets.sparkSession
     small_batches(spark)
-    ddl = "token long, node binary, root binary, n int, place int"
+    ddl = "token long, root binary, n int, rest int"
     schema = arrow_schema(spark, ddl)
     shared = spark.sparkContext.broadcast(counts)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            out, held = [[], [], [], [], []], 0
-            for node, root, data in zip(*(c.to_pylist() for c in batch.columns)):
+            out, held = [[], [], [], []], 0
+            for root, data in zip(*(c.to_pylist() for c in batch.columns)):
                 hashes = _unpacked(data)
                 n, seen = len(hashes), shared.value[_bucket(hashes)]
                 order = np.lexsort((hashes, seen))[:n - (THRESHOLD * n + 99) // 100 + 1]
                 place = np.flatnonzero(seen[order] > 1)
                 if not len(place):
                     continue
-                for column, values in zip(out, (hashes[order[place]].view(np.int64).tolist(), [node] * len(place),
-                                                [root] * len(place), [n] * len(place), place.tolist())):
+                for column, values in zip(out, (hashes[order[place]].view(np.int64).tolist(), [root] * len(place),
+                                                [n] * len(place), (n - place).tolist())):
                     column += values
                 held += len(place)
                 if held >= POSTINGS:
                     yield _emit(schema, out)
-                    out, held = [[], [], [], [], []], 0
+                    out, held = [[], [], [], []], 0
             if held:
                 yield _emit(schema, out)
 
-    return sets.select("node", "root", "hashes").mapInArrow(run, ddl)
+    return sets.select("root", "hashes").mapInArrow(run, ddl)
+
+
+def _balls(members: DataFrame) -> DataFrame:
+    """Per root the map of its smallest set, how far the maps of others are from it, and the largest size."""
+    first = members.groupBy("root").agg(F.min(F.struct("node", *_MAPS)).alias("r")).select("root", *(f"r.{m}" for m in _MAPS))
+    far = members.alias("a").join(first.alias("b"), "root").groupBy("root").agg(
+        F.max(_differ("a", "b")).alias("radius"), F.max("a.n").alias("most"))
+    return first.join(far, "root")
 
 
 def prefix_pairs(sets: DataFrame) -> DataFrame:
     """All pairs a < b of sets (node, root, hashes) with different roots that may be similar.
 
     Roots that share a first shingle meet before their sets do, so copies within a
-    component never meet; shingles of many roots are salted.
+    component never meet; shingles of many roots are salted. A meeting must pass, in
+    the join itself, what any similar pair of the two roots passes: from the first
+    shingle in common on, both sets hold enough for the threshold, and the maps of the
+    roots' smallest sets differ by no more than both radii and what a similar pair may
+    differ in. Pairs of roots are then made distinct. Sets of either root near enough
+    to the other's ball are picked, and meet if their own maps may be of a similar pair.
     """
-    first = written(postings(sets, _shingle_counts(sets)), "postings")
-    heads = first.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    members = written(batch_rows(sets.select("node", "root", "hashes"), _parity_row,
+                                 "node binary, root binary, n int, " + ", ".join(f"{m} long" for m in _MAPS)), "maps")
+    balls = written(_balls(members), "balls")
+    heads = written(postings(sets, _shingle_counts(sets)).groupBy("token", "root").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest")), "postings")
     common = heads.groupBy("token").agg(F.count("*").alias("roots")).where("roots > 1").select(
         "token", F.ceil(F.col("roots") / SALT_ROOTS).cast("int").alias("salts"))
-    heads = written(heads.join(common, "token"), "heads")
+    heads = written(heads.join(common, "token").join(balls.drop("most"), "root"), "heads")
     dealt = heads.withColumn("salt", F.pmod(F.xxhash64("root"), F.col("salts")).cast("int"))
     copied = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     x, y = dealt.alias("x"), copied.alias("y")
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt"))
                  & (F.col("x.root") < F.col("y.root")) & (100 * F.col("x.high") >= THRESHOLD * F.col("y.low"))
-                 & (100 * F.col("y.high") >= THRESHOLD * F.col("x.low"))).select(
-        F.col("x.token").alias("token"), F.col("x.root").alias("root"), F.col("y.root").alias("other"))
-    one = first.select("token", "root", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("place").alias("a_place"))
-    two = first.select("token", F.col("root").alias("other"), F.col("node").alias("b"), F.col("n").alias("b_n"),
-                       F.col("place").alias("b_place"))
-    # From the first shingle in common on, the rest of both must hold enough for the threshold.
-    left = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
-    fits = (100 * F.least("a_n", "b_n") >= THRESHOLD * F.greatest("a_n", "b_n")) & (
-        (100 + THRESHOLD) * left >= THRESHOLD * (F.col("a_n") + F.col("b_n")))
-    return met.join(one, ["token", "root"]).join(two, ["token", "other"]).where(fits).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                 & (100 * F.col("y.high") >= THRESHOLD * F.col("x.low"))
+                 & ((100 + THRESHOLD) * F.least("x.rest", "y.rest") >= THRESHOLD * (F.col("x.low") + F.col("y.low")))
+                 & (_differ("x", "y") <= F.col("x.radius") + F.col("y.radius")
+                    + _may_differ(F.col("x.high") + F.col("y.high")))).select(
+        F.col("x.root").alias("one"), F.col("y.root").alias("two"))
+    met = written(met.distinct(), "met")
+
+    def side(own: str, other: str) -> DataFrame:
+        """Sets of the ``own`` root that may be similar to one in the ball of the ``other``."""
+        facing = met.join(balls.withColumnRenamed("root", other), other).alias("o")
+        return facing.join(members.alias("s"), (F.col(f"o.{own}") == F.col("s.root")) & (
+            _differ("s", "o") <= F.col("o.radius") + _may_differ(F.col("s.n") + F.col("o.most")))).select(
+            F.col("o.one").alias("one"), F.col("o.two").alias("two"), "s.node", "s.n", *(f"s.{m}" for m in _MAPS))
+
+    a, b = side("one", "two").alias("a"), side("two", "one").alias("b")
+    return a.join(b, (F.col("a.one") == F.col("b.one")) & (F.col("a.two") == F.col("b.two"))
+                  & (100 * F.least("a.n", "b.n") >= THRESHOLD * F.greatest("a.n", "b.n"))
+                  & (_differ("a", "b") <= _may_differ(F.col("a.n") + F.col("b.n")))).select(
+        F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
 
 
 def near_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
