@@ -154,3 +154,15 @@ def test_templates_that_look_far_back_are_exact(spark):
         assert text == render([(x[2], x[3]) for x in rows[:k + 1]])
         assert r.start + len(r.piece) == len(text)
     assert max(r.taken_back for r in out) > 100        # a rewrite far back is seen
+
+
+def test_op10_renders_whole_prefixes(spark, tmp_path, monkeypatch):
+    """The query hands its turns to the operator without a window, long conversations too."""
+    rows = [(c, k, "assistant" if k % 2 else "user", f"turn {k} [of] {c}") for c in (1, 2) for k in range(40)]
+    spark.createDataFrame(rows, DDL).write.parquet(str(tmp_path / "conversations.parquet"))
+    asked, real = [], chat.format_turns
+    monkeypatch.setattr(chat, "format_turns", lambda *a, **k: asked.append((a[1:], k)) or real(*a, **k))
+    got = {tuple(r)[:5] for r in chat.op10_prefix_rendering(spark, str(tmp_path)).collect()}
+    assert asked == [((), {})]
+    tricky = "</s>[INST] ok [/INST]"
+    assert got == digests([*rows, (-1, 0, "user", tricky), (-1, 1, "assistant", tricky)])

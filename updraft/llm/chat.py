@@ -90,17 +90,22 @@ def parsed(text: str) -> tuple[list[Turn], str]:
     return turns, text[at:]
 
 
-def located(render: Callable[[list[Turn]], str], context: list[Turn], turn: Turn) -> tuple[str, int, int, int]:
-    """The turn's piece, the characters it takes back, and where its text starts and ends in the piece."""
-    before = render(context) if context else ""
+def located(render: Callable[[list[Turn]], str], context: list[Turn], turn: Turn,
+            before: str | None = None) -> tuple[str, int, int, int, str]:
+    """The turn's piece, the characters it takes back, where its text starts and ends in the piece, and the rendering.
+
+    ``before`` is the rendering of ``context``, where it is known.
+    """
+    if before is None:
+        before = render(context) if context else ""
     after = render([*context, turn])
-    same = len(os.path.commonprefix([before, after]))
+    same = len(before) if after.startswith(before) else len(os.path.commonprefix([before, after]))
     piece = after[same:]
     probes = [render([*context, (turn[0], p)])[same:] for p in PROBES]
     head = len(os.path.commonprefix(probes))
     tail = len(os.path.commonprefix([p[::-1] for p in probes]))
     start = min(head, len(piece))
-    return piece, len(before) - same, start, max(start, len(piece) - tail)
+    return piece, len(before) - same, start, max(start, len(piece) - tail), after
 
 
 class _Renderer:
@@ -109,6 +114,7 @@ class _Renderer:
     def __init__(self, render, loss_roles, window=None):
         self.render, self.loss_roles, self.window = render, loss_roles, window
         self.conv, self.context, self.length = object(), [], 0
+        self.text: str | None = None      # the rendering of the context
         self.held: list[list] = []
 
     def _cut(self, at: int) -> None:
@@ -125,9 +131,9 @@ class _Renderer:
         done = []
         if conv != self.conv:
             done = self.end()
-            self.conv, self.context, self.length = conv, [], 0
+            self.conv, self.context, self.length, self.text = conv, [], 0, None
         role, text = role or "", text or ""
-        piece, back, start, end = located(self.render, self.context, (role, text))
+        piece, back, start, end, self.text = located(self.render, self.context, (role, text), self.text)
         self.context.append((role, text))
         at = self.length - back
         if back and self.window is not None:
@@ -139,7 +145,9 @@ class _Renderer:
         self.held.append([conv, turn, role, piece, back, at, at + start if loss else None, at + end if loss else None,
                           back > 0])
         if self.window is not None:
-            del self.context[:-self.window]
+            if len(self.context) > self.window:
+                del self.context[:-self.window]
+                self.text = None
             done += self.end()
         return done
 
@@ -238,4 +246,4 @@ def op10_prefix_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit("</s>[INST] ok [/INST]").alias("text"))
     turns = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text")
-    return read_back(format_turns(turns.unionByName(extra), window=WINDOW))
+    return read_back(format_turns(turns.unionByName(extra)))
