@@ -196,16 +196,14 @@ def explode_grid(requests: DataFrame, radius: float = K.GRID_RADIUS,
             .withColumn("lon", F.col("c_j") * K.TERRAIN_RES - radius + F.col("col") * step))
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Grid rows over all tasks.
+def spread(requests: DataFrame, by: tuple[str, ...] | None = None) -> DataFrame:
+    """Requests over all tasks, one task a grid: windows cross the network once a request, rows and cells never.
 
-    A few requests are a few hundred kilobytes, which adaptive execution would
-    fold into one task; the cells they turn into are not. The explicit count
-    keeps the rows apart.
+    A few requests are a few kilobytes, which adaptive execution would fold into one
+    task; the cells they turn into are not. The explicit count keeps the requests apart.
     """
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["request_id", "row"] if "request_id" in rows.columns else ["c_i", "c_j", "row"]
-    return rows.repartition(tasks, *keys)
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return requests.repartition(tasks, *(by or (("request_id",) if "request_id" in requests.columns else ("c_i", "c_j"))))
 
 
 def grid_rows(requests: DataFrame, values: tuple[str, ...] = ("elevation",),
@@ -220,11 +218,16 @@ def grid_rows(requests: DataFrame, values: tuple[str, ...] = ("elevation",),
     ``carried`` maps a new column to (map column, key column): each grid row
     takes its own entry along instead of the whole map.
     """
+    return rows_in_place(spread(requests), values, carried)
+
+
+def rows_in_place(requests: DataFrame, values: tuple[str, ...] = ("elevation",),
+                  carried: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """``grid_rows`` of requests that are spread already."""
     last = (SIDE - 1) * FINE
     rows = requests.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(last))))
     for name, (source, key) in (carried or {}).items():
         rows = rows.withColumn(name, F.try_element_at(source, F.col(key))).drop(source)
-    rows = spread(rows)
 
     def vector(window: str, row: Column) -> Column:
         y = row / F.lit(float(FINE))
