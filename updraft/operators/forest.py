@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from updraft import constants as K
@@ -256,7 +256,48 @@ class Uncertainty:
         """
         keyed = cells.select(*keep, self.pattern().alias("pattern"), terrain_multiplier().alias("__factor"))
         patterns = keyed.select(key, "pattern").distinct().join(self.request_runs(requests, key), key)
-        joined = keyed.join(self.pattern_scores(patterns), [key, "pattern"])
-        return joined.select(
-            *keep, F.least(F.greatest(F.col("__mean") * F.col("__factor"), F.lit(0.0)), F.lit(1.0)).alias("p_mean"),
-            (F.col("__std") * F.col("__factor")).alias("p_std"))
+        return keyed.join(self.pattern_scores(patterns), [key, "pattern"]).select(*keep, *self._served())
+
+    @staticmethod
+    def _served() -> list[Column]:
+        """p_mean and p_std of a cell from its pattern's moments and its terrain factor."""
+        return [F.least(F.greatest(F.col("__mean") * F.col("__factor"), F.lit(0.0)), F.lit(1.0)).alias("p_mean"),
+                (F.col("__std") * F.col("__factor")).alias("p_std")]
+
+    def with_runs(self, rows: DataFrame, requests: DataFrame, key: str = "request_id") -> DataFrame:
+        """``rows`` with the runs of their request and ``run``, which tells apart requests of one ``key``."""
+        order = Window.partitionBy(key).orderBy("noisy_values", "noisy_low")
+        runs = self.request_runs(requests, key).where(F.col(key).isNotNull())
+        return rows.join(runs.withColumn("run", F.row_number().over(order)), key)
+
+    def spread_groups(self, groups: DataFrame, cells_of: Callable[[DataFrame], DataFrame], keep: Sequence[str],
+                      together: Sequence[str], most: int) -> DataFrame:
+        """``spread`` of the cells that ``cells_of`` makes of ``groups``, without moving a cell.
+
+        ``groups`` come ``with_runs`` and dealt out by ``together``, which holds their key and
+        ``run``; ``cells_of`` hands on columns it does not know. Cells are made twice where
+        their group lies: once for its distinct patterns, and once to look the scores up in the
+        group's own list by halving. ``most`` is the largest number of patterns of a group.
+        """
+        runs = ["noisy_values", "noisy_low"]
+        together = list(together)
+        found = cells_of(groups.drop(*runs)).select(*together, self.pattern().alias("pattern")).distinct()
+        scores = self.pattern_scores(found.join(groups.select(*together, *runs).dropDuplicates(together), together))
+        # Most patterns are one number; numbers compare faster than arrays.
+        whole = F.get(F.col("pattern"), F.lit(0)) if len(self.tests) <= WORD else F.col("pattern")
+        lists = scores.groupBy(*together).agg(F.array_sort(F.collect_list(
+            F.struct(whole.alias("pattern"), "__mean", "__std"))).alias("__list"))
+        placed = groups.drop(*runs).join(lists.select(*together, *[
+            F.col(f"__list.{c}").alias(name) for c, name in (
+                ("pattern", "__patterns"), ("__mean", "__means"), ("__std", "__stds"))]), together)
+        cells = cells_of(placed).withColumn("pattern", self.pattern()).withColumn("pattern", whole).withColumn("__n", F.lit(0))
+        step = 1 << (most.bit_length() - 1)
+        while step:
+            probe = F.get(F.col("__patterns"), F.col("__n") + (step - 1))
+            cells = cells.withColumn("__n", F.when(
+                probe <= F.col("pattern"), F.col("__n") + step).otherwise(F.col("__n")))
+            step //= 2
+        scored = cells.select(
+            *keep, F.get(F.col("__means"), F.col("__n") - 1).alias("__mean"),
+            F.get(F.col("__stds"), F.col("__n") - 1).alias("__std"), terrain_multiplier().alias("__factor"))
+        return scored.select(*keep, *self._served())

@@ -42,8 +42,8 @@ def predict_grids(requests: DataFrame, lattice: DataFrame, live: DataFrame | Non
     """Heat cells (request_id, row, col, lat, lon, p_mean, p_std) without a trained model.
 
     Noise runs and observed climbs join once per request. One shuffle spreads the
-    201 rows of each grid; from there on a cell is arithmetic on its row, so the
-    40,401 cells of a request never move between tasks.
+    requests; from there on a cell is arithmetic on its row, so the 201 rows and 40,401
+    cells of a request never move between tasks.
     """
     ready = montecarlo.physics_draws(prepared_requests(requests, lattice, missing=missing), draws=draws,
                                      seed=seed)
@@ -81,6 +81,7 @@ def predict_grids_with_model(requests: DataFrame, lattice: DataFrame, forest: Fo
 
     ``ts`` is the time the grid answers for, forecast hours included. Runs are evaluated
     once per request and pattern of cell tests, however many cells share the pattern.
+    A request's windows and runs cross the network, its cells never do.
     """
     values = ("elevation",) if landcover is None else ("elevation", *LAYERS)
     ready = prepared_requests(requests, lattice, landcover, missing)
@@ -89,14 +90,19 @@ def predict_grids_with_model(requests: DataFrame, lattice: DataFrame, forest: Fo
         ready = ready.join(fusion.grid_boosts(placed), ["c_i", "c_j"], "left")
     timed = ready.select("request_id", "c_i", "c_j", "alt_amsl", *[f"{v}_window" for v in values], *time_features(ts),
                          *(["boosts"] if live is not None else []))
-    rows = TR.grid_rows(timed, values, carried={"boost": ("boosts", "row")} if live is not None else {})
-    cells = with_default_landcover(TR.grid_cells(rows, values)).withColumn(
-        "alt_agl", A.height_above_ground("alt_amsl", "elevation"))
-    keep = [*CELL_KEYS, "lat", "lon"]
-    if live is not None:
+    carried = {"boost": ("boosts", "row")} if live is not None else {}
+    spread = Uncertainty(forest, draws, seed)
+    together = ("request_id", "run")
+    grids = TR.spread(spread.with_runs(timed, requests), together)
+
+    def cells_of(groups: DataFrame) -> DataFrame:
+        cells = with_default_landcover(TR.grid_cells(TR.rows_in_place(groups, values, carried), values)).withColumn(
+            "alt_agl", A.height_above_ground("alt_amsl", "elevation"))
         # A cell takes its own number along, not its row's array.
-        cells, keep = cells.withColumn("boost", F.get(F.col("boost"), F.col("col"))), [*keep, "boost"]
-    heat = Uncertainty(forest, draws, seed).spread(cells, requests, keep)
+        return cells if live is None else cells.withColumn("boost", F.get(F.col("boost"), F.col("col")))
+
+    keep = [*CELL_KEYS, "lat", "lon", *(["boost"] if live is not None else [])]
+    heat = spread.spread_groups(grids, cells_of, keep, together, fusion.SIDE ** 2)
     mean, std = F.col("p_mean"), F.col("p_std")
     if live is not None:
         mean = fusion.fused(mean, F.col("boost"))
