@@ -573,7 +573,7 @@ def _(read):
 SELECT request_id, r AS row, round(sum(least(1, 0.2e0 + boost)), 5) AS heat, count(*) AS touched FROM bo GROUP BY request_id, r""")
 def _(read):
     asked = TR.with_centre(read("prediction_requests"))
-    heat = asked.select("request_id", F.explode(F.sequence(F.lit(0), F.lit(200))).alias("row")).withColumn(
+    heat = fusion.heat_rows(asked).withColumn(
         "col", F.explode(F.sequence(F.lit(0), F.lit(200)))).withColumn("p_mean", F.lit(0.2))
     cells = fusion.fuse_climbs(heat, asked, latest(read), is_evidence(False))
     boosts = cells.filter("p_mean > 0.2")

@@ -47,16 +47,20 @@ def climb_placements(centres: DataFrame, live: DataFrame, evidence: Column) -> D
 def row_boosts(placements: DataFrame) -> DataFrame:
     """What the climbs add to each grid row: (c_i, c_j, row, boost), one value per column.
 
-    Each aircraft reaches 37 x 37 cells. Contributions are summed per cell with
-    map-side combine; a row's array has 201 entries, NULL where nothing reaches.
+    Each aircraft reaches 37 x 37 cells. It is dealt out by the 37 rows it reaches, and
+    its cells are made where their row is summed, so that cells do not move. A row's
+    array has 201 entries, NULL where nothing reaches.
     """
+    tasks = int(placements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def reach(at: str) -> Column:
         centre = F.floor(at).cast("int")
         return F.sequence(F.greatest(centre - K.FUSION_WINDOW, F.lit(0)),
                           F.least(centre + K.FUSION_WINDOW, F.lit(SIDE - 1)))
 
-    spread = placements.withColumn("row", F.explode(reach("ri"))).withColumn(
-        "col", F.explode(reach("ci")))
+    # Aircraft crowd in few bins: they are spread before they are multiplied.
+    reached = placements.repartition(tasks, *placements.columns).withColumn("row", F.explode(reach("ri")))
+    spread = reached.repartition(tasks, "c_i", "c_j", "row").withColumn("col", F.explode(reach("ci")))
     dy, dx = F.col("row") - F.col("ri"), F.col("col") - F.col("ci")
     bump = F.exp(-(dy * dy + dx * dx) / F.lit(2 * K.FUSION_SIGMA ** 2)) * F.col("strength")
     per_cell = spread.groupBy("c_i", "c_j", "row", "col").agg(F.sum(bump).alias("boost"))
@@ -80,13 +84,24 @@ def fused(p_mean: Column, boost: Column) -> Column:
     return F.least(F.greatest(p_mean + F.coalesce(boost, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
 
 
+def heat_rows(requests: DataFrame) -> DataFrame:
+    """(request_id, row): the grid rows of all requests, dealt out so that their cells meet the climbs in place."""
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = requests.select("request_id", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("row"))
+    return rows.repartition(tasks, "request_id", "row")
+
+
 def fuse_climbs(heat: DataFrame, requests: DataFrame, live: DataFrame, evidence: Column) -> DataFrame:
     """Stored heat cells (request_id, row, col, p_mean) with observed climbs blended in.
 
-    ``requests`` gives each request's centre (request_id, c_i, c_j).
+    ``requests`` gives each request's centre (request_id, c_i, c_j). What climbs add to a
+    grid row goes to the heat's rows as one array; heat that comes dealt out by
+    (request_id, row), as ``heat_rows`` deals it, is neither moved nor sorted.
     """
     boosts = requests.select("request_id", "c_i", "c_j").join(
         row_boosts(climb_placements(requests, live, evidence)), ["c_i", "c_j"]).drop("c_i", "c_j")
-    joined = heat.join(boosts, ["request_id", "row"], "left")
+    tasks = int(heat.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = boosts.repartition(tasks, "request_id", "row").hint("shuffle_hash")
+    joined = heat.join(dealt, ["request_id", "row"], "left")
     return joined.withColumn("p_mean", fused(
         F.col("p_mean"), F.get(F.col("boost"), F.col("col")))).drop("boost")
