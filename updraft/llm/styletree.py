@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from updraft.llm.common import arrow_schema, batch_rows, read, small_batches, written
+from updraft.llm.common import arrow_schema, read, small_batches, written
 
 MIN_PAGES = 4
 #: Importance below which a branch is removed, and how far children count for their parent.
@@ -316,17 +316,19 @@ def main_text(page: str, known: dict[int, tuple[int, float, float]]) -> str:
     return "\n".join(out)
 
 
+def known_elements(tree: pa.ListScalar) -> dict[int, tuple[int, float, float]]:
+    """(arrangements, style, content) of a host's merged elements by path, of one page at a time: trees are long."""
+    if not tree.is_valid:
+        return {}
+    return dict(zip(tree.values.field(0).to_pylist(), zip(*(tree.values.field(i).to_pylist() for i in (1, 2, 3)))))
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     nodes = written(merged_elements(pages), "elements")
     trees = nodes.groupBy("host").agg(F.collect_list(F.struct(
         "path", F.col("arrangements").cast("int").alias("count"), "style", "content")).alias("tree"))
 
-    def row(page_id, url, page, tree) -> tuple:
-        known = {t["path"]: (t["count"], t["style"], t["content"]) for t in tree or ()}
-        text = main_text(page, known)
-        return page_id, url, text, len(text)
-
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     if nodes.count() <= BROADCAST_NODES:
         joined = p.join(F.broadcast(trees), "host", "left")
@@ -334,8 +336,19 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         copies = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = p.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(
             copies, ["host", "salt"], "left")
-    return batch_rows(joined.select("page_id", "url", "html", "tree"), row,
-                      "page_id long, url string, text string, n_chars long")
+    spark = pages.sparkSession
+    small_batches(spark)
+    ddl = "page_id long, url string, text string, n_chars long"
+    schema = arrow_schema(spark, ddl)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            texts = [main_text(page.as_py(), known_elements(tree)) for page, tree in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, schema[2].type),
+                 pa.array(map(len, texts), schema[3].type)], schema=schema)
+
+    return joined.select("page_id", "url", "html", "tree").mapInArrow(run, ddl)
 
 
 def op4_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
