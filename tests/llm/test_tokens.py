@@ -2,14 +2,16 @@
 
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from updraft.llm import pieces, records
-from updraft.llm.common import shared_folder, written
+from updraft.llm.common import SLICE_ROWS, shared_folder, written
 
 SF = "/root/testdata/sf0.001"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -40,6 +42,29 @@ def test_prefix_table_equals_the_merges():
         assert m.tokens(t) == m.merged(t)
 
 
+def test_what_a_worker_keeps_is_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 2 << 20, raising=False)
+    monkeypatch.setattr(pieces, "PAIRS", 1000, raising=False)
+    m, rng, most, pairs = pieces.PieceModel(PIECES), random.Random(4), 0, 0
+    for _ in range(40):
+        t = " ".join("".join(rng.choices("abcdefghinorst", k=8)) for _ in range(500)) + " " + "日本" * rng.randint(1, 20_000)
+        want = m.processor.encode(t)
+        ids = m.encode(t)
+        assert ids == [*want, m.end_id] and m.decode(ids) == m.processor.decode(want)
+        held = [x for k, v in m.chunks.items() for x in (k, *([v] if isinstance(v, bytes) else v))]
+        most = max(most, sum(map(sys.getsizeof, held)) + sys.getsizeof(m.chunks))
+        pairs = max(pairs, sum(len(known) for _, known, _ in m.automaton.values()))
+    assert 0 < most <= 3 << 20 and 0 < pairs <= 1000
+
+
+def test_batches_are_cut_into_slices(spark):
+    n = 2 * SLICE_ROWS + 7
+    df = spark.range(n).coalesce(1).select(F.col("id").alias("doc_id"), F.concat(F.lit("row "), "id").alias("text"))
+    m = pieces.model(PIECES)
+    got = {r.doc_id: r.ids for r in pieces.encode_documents(df, PIECES).collect()}
+    assert got == {i: m.encode(f"row {i}") for i in range(n)}
+
+
 def test_op6_rows(spark):
     m = pieces.model(PIECES)
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

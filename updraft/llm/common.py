@@ -14,6 +14,8 @@ from updraft.session import ensure_checkpoint_dir
 #: A batch handed to Python stays below these, so that very long texts stay within a worker's memory.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
+#: Rows of a batch that are Python objects at once.
+SLICE_ROWS = 250
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -37,10 +39,11 @@ def batch_rows(df: DataFrame, row: Callable[..., tuple], schema: str) -> DataFra
     target = arrow_schema(df.sparkSession, schema)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
-            out = [row(*values) for values in zip(*columns)]
-            if out:
+        for whole in it:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+                out = [row(*values) for values in zip(*columns)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*out), target)], schema=target)
 

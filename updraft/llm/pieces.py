@@ -9,7 +9,9 @@ tokens of the whole string are read backwards from the table.
 
 Text is cut first where no vocabulary entry holds the two characters beside the
 cut (checked when the model is loaded): no merge can cross such a place. Chunks
-repeat, so their results are kept per worker process, up to ``CACHE`` of them.
+repeat, so their results are kept per worker process, as are the pair tests, within
+``CACHE_BYTES`` and ``PAIRS``: a worker outlives its task and serves other stages
+with whatever it still holds.
 """
 
 from __future__ import annotations
@@ -25,7 +27,11 @@ from pyspark.sql import functions as F
 
 from updraft.llm.common import batch_rows, read, whole_text
 
-CACHE = 200_000
+#: About so much memory the chunks of a worker process take; when it is full they start anew.
+CACHE_BYTES = 32 << 20
+ENTRY_BYTES = 220       # of a chunk besides its characters
+TOKENS = 50_000         # tokens whose ids are kept as text
+PAIRS = 500_000         # pair tests kept (about 40 MB)
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 MARK = "\u2581"   # the model's own sign for a space
 #: A chunk: spaces and the run of letters, of digits, of line ends or of other characters after them.
@@ -50,11 +56,13 @@ class PieceModel:
         self.end_id = sp.eos_id()
         self.surface = {i: p.encode() for p, i in self.ids.items()}
         self.surface.update({i: bytes([b]) for b, i in enumerate(self.byte_ids)})
+        self.surface_of = {str(i).encode(): piece for i, piece in self.surface.items()}
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
             # With each piece go its known neighbours to the left: whether both stay apart.
             self.automaton.add_word(piece, (len(piece), {}, piece))
         self.automaton.make_automaton()
+        self.pairs = 0
         if any(" " in p.lstrip(" ") for p in self.ids):
             raise ValueError("a piece goes on after a space: such models are not supported")
         fine = all(len(FINE.findall(p)) == 1 for p in self.ids if not OTHER.search(p))
@@ -83,6 +91,11 @@ class PieceModel:
         """True if ``before`` and ``token`` stay two tokens side by side (``before`` may be empty)."""
         return self.merged(before + token) == ([before, token] if before else [token])
 
+    def forget_pairs(self) -> None:
+        for _, known, _ in self.automaton.values():
+            known.clear()
+        self.pairs = 0
+
     def tokens(self, text: str) -> list[str]:
         """Tokens of ``text`` by the prefix table.
 
@@ -98,7 +111,10 @@ class PieceModel:
                     before = text[end - size - 1]
                 fits = known.get(before)
                 if fits is None:
+                    if self.pairs >= PAIRS:
+                        self.forget_pairs()
                     fits = known[before] = self.compatible(before, token)
+                    self.pairs += 1
                 if fits:
                     last[end] = token
         out, at = [], len(text)
@@ -121,7 +137,7 @@ class PieceModel:
 
     def encode(self, text: str) -> list[int]:
         """The ids of ``text`` with the end id."""
-        ids = [int(i) for c in self.split(text) for i in self.chunks[c][0].split()]
+        ids = [int(i) for c in self.split(text) for i in self.chunks[c].split()]
         return [*ids, self.end_id]
 
     def decode(self, ids: list[int]) -> str:
@@ -131,32 +147,37 @@ class PieceModel:
 
 
 class TokenTexts(dict):
-    """Per token: its ids as decimal text, each followed by a space, and the bytes of these ids."""
+    """Per token: its ids as decimal text, each followed by a space."""
 
     def __init__(self, model: PieceModel):
         super().__init__()
-        self.ids, self.byte_ids, self.surface = model.ids, model.byte_ids, model.surface
+        self.ids, self.byte_ids = model.ids, model.byte_ids
 
-    def __missing__(self, token: str) -> tuple[bytes, bytes]:
+    def __missing__(self, token: str) -> bytes:
         ids = [self.ids[token]] if token in self.ids else [self.byte_ids[b] for b in token.encode()]
-        value = "".join(f"{i} " for i in ids).encode(), b"".join([self.surface[i] for i in ids])
-        if len(self) < CACHE:
+        value = "".join(f"{i} " for i in ids).encode()
+        if len(self) < TOKENS:
             self[token] = value
         return value
 
 
 class Chunks(dict):
-    """As ``TokenTexts`` for chunks."""
+    """As ``TokenTexts`` for chunks; one that alone would fill much of the memory is not kept."""
 
     def __init__(self, model: PieceModel):
         super().__init__()
-        self.tokens, self.texts = model.tokens, model.texts
-
-    def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
-        if len(self) >= CACHE:
-            self.clear()
-        found = [self.texts[t] for t in self.tokens(chunk)]
-        value = self[chunk] = b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
+        self.tokens, self.texts, self.held = model.tokens, model.texts, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        value = b"".join([self.texts[t] for t in self.tokens(chunk)])
+        # A character outside of Latin-1 takes up to four bytes.
+        size = ENTRY_BYTES + (1 if chunk.isascii() else 4) * len(chunk) + len(value)
+        if 16 * size <= CACHE_BYTES:
+            if self.held + size > CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            self[chunk] = value
+            self.held += size
         return value
 
 
@@ -167,22 +188,22 @@ def model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
+def _encoded(m: PieceModel, text: bytes) -> tuple[list[bytes], bytes]:
+    """The ids of a text with the end id, as decimal text, and the decoded text."""
+    ids = b"".join(map(m.chunks.__getitem__, m.split(text.decode("utf-8", "replace")))).split()
+    decoded = b"".join(map(m.surface_of.__getitem__, ids))
+    ids.append(str(m.end_id).encode())
+    return ids, decoded[decoded[:1] == b" ":]
+
+
 def _digest_row(doc_id, text: bytes, path: str) -> tuple:
-    m = model(path)
-    found = list(map(m.chunks.__getitem__, m.split(text.decode("utf-8", "replace"))))
-    ids = b"".join([f[0] for f in found]) + str(m.end_id).encode()
-    decoded = b"".join([f[1] for f in found])
-    decoded = decoded[decoded[:1] == b" ":]
-    return doc_id, ids.count(b" ") + 1, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+    ids, decoded = _encoded(model(path), text)
+    return doc_id, len(ids), hashlib.sha256(b" ".join(ids)).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def _id_row(doc_id, text: bytes, path: str) -> tuple:
-    m = model(path)
-    found = list(map(m.chunks.__getitem__, m.split(text.decode("utf-8", "replace"))))
-    decimal = b"".join([f[0] for f in found]) + str(m.end_id).encode()
-    decoded = b"".join([f[1] for f in found])
-    ids = np.array(decimal.split(), np.int32)
-    return doc_id, ids, decoded[decoded[:1] == b" ":].decode("utf-8", "replace")
+    ids, decoded = _encoded(model(path), text)
+    return doc_id, np.array(ids, np.int32), decoded.decode("utf-8", "replace")
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
