@@ -8,12 +8,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from updraft import constants as K
 from updraft.functions.rules import terrain_multiplier
+from updraft.operators import gridwise
 from updraft.operators.blocks import computed_once
 from updraft.operators.montecarlo import mean_and_std, noise_draws, perturbed
 
@@ -175,7 +177,7 @@ class Uncertainty:
     """
 
     def __init__(self, forest: Forest, draws: int = K.MONTE_CARLO_DRAWS, seed: int = 0):
-        self.draws, self.seed = draws, seed
+        self.forest, self.draws, self.seed = forest, draws, seed
         self.subtrees: list[Node] = []
         self.splits: list[tuple[str, float]] = []
         self.tests: list[tuple[str, float]] = []
@@ -264,40 +266,38 @@ class Uncertainty:
         return [F.least(F.greatest(F.col("__mean") * F.col("__factor"), F.lit(0.0)), F.lit(1.0)).alias("p_mean"),
                 (F.col("__std") * F.col("__factor")).alias("p_std")]
 
-    def with_runs(self, rows: DataFrame, requests: DataFrame, key: str = "request_id") -> DataFrame:
-        """``rows`` with the runs of their request and ``run``, which tells apart requests of one ``key``."""
-        order = Window.partitionBy(key).orderBy("noisy_values", "noisy_low")
-        runs = self.request_runs(requests, key).where(F.col(key).isNotNull())
-        return rows.join(runs.withColumn("run", F.row_number().over(order)), key)
+    def heat_cells(self, grids: DataFrame, layers: dict[str, float | None], timed: Sequence[str],
+                   rounded: bool = False, key: str = "request_id") -> DataFrame:
+        """``spread`` of all cells of ``grids``, made and scored one grid at a time where it lies.
 
-    def spread_groups(self, groups: DataFrame, cells_of: Callable[[DataFrame], DataFrame], keep: Sequence[str],
-                      together: Sequence[str], most: int) -> DataFrame:
-        """``spread`` of the cells that ``cells_of`` makes of ``groups``, without moving a cell.
-
-        ``groups`` come ``with_runs`` and dealt out by ``together``, which holds their key and
-        ``run``; ``cells_of`` hands on columns it does not know. Cells are made twice where
-        their group lies: once for its distinct patterns, and once to look the scores up in the
-        group's own list by halving. ``most`` is the largest number of patterns of a group.
+        ``grids`` have the ``noisy`` columns of their request (see ``gridwise.heat_rows`` for the
+        others). Patterns are those of a grid; its cells never move.
         """
-        runs = ["noisy_values", "noisy_low"]
-        together = list(together)
-        found = cells_of(groups.drop(*runs)).select(*together, self.pattern().alias("pattern")).distinct()
-        scores = self.pattern_scores(found.join(groups.select(*together, *runs).dropDuplicates(together), together))
-        # Most patterns are one number; numbers compare faster than arrays.
-        whole = F.get(F.col("pattern"), F.lit(0)) if len(self.tests) <= WORD else F.col("pattern")
-        lists = scores.groupBy(*together).agg(F.array_sort(F.collect_list(
-            F.struct(whole.alias("pattern"), "__mean", "__std"))).alias("__list"))
-        placed = groups.drop(*runs).join(lists.select(*together, *[
-            F.col(f"__list.{c}").alias(name) for c, name in (
-                ("pattern", "__patterns"), ("__mean", "__means"), ("__std", "__stds"))]), together)
-        cells = cells_of(placed).withColumn("pattern", self.pattern()).withColumn("pattern", whole).withColumn("__n", F.lit(0))
-        step = 1 << (most.bit_length() - 1)
-        while step:
-            probe = F.get(F.col("__patterns"), F.col("__n") + (step - 1))
-            cells = cells.withColumn("__n", F.when(
-                probe <= F.col("pattern"), F.col("__n") + step).otherwise(F.col("__n")))
-            step //= 2
-        scored = cells.select(
-            *keep, F.get(F.col("__means"), F.col("__n") - 1).alias("__mean"),
-            F.get(F.col("__stds"), F.col("__n") - 1).alias("__std"), terrain_multiplier().alias("__factor"))
-        return scored.select(*keep, *self._served())
+        cuts: dict[str, list[float]] = {}
+        for name, threshold in sorted(set(self.tests)):
+            cuts.setdefault(name, []).append(float(threshold))
+
+        def plan(node: Node):
+            """A node as plain data: a cell test knows its threshold's place, a noisy one its threshold."""
+            if not isinstance(node, Split):
+                return float(node)
+            cut = float(node.threshold)
+            place = cut if node.feature in NOISY else cuts[node.feature].index(cut)
+            return node.feature, place, plan(node.low), plan(node.high)
+
+        # Added up in the order of pattern_scores.
+        order = sorted(range(len(self.parts)), key=lambda i: (self.parts[i].draws, self.parts[i].array is None))
+        trees = [plan(self.forest.trees[i]) for i in order]
+        rows = gridwise.heat_rows(
+            grids.withColumn("noise_key", F.col(key).cast("string")), key, {n: np.array(c) for n, c in cuts.items()},
+            trees, self.noisy, self.draws, self.seed, layers, tuple(timed), rounded)
+        return gridwise.heat_cells(rows, key)
+
+    @property
+    def noisy(self) -> tuple[str, ...]:
+        """The noisy columns that the forest tests."""
+        def tested(node: Node) -> set[str]:
+            return {node.feature} | tested(node.low) | tested(node.high) if isinstance(node, Split) else set()
+
+        seen = set().union(*map(tested, self.forest.trees))
+        return tuple(n for n in NOISY if n in seen)

@@ -12,6 +12,7 @@ from updraft.operators.blocks import computed_once
 
 BIN = 0.1
 SIDE = grid_side()
+TOGETHER = 16    # grids of one centre that share a copy of its boosts
 
 
 def climb_placements(centres: DataFrame, live: DataFrame, evidence: Column) -> DataFrame:
@@ -79,6 +80,22 @@ def grid_boosts(placements: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("row", "boost"))).alias("boosts"))
 
 
+def with_boosts(grids: DataFrame, requests: DataFrame, boosts: DataFrame) -> DataFrame:
+    """``grids`` (one row a grid) dealt out over all tasks, each with the ``boosts`` of its centre or NULL.
+
+    A centre's boosts are copied once per 16 of its ``requests``, not once per grid: the
+    grids of a centre fall into shares by a hash of their request, and meet their copy where they lie.
+    """
+    tasks = int(grids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ["c_i", "c_j", "__share"]
+    shares = requests.groupBy("c_i", "c_j").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("__shares"))
+    share = F.pmod(F.xxhash64("request_id"), F.coalesce("__shares", F.lit(1).cast("bigint")))
+    placed = grids.join(shares, ["c_i", "c_j"], "left").withColumn("__share", share).drop("__shares")
+    copies = boosts.join(shares, ["c_i", "c_j"]).withColumn(
+        "__share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__shares") - 1))).drop("__shares")
+    return placed.repartition(tasks, *dealt).join(copies.repartition(tasks, *dealt), dealt, "left").drop("__share")
+
+
 def fused(p_mean: Column, boost: Column) -> Column:
     """Heat of a cell after adding its boost, in [0, 1]."""
     return F.least(F.greatest(p_mean + F.coalesce(boost, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))

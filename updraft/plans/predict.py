@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from updraft import constants as K
-from updraft.functions import atmosphere as A
 from updraft.functions.geo import centre_index
 from updraft.functions.rules import round_probability
 from updraft.operators import fusion, montecarlo
@@ -81,34 +80,24 @@ def predict_grids_with_model(requests: DataFrame, lattice: DataFrame, forest: Fo
 
     ``ts`` is the time the grid answers for, forecast hours included. Runs are evaluated
     once per request and pattern of cell tests, however many cells share the pattern.
-    A request's windows and runs cross the network, its cells never do.
+    A request's windows and weather cross the network, its cells never do.
     """
     values = ("elevation",) if landcover is None else ("elevation", *LAYERS)
-    ready = prepared_requests(requests, lattice, landcover, missing)
-    if live is not None:
-        placed = fusion.climb_placements(TR.with_centre(requests), live, evidence)
-        ready = ready.join(fusion.grid_boosts(placed), ["c_i", "c_j"], "left")
-    timed = ready.select("request_id", "c_i", "c_j", "alt_amsl", *[f"{v}_window" for v in values], *time_features(ts),
-                         *(["boosts"] if live is not None else []))
-    carried = {"boost": ("boosts", "row")} if live is not None else {}
+    layers = dict(zip(LAYERS, K.LAND_DEFAULT if landcover is None else (None, None)))
+    timed = time_features(ts)
+    ready = prepared_requests(requests, lattice, landcover, missing).select(
+        "request_id", "c_i", "c_j", F.col("alt_amsl").cast("double").alias("alt_amsl"),
+        *[f"{v}_window" for v in values], *timed)
     spread = Uncertainty(forest, draws, seed)
-    together = ("request_id", "run")
-    grids = TR.spread(spread.with_runs(timed, requests), together)
-
-    def cells_of(groups: DataFrame) -> DataFrame:
-        cells = with_default_landcover(TR.grid_cells(TR.rows_in_place(groups, values, carried), values)).withColumn(
-            "alt_agl", A.height_above_ground("alt_amsl", "elevation"))
-        # A cell takes its own number along, not its row's array.
-        return cells if live is None else cells.withColumn("boost", F.get(F.col("boost"), F.col("col")))
-
-    keep = [*CELL_KEYS, "lat", "lon", *(["boost"] if live is not None else [])]
-    heat = spread.spread_groups(grids, cells_of, keep, together, fusion.SIDE ** 2)
-    mean, std = F.col("p_mean"), F.col("p_std")
-    if live is not None:
-        mean = fusion.fused(mean, F.col("boost"))
-    if rounded:
-        mean, std = round_probability(mean), round_probability(std)
-    return heat.select(*CELL_KEYS, "lat", "lon", mean.alias("p_mean"), std.alias("p_std"))
+    weather = requests.where(F.col("request_id").isNotNull()).select("request_id", *spread.noisy)
+    grids = ready.join(weather, "request_id")
+    if live is None:
+        # Not by the join's key alone, or adaptive execution folds the tasks of the join.
+        grids = TR.spread(grids, ("request_id", "c_i", "c_j"))
+    else:
+        centred = TR.with_centre(requests)
+        grids = fusion.with_boosts(grids, centred, fusion.grid_boosts(fusion.climb_placements(centred, live, evidence)))
+    return spread.heat_cells(grids, layers, ("hour_sin", "hour_cos", "doy_sin", "doy_cos"), rounded)
 
 
 def grid_summary(heat: DataFrame) -> DataFrame:
