@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -16,7 +17,7 @@ from updraft.operators.forest import NOISY, Forest, Split, Uncertainty
 from updraft.plans import predict
 from updraft.plans.features import time_features, with_default_landcover
 
-CHANCE = random.Random(4)
+CHANCE, NOON = random.Random(4), datetime(2024, 6, 21, 12)
 # More thresholds than are compared one by one, and more patterns than a table holds.
 MANY = Forest(tuple(Split(name, CHANCE.uniform(low, high), CHANCE.uniform(-.2, .2), Split("cape", CHANCE.uniform(500, 800), -.1, .1))
                     for name, low, high in (("elevation", 200, 450), ("slope", 0, 12), ("aspect", 0, 360), ("lat", 45.95, 46.05),
@@ -57,25 +58,21 @@ def one_by_one(asked, ground, forest, live, missing, draws):
     ("if(lat_i = 4601 and lon_j = 1501, null, 300)", MIXED, "fill")])
 def test_grids_equal_cells_one_by_one(spark, elevation, forest, missing):
     """Also with unknown and undefined ground, altitude, weather, time and place, and requests that share an id."""
-    noon = __import__("datetime").datetime(2024, 6, 21, 12)
-    rows = [("a", 46.0, 15.0, 900.0, noon, 650.0), ("b", 46.01, 15.0, None, noon, 690.0), ("c", 46.0, 15.01, 950.0, None, None),
-            ("d", 46.0, 15.0, math.nan, noon, math.nan), ("a", 46.01, 15.01, 700.0, noon, 10.0), (None, 46.0, 15.0, 900.0, noon, 650.0)]
+    rows = [("a", 46.0, 15.0, 900.0, NOON, 650.0), ("b", 46.01, 15.0, None, NOON, 690.0), ("c", 46.0, 15.01, 950.0, None, None),
+            ("d", 46.0, 15.0, math.nan, NOON, math.nan), ("a", 46.01, 15.01, 700.0, NOON, 10.0), (None, 46.0, 15.0, 900.0, NOON, 650.0)]
     if missing == "fill":
-        rows += [("e", None, 15.0, 900.0, noon, 650.0), ("f", 46.0, None, None, noon, 650.0), ("g", 10.0, 15.0, 900.0, noon, 650.0)]
+        rows += [("e", None, 15.0, 900.0, NOON, 650.0), ("f", 46.0, None, None, NOON, 650.0), ("g", 10.0, 15.0, 900.0, NOON, 650.0)]
     asked, ground = requests(spark, rows), lattice(spark, elevation)
     live = spark.createDataFrame([("x", 46.0021, 15.0013, 2.0, True), ("y", 45.97, 15.0, 9.0, True)],
                                  "id string, lat double, lon double, vario double, circling boolean")
     heat = predict.predict_grids_with_model(asked, ground, forest, live=live, evidence=F.lit(True), missing=missing,
                                             draws=7, rounded=False)
-    got, want = (sorted(map(tuple, df.select("request_id", "row", "col", "lat", "lon", "p_mean", "p_std").collect()), key=repr)
-                 for df in (heat, one_by_one(asked, ground, forest, live, missing, 7)))
-    assert len(got) == len(want) and [r[:3] for r in got] == [r[:3] for r in want]
-    assert [[v is None for v in r] for r in got] == [[v is None for v in r] for r in want]
-
-    def table(rows):
-        return np.array([[np.nan if v is None else v for v in r[3:]] for r in rows], dtype=float)
-
-    np.testing.assert_allclose(table(got), table(want), rtol=1e-9, atol=1e-9)
+    names, values = ["request_id", "row", "col"], ["lat", "lon", "p_mean", "p_std"]
+    got, want = (df.select(*names, *values, *[F.col(v).isNull().alias(f"no_{v}") for v in values]).toPandas().sort_values(
+        [*names, "lat", "lon", "p_mean"]) for df in (heat, one_by_one(asked, ground, forest, live, missing, 7)))
+    for exact in (*names, *[f"no_{v}" for v in values]):
+        assert got[exact].tolist() == want[exact].tolist()
+    np.testing.assert_allclose(got[values].to_numpy(), want[values].to_numpy(), rtol=1e-9, atol=1e-9)
 
 
 def test_rounding_equals_the_engine_on_ties(spark):
@@ -86,8 +83,7 @@ def test_rounding_equals_the_engine_on_ties(spark):
 
 def test_cells_are_made_once_and_boosts_are_copied_by_share(spark):
     """A grid is worked on as a whole where it lies: its rows are made once, its climbs come once per 16 grids of a centre."""
-    noon = __import__("datetime").datetime(2024, 6, 21, 12)
-    asked = requests(spark, [(str(i), 46.0, 15.0, 900.0, noon, 650.0) for i in range(40)])
+    asked = requests(spark, [(str(i), 46.0, 15.0, 900.0, NOON, 650.0) for i in range(40)])
     live = spark.createDataFrame([("x", 46.0021, 15.0013, 2.0, True)], "id string, lat double, lon double, vario double, circling boolean")
     heat = predict.predict_grids_with_model(asked, lattice(spark, "lat_i % 90"), MIXED, live=live, evidence=F.lit(True))
     plan = heat._jdf.queryExecution().executedPlan().toString()
